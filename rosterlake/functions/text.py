@@ -79,37 +79,53 @@ def mentions(
     text: str,
     name: str,
     anchor: int = 4,
+    inline_names: int = 500,
 ) -> DataFrame:
-    """Pairs (text, name) where the text contains the name, ignoring case.
+    """Pairs (text, name) where the whole text contains the name, ignoring case.
 
-    A name can only occur where its first ``anchor`` characters occur. Each text is cut into
-    its distinct character n-grams of that length, joined by equality, and only those
-    candidates are verified against the whole text. Names shorter than the anchor use their
-    own length. No text is shortened and no text x name product is formed.
+    Up to ``inline_names`` names are tested inside the scan of the texts. Beyond that, a name
+    can only occur where its first ``anchor`` characters occur: the distinct character
+    n-grams of each text are joined to the names by equality, and the candidates are verified
+    against the text. Neither way shortens a text or forms the text x name product.
     """
     wanted = (
-        names.select(name)
-        .filter(F.length(name) > 0)
+        names.select(F.col(name).alias("_name"))
+        .filter(F.length("_name") > 0)
         .distinct()
-        .withColumn("_lower", F.lower(name))
-        .withColumn("_width", F.least(F.length("_lower"), F.lit(anchor)))
-        .withColumn("_gram", F.expr("substring(_lower, 1, _width)"))
+        .withColumn("_lower", F.lower("_name"))
     )
+    few = wanted.limit(inline_names + 1).collect()
+    if len(few) <= inline_names:
+        listed = F.array(*[F.struct(F.lit(r["_name"]).alias("name"), F.lit(r["_lower"]).alias("lower"))
+                           for r in few]) if few else F.array().cast("array<struct<name:string,lower:string>>")
+        lowered = F.lower(text)
+        return texts.select(
+            text_id,
+            F.explode(F.filter(listed, lambda n: F.contains(lowered, n["lower"]))).alias("_hit"),
+        ).select(text_id, F.col("_hit.name").alias(name))
+    gram_names = wanted.withColumn("_gram", F.substring("_lower", 1, anchor))
+    widths = [r[0] for r in gram_names.select(F.length("_gram")).distinct().collect()]
     lowered = texts.select(text_id, F.lower(text).alias("_text"))
-    keyed = None
-    for width in range(1, anchor + 1):
-        of_width = wanted.filter(F.col("_width") == width)
-        if width < anchor and of_width.isEmpty():
-            continue
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_text") - (width - 1), F.lit(1))),
-            lambda at: F.substring(F.col("_text"), at, F.lit(width)),
+    grams = F.array_distinct(
+        F.flatten(
+            F.array(
+                *[
+                    F.transform(
+                        F.sequence(F.lit(1), F.greatest(F.length("_text") - (w - 1), F.lit(1))),
+                        lambda at, w=w: F.substring(F.col("_text"), at, F.lit(w)),
+                    )
+                    for w in widths
+                ]
+            )
         )
-        pairs = (
-            lowered.select(text_id, "_text", F.explode(F.array_distinct(grams)).alias("_gram"))
-            .join(of_width.select("_gram", "_lower", name), "_gram")
-            .filter(F.contains(F.col("_text"), F.col("_lower")))
-            .select(text_id, name)
-        )
-        keyed = pairs if keyed is None else keyed.unionByName(pairs)
-    return keyed
+    )
+    candidates = (
+        lowered.select(text_id, F.explode(grams).alias("_gram"))
+        .join(gram_names, "_gram")
+        .select(text_id, "_name", "_lower")
+    )
+    return (
+        candidates.join(lowered, text_id)
+        .filter(F.contains("_text", "_lower"))
+        .select(text_id, F.col("_name").alias(name))
+    )
