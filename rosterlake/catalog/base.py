@@ -72,13 +72,15 @@ TIME = ["o_orderdate", "o_orderkey"]
 
 # --- parts as players: position from size, club = brand, price from retail price ----------------
 
-def _cents(c: str) -> Column:
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+def _points(c: str) -> Column:
+    """Mean price in ten thousands, cut at four decimals: the same double everywhere."""
+    total = F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    return F.floor(total / F.count(F.lit(1))) / 10000.0
 
 
 def part_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("player_id")).agg(
-        (_cents("l_extendedprice") / F.count(F.lit(1)) / 10000.0).alias("_ep"),
+        _points("l_extendedprice").alias("_ep"),
         (F.count_if(F.col("l_returnflag") != "A") / F.count(F.lit(1))).alias("_start"),
         (F.sum("l_quantity").cast("long") % 60 + 40).cast("double").alias("_conf"),
     )
@@ -109,7 +111,7 @@ part_scores as (
          coalesce(cf, 40.0::double) as confidence_score
   from part left join (
     select l_partkey,
-           cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*) / 10000.0::double as ep,
+           floor(cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*)) / 10000.0::double as ep,
            cast(count(*) filter (where l_returnflag <> 'A') as double) / count(*) as st,
            cast(cast(sum(l_quantity) as bigint) % 60 + 40 as double) as cf
     from lineitem group by l_partkey) on p_partkey = l_partkey
@@ -121,7 +123,7 @@ def part_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_partkey").alias("player_id"), (F.year("l_shipdate") - 1994).alias("gameweek")
     ).agg(
-        (_cents("l_extendedprice") / F.count(F.lit(1)) / 10000.0).alias("expected_points"),
+        _points("l_extendedprice").alias("expected_points"),
         (F.sum("l_quantity").cast("long") % 60 + 40).cast("double").alias("confidence_score"),
         F.count(F.lit(1)).alias("lines"),
     )
@@ -130,7 +132,7 @@ def part_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUNDS = """
 part_rounds as (
   select l_partkey as player_id, year(l_shipdate) - 1994 as gameweek,
-         cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*) / 10000.0::double as expected_points,
+         floor(cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*)) / 10000.0::double as expected_points,
          cast(cast(sum(l_quantity) as bigint) % 60 + 40 as double) as confidence_score, count(*) as lines
   from lineitem group by 1, 2
 )"""

@@ -106,19 +106,13 @@ def mentions(
     gram_names = wanted.withColumn("_gram", F.substring("_lower", 1, anchor))
     widths = [r[0] for r in gram_names.select(F.length("_gram")).distinct().collect()]
     lowered = texts.select(text_id, F.lower(text).alias("_text"))
-    grams = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length("_text") - (w - 1), F.lit(1))),
-                        lambda at, w=w: F.substring(F.col("_text"), at, F.lit(w)),
-                    )
-                    for w in widths
-                ]
-            )
+    def cut(width: int) -> Column:
+        last = F.greatest(F.length("_text") - (width - 1), F.lit(1))
+        return F.transform(
+            F.sequence(F.lit(1), last), lambda at: F.substring(F.col("_text"), at, F.lit(width))
         )
-    )
+
+    grams = F.array_distinct(F.flatten(F.array(*[cut(w) for w in widths])))
     candidates = (
         lowered.select(text_id, F.explode(grams).alias("_gram"))
         .join(gram_names, "_gram")

@@ -64,21 +64,25 @@ def missing_periods(
     return wanted.join(df.select(season, F.col(period).cast("int").alias(period)).distinct(), [season, period], "left_anti")
 
 
-def stale_season(season: DataFrame, day: Column) -> DataFrame:
-    """The season row when it is not the one expected on the day (Q4)."""
-    return season.select("season_name", season_for_date(day).alias("expected_season")).filter(
+def stale_season(season: DataFrame, day: Column, ids: Sequence[str] = ()) -> DataFrame:
+    """Season rows that are not the season expected on the day (Q4)."""
+    return season.select(*ids, "season_name", season_for_date(day).alias("expected_season")).filter(
         ~F.col("season_name").eqNullSafe(F.col("expected_season"))
     )
 
 
 def rule_drift(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Rules (path, position, value) that differ, are missing, or are new."""
-    a = actual.select("path", "position", F.col("value").alias("actual"))
-    e = expected.select("path", "position", F.col("value").alias("expected"))
-    on = a["path"].eqNullSafe(e["path"]) & a["position"].eqNullSafe(e["position"])
+    a = actual.select(
+        F.col("path").alias("_a_path"), F.col("position").alias("_a_position"), F.col("value").alias("actual")
+    )
+    e = expected.select(
+        F.col("path").alias("_e_path"), F.col("position").alias("_e_position"), F.col("value").alias("expected")
+    )
+    on = F.col("_a_path").eqNullSafe(F.col("_e_path")) & F.col("_a_position").eqNullSafe(F.col("_e_position"))
     joined = a.join(e, on, "full_outer").select(
-        F.coalesce(a["path"], e["path"]).alias("path"),
-        F.coalesce(a["position"], e["position"]).alias("position"),
+        F.coalesce("_a_path", "_e_path").alias("path"),
+        F.coalesce("_a_position", "_e_position").alias("position"),
         "actual", "expected",
     )
     return joined.filter(~F.col("actual").eqNullSafe(F.col("expected")))
