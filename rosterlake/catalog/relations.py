@@ -542,7 +542,7 @@ select doc_id, name from documents, (select distinct regexp_extract(text, '^\\S+
 where name <> '' and contains(lower(text), lower(name))""")
 def mention_join_many(spark, sf):
     names = table(spark, sf, "conversations").select(F.regexp_extract("text", r"^\S+ \S+", 0).alias("name"))
-    return tx.mentions(table(spark, sf, "documents"), names, "doc_id", "text", "name", anchor=6, inline_names=20)
+    return tx.mentions(table(spark, sf, "documents"), names, "doc_id", "text", "name", inline_names=20)
 
 
 @query("json_explode", """

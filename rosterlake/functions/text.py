@@ -78,48 +78,72 @@ def mentions(
     text_id: str,
     text: str,
     name: str,
-    anchor: int = 4,
+    anchor: int = 12,
     inline_names: int = 500,
 ) -> DataFrame:
     """Pairs (text, name) where the whole text contains the name, ignoring case.
 
-    Up to ``inline_names`` names are tested inside the scan of the texts. Beyond that, a name
-    can only occur where its first ``anchor`` characters occur: the distinct character
-    n-grams of each text are joined to the names by equality, and the candidates are verified
-    against the text. Neither way shortens a text or forms the text x name product.
+    Up to ``inline_names`` names are tested inside the scan of the texts. Beyond that the first
+    word of a name leads: it must lie inside one word of the text, and end that word if the
+    name goes on after a space. The vocabulary of the texts (each distinct word once) is
+    joined to the names on that anchor, the hits lead back to the texts, and every candidate
+    is verified against its whole text. The text x name product is never formed.
     """
     wanted = (
         names.select(F.col(name).alias("_name"))
-        .filter(F.length("_name") > 0)
+        .filter(F.length(F.trim("_name")) > 0)
         .distinct()
         .withColumn("_lower", F.lower("_name"))
     )
     few = wanted.limit(inline_names + 1).collect()
+    if not few:
+        return texts.select(text_id, F.lit(None).cast("string").alias(name)).filter(F.lit(False))
     if len(few) <= inline_names:
-        listed = F.array(*[F.struct(F.lit(r["_name"]).alias("name"), F.lit(r["_lower"]).alias("lower"))
-                           for r in few]) if few else F.array().cast("array<struct<name:string,lower:string>>")
-        lowered = F.lower(text)
-        return texts.select(
-            text_id,
-            F.explode(F.filter(listed, lambda n: F.contains(lowered, n["lower"]))).alias("_hit"),
-        ).select(text_id, F.col("_hit.name").alias(name))
-    gram_names = wanted.withColumn("_gram", F.substring("_lower", 1, anchor))
-    widths = [r[0] for r in gram_names.select(F.length("_gram")).distinct().collect()]
-    lowered = texts.select(text_id, F.lower(text).alias("_text"))
-    def cut(width: int) -> Column:
-        last = F.greatest(F.length("_text") - (width - 1), F.lit(1))
-        return F.transform(
-            F.sequence(F.lit(1), last), lambda at: F.substring(F.col("_text"), at, F.lit(width))
+        listed = F.array(
+            *[F.struct(F.lit(r["_name"]).alias("name"), F.lit(r["_lower"]).alias("lower")) for r in few]
+        )
+        # the one-element array lowers each text once, not once per name
+        found = F.transform(
+            F.array(F.lower(text)),
+            lambda t: F.filter(listed, lambda n: F.contains(t, n["lower"])),
+        )
+        return texts.select(text_id, F.explode(F.flatten(found)).alias("_hit")).select(
+            text_id, F.col("_hit.name").alias(name)
         )
 
-    grams = F.array_distinct(F.flatten(F.array(*[cut(w) for w in widths])))
-    candidates = (
-        lowered.select(text_id, F.explode(grams).alias("_gram"))
-        .join(gram_names, "_gram")
-        .select(text_id, "_name", "_lower")
+    first = F.regexp_extract("_lower", r"(\S+)", 1)
+    keyed = wanted.select(
+        "_name", "_lower",
+        F.regexp_like("_lower", F.lit(r"\S\s")).alias("_ends"),
+        F.when(F.regexp_like("_lower", F.lit(r"\S\s")), F.right(first, F.lit(anchor)))
+        .otherwise(F.left(first, F.lit(anchor))).alias("_key"),
+    )
+    widths = keyed.select("_ends", F.length("_key").alias("w")).distinct().collect()
+    endings = sorted({r["w"] for r in widths if r["_ends"]})
+    inner = sorted({r["w"] for r in widths if not r["_ends"]})
+
+    words = texts.select(
+        text_id, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("_word")
+    ).filter(F.col("_word") != "")
+    chars = F.split("_word", "")
+
+    def windows(width: int) -> Column:
+        last = F.size(chars) - width + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.array_join(F.slice(chars, at, width), ""))
+
+    keys = [F.array(F.right("_word", F.lit(w))) for w in endings] + [windows(w) for w in inner]
+    hits = (
+        words.select("_word").distinct()
+        .select("_word", F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("_key"))
+        .join(keyed, "_key")
+        .filter(~F.col("_ends") | F.endswith("_word", "_key"))
+        .select("_word", "_name", "_lower")
+        .distinct()
     )
+    candidates = words.join(hits, "_word").select(text_id, "_name", "_lower").distinct()
     return (
-        candidates.join(lowered, text_id)
+        candidates.join(texts.select(text_id, F.lower(text).alias("_text")), text_id)
         .filter(F.contains("_text", "_lower"))
         .select(text_id, F.col("_name").alias(name))
     )
