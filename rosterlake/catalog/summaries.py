@@ -385,12 +385,14 @@ def reliability(spark, sf):
 
 
 @query("captain_score", f"""with {PARTS},
-s as (select player_id, expected_points, start_probability * (player_id % 5) / 4.0 as st, confidence_score from part_scores)
-select player_id, round(expected_points * case when st < 0.65 then 0.5 else 1.0 end * (0.5 + 0.35 * st + 0.15 * confidence_score / 100.0), 6) as captain_score from s""")
+s as (select player_id, expected_points, floor(start_probability * (player_id % 5) * 25) / 100.0::double as st, confidence_score from part_scores)
+select player_id, round(expected_points * case when st < 0.65 then 0.5 else 1.0 end * (0.5 + 0.35 * st + 0.15 * confidence_score / 100.0), 10) as captain_score from s""")
 def captain_score(spark, sf):
     return part_scores(spark, sf).select(
         "player_id",
-        r6(pl.captain_score(F.col("expected_points"), F.col("start_probability"), F.col("player_id") % 5 / 4.0, F.col("confidence_score"))).alias("captain_score"),
+        F.round(
+            pl.captain_score(F.col("expected_points"), F.floor(F.col("start_probability") * (F.col("player_id") % 5) * 25) / 100.0, F.lit(1.0), F.col("confidence_score")), 10
+        ).alias("captain_score"),
     )
 
 

@@ -424,25 +424,25 @@ def price_sweep(
     """Squads for every (problem, price of money): take the best ``ep - price x cost`` under
     the club limit and the quota. One pass of partial top-k per price, no solver (L2R).
 
-    Returns the selected rows with their ``lambda``; complete squads within budget only.
+    Returns the selected rows with their ``price_level``; complete squads within budget only.
     """
     priced = candidates.withColumn(
-        "lambda", F.explode(F.array(*[F.lit(float(p)) for p in prices]))
-    ).withColumn("_score", F.col("expected_points") - F.col("lambda") * F.col("now_cost_millions"))
-    per_club = top_rows(priced, [problem, "lambda", "team_id"], ["-_score", "player_id"], MAX_PER_CLUB)
+        "price_level", F.explode(F.array(*[F.lit(float(p)) for p in prices]))
+    ).withColumn("_score", F.col("expected_points") - F.col("price_level") * F.col("now_cost_millions"))
+    per_club = top_rows(priced, [problem, "price_level", "team_id"], ["-_score", "player_id"], MAX_PER_CLUB)
     ranked = top_rows(
-        per_club, [problem, "lambda", "element_type"], ["-_score", "player_id"], max(SQUAD_QUOTA.values()), "_slot"
+        per_club, [problem, "price_level", "element_type"], ["-_score", "player_id"], max(SQUAD_QUOTA.values()), "_slot"
     )
     quota = F.element_at(F.array(*[F.lit(q) for q in SQUAD_QUOTA.values()]), F.col("element_type").cast("int"))
     chosen = ranked.filter(F.col("_slot") <= quota).drop("_slot", "_score")
     feasible = (
-        chosen.groupBy(problem, "lambda")
+        chosen.groupBy(problem, "price_level")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("now_cost_millions").alias("squad_cost"))
         .join(budgets.select(problem, "budget"), problem)
         .filter((F.col("_n") == SQUAD_SIZE) & (F.col("squad_cost") <= F.col("budget") + 1e-6))
-        .select(problem, "lambda")
+        .select(problem, "price_level")
     )
-    return chosen.join(feasible, [problem, "lambda"], "left_semi")
+    return chosen.join(feasible, [problem, "price_level"], "left_semi")
 
 
 def sweep_bound(
@@ -451,17 +451,17 @@ def sweep_bound(
     """Upper bound on the points of any squad within budget: min over the price of (best quota
     sum at that price + price x budget). The club limit is left out, which keeps it a bound."""
     priced = candidates.withColumn(
-        "lambda", F.explode(F.array(*[F.lit(float(p)) for p in prices]))
-    ).withColumn("_score", F.col("expected_points") - F.col("lambda") * F.col("now_cost_millions"))
+        "price_level", F.explode(F.array(*[F.lit(float(p)) for p in prices]))
+    ).withColumn("_score", F.col("expected_points") - F.col("price_level") * F.col("now_cost_millions"))
     ranked = top_rows(
-        priced, [problem, "lambda", "element_type"], ["-_score", "player_id"], max(SQUAD_QUOTA.values()), "_slot"
+        priced, [problem, "price_level", "element_type"], ["-_score", "player_id"], max(SQUAD_QUOTA.values()), "_slot"
     )
     quota = F.element_at(F.array(*[F.lit(q) for q in SQUAD_QUOTA.values()]), F.col("element_type").cast("int"))
     return (
         ranked.filter(F.col("_slot") <= quota)
-        .groupBy(problem, "lambda").agg(F.sum("_score").alias("_sum"))
+        .groupBy(problem, "price_level").agg(F.sum("_score").alias("_sum"))
         .join(budgets.select(problem, "budget"), problem)
-        .groupBy(problem).agg(F.min(F.col("_sum") + F.col("lambda") * F.col("budget")).alias("bound_points"))
+        .groupBy(problem).agg(F.min(F.col("_sum") + F.col("price_level") * F.col("budget")).alias("bound_points"))
     )
 
 
@@ -471,9 +471,9 @@ def select_squad(
     """The best swept squad per problem by line-up points + captain + 0.25 x bench, and its
     distance from the bound."""
     swept = price_sweep(candidates, budgets, prices, problem)
-    lineup = best_lineup(swept, [problem, "lambda"])
+    lineup = best_lineup(swept, [problem, "price_level"])
     starts = F.col("starting") == 1
-    value = lineup.groupBy(problem, "lambda").agg(
+    value = lineup.groupBy(problem, "price_level").agg(
         F.sum("expected_points").alias("squad_points"),
         F.sum("now_cost_millions").alias("squad_cost"),
         (
@@ -485,8 +485,8 @@ def select_squad(
     )
     best = value.groupBy(problem).agg(
         F.max_by(
-            F.struct("lambda", "squad_points", "squad_cost", "objective", "formation_no"),
-            F.struct(F.col("objective"), -F.col("lambda")),
+            F.struct("price_level", "squad_points", "squad_cost", "objective", "formation_no"),
+            F.struct(F.col("objective"), -F.col("price_level")),
         ).alias("_b")
     ).select(problem, "_b.*")
     return best.join(sweep_bound(candidates, budgets, prices, problem), problem, "left").withColumn(
@@ -506,10 +506,10 @@ def sweep_swaps(
     """
     lam = F.explode(F.array(*[F.lit(float(p)) for p in prices]))
     outs = numbered(
-        owned.withColumn("lambda", lam).withColumn(
-            "_score", F.col("expected_points") - F.col("lambda") * F.col("sale_value")
+        owned.withColumn("price_level", lam).withColumn(
+            "_score", F.col("expected_points") - F.col("price_level") * F.col("sale_value")
         ),
-        [problem, "lambda", "element_type"], ["_score", "player_id"], "_rank", hot=False,
+        [problem, "price_level", "element_type"], ["_score", "player_id"], "_rank", hot=False,
     )
     crowded = owned.groupBy(problem, "team_id").agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") >= MAX_PER_CLUB
@@ -517,15 +517,15 @@ def sweep_swaps(
     new = (
         candidates.join(owned.select(problem, "player_id"), [problem, "player_id"], "left_anti")
         .join(crowded.select(problem, "team_id"), [problem, "team_id"], "left_anti")
-        .withColumn("lambda", lam)
-        .withColumn("_score", F.col("expected_points") - F.col("lambda") * F.col("now_cost_millions"))
+        .withColumn("price_level", lam)
+        .withColumn("_score", F.col("expected_points") - F.col("price_level") * F.col("now_cost_millions"))
     )
-    one_per_club = top_rows(new, [problem, "lambda", "team_id"], ["-_score", "player_id"], 1)
+    one_per_club = top_rows(new, [problem, "price_level", "team_id"], ["-_score", "player_id"], 1)
     ins = top_rows(
-        one_per_club, [problem, "lambda", "element_type"], ["-_score", "player_id"],
+        one_per_club, [problem, "price_level", "element_type"], ["-_score", "player_id"],
         max(SQUAD_QUOTA.values()), "_rank",
     )
-    keys = [problem, "lambda", "element_type", "_rank"]
+    keys = [problem, "price_level", "element_type", "_rank"]
     pairs = outs.select(
         *keys, F.col("player_id").alias("out_id"), F.col("_score").alias("_out"),
         F.col("expected_points").alias("_out_ep"), "sale_value",
@@ -536,8 +536,8 @@ def sweep_swaps(
         ),
         keys,
     ).withColumn("_value", F.col("_in") - F.col("_out")).filter(F.col("_value") > 0)
-    best = top_rows(pairs, [problem, "lambda"], ["-_value", "out_id"], max_swaps, "swap_no")
-    upto = Window.partitionBy(problem, "lambda").orderBy("swap_no").rowsBetween(Window.unboundedPreceding, 0)
+    best = top_rows(pairs, [problem, "price_level"], ["-_value", "out_id"], max_swaps, "swap_no")
+    upto = Window.partitionBy(problem, "price_level").orderBy("swap_no").rowsBetween(Window.unboundedPreceding, 0)
     totals = best.withColumns(
         {
             "delta": F.col("_in_ep") - F.col("_out_ep"),
@@ -550,11 +550,11 @@ def sweep_swaps(
     ).filter(F.col("_net") > 0)
     pick = options.groupBy(problem).agg(
         F.max_by(
-            F.struct(F.col("lambda"), F.col("swap_no").alias("swaps"), F.col("_net").alias("net_gain")),
-            F.struct(F.col("_net"), -F.col("swap_no"), -F.col("lambda")),
+            F.struct(F.col("price_level"), F.col("swap_no").alias("swaps"), F.col("_net").alias("net_gain")),
+            F.struct(F.col("_net"), -F.col("swap_no"), -F.col("price_level")),
         ).alias("_p")
     ).select(problem, "_p.*")
-    return best.join(pick, [problem, "lambda"]).filter(F.col("swap_no") <= F.col("swaps")).select(
-        problem, "lambda", "swap_no", "out_id", "in_id",
+    return best.join(pick, [problem, "price_level"]).filter(F.col("swap_no") <= F.col("swaps")).select(
+        problem, "price_level", "swap_no", "out_id", "in_id",
         (F.col("_in_ep") - F.col("_out_ep")).alias("delta"), "sale_value", "in_price", "net_gain",
     )
