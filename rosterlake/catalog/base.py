@@ -81,7 +81,7 @@ def _points(c: str) -> Column:
 def part_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("player_id")).agg(
         _points("l_extendedprice").alias("_ep"),
-        (F.count_if(F.col("l_returnflag") != "A") / F.count(F.lit(1))).alias("_start"),
+        (F.floor(F.count_if(F.col("l_returnflag") != "A") * 100 / F.count(F.lit(1))) / 100.0).alias("_start"),
         (F.sum("l_quantity").cast("long") % 60 + 40).cast("double").alias("_conf"),
     )
     parts = table(spark, sf_dir, "part").select(
@@ -112,7 +112,7 @@ part_scores as (
   from part left join (
     select l_partkey,
            floor(cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*)) / 10000.0::double as ep,
-           cast(count(*) filter (where l_returnflag <> 'A') as double) / count(*) as st,
+           floor(cast(count(*) filter (where l_returnflag <> 'A') * 100 as double) / count(*)) / 100.0::double as st,
            cast(cast(sum(l_quantity) as bigint) % 60 + 40 as double) as cf
     from lineitem group by l_partkey) on p_partkey = l_partkey
 )"""

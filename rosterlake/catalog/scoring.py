@@ -69,21 +69,21 @@ def confidence_bands(spark, sf):
 @query("expected_value", f"""with {PARTS},
 v as (select player_id, start_probability as ps, start_probability * 0.5 + 0.3 as pa, expected_points as h, case when element_type = 2 then null else 1 + element_type * 0.25 end as cm,
   player_id % 3 / 2.0 as av, player_id % 11 * 0.1 - 0.5 as b from part_scores)
-select player_id, round(greatest(pa, ps), 6) as p_appear,
-  round((ps * h + greatest(0.0, greatest(pa, ps) - ps) * coalesce(cm, 1.0)) * av, 6) as expected_points_raw,
-  round(greatest(0.0, (ps * h + greatest(0.0, greatest(pa, ps) - ps) * coalesce(cm, 1.0)) * av + b * ps * av), 6) as expected_points from v""")
+select player_id, round(greatest(pa, ps), 9) as p_appear,
+  round((ps * h + greatest(0.0, greatest(pa, ps) - ps) * coalesce(cm, 1.0)) * av, 9) as expected_points_raw,
+  round(greatest(0.0, (ps * h + greatest(0.0, greatest(pa, ps) - ps) * coalesce(cm, 1.0)) * av + b * ps * av), 9) as expected_points from v""")
 def expected_value(spark, sf):
     p = part_scores(spark, sf)
     pid, pos, ps = F.col("player_id"), F.col("element_type"), F.col("start_probability")
     made = scoring.expected_value(
         ps, ps * 0.5 + 0.3, F.col("expected_points"), F.when(pos != 2, pos * 0.25 + 1), pid % 3 / 2.0, pid % 11 * 0.1 - 0.5
     )
-    return p.select("player_id", *[r6(c).alias(n) for n, c in made.items()])
+    return p.select("player_id", *[F.round(c, 9).alias(n) for n, c in made.items()])
 
 
 @query("residuals", f"""with {PARTS}, {ROUNDS}
-select r.player_id, p.element_type, round(p.start_probability * p.expected_points + greatest(0.0, 0.8 - p.start_probability) * 1.5, 6) as predicted_points,
-  round(r.expected_points - (p.start_probability * p.expected_points + greatest(0.0, 0.8 - p.start_probability) * 1.5), 6) as residual, 3 as gw
+select r.player_id, p.element_type, round(p.start_probability * p.expected_points + greatest(0.0, 0.8 - p.start_probability) * 1.5, 9) as predicted_points,
+  round(r.expected_points - (p.start_probability * p.expected_points + greatest(0.0, 0.8 - p.start_probability) * 1.5), 9) as residual, 3 as gw
 from part_rounds r join part_scores p on p.player_id = r.player_id where r.gameweek = 3""")
 def residuals(spark, sf):
     p = part_scores(spark, sf)
@@ -93,7 +93,7 @@ def residuals(spark, sf):
     )
     cameo = p.select("element_type").distinct().withColumn("cameo_points", F.lit(1.5))
     out = state.residuals(actual, scored, p.select("player_id", "element_type"), cameo, 3)
-    return rounded(out, "predicted_points", "residual")
+    return out.withColumns({c: F.round(c, 9) for c in ("predicted_points", "residual")})
 
 
 @query("ema_bias_replay", """
@@ -215,7 +215,7 @@ def gbt_fit_score(spark, sf):
 @query("tuned_selection")
 def tuned_selection(spark, sf):
     """Two candidate families, seeded draws, forward folds; the metric table of the selection."""
-    docs = labelled_docs(spark, sf).withColumns(
+    docs = labelled_docs(spark, sf).drop("prediction").withColumns(
         {"period": (F.col("doc_id") % 20).cast("int"), "half": F.col("y") * 0.5 + F.col("doc_id") % 3, "third": F.col("doc_id") % 7}
     )
     spaces = [

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -218,15 +219,17 @@ def draws(space: dict[str, list], count: int, seed: int) -> list[dict]:
 
 def cross_validate(
     df: DataFrame, candidate: Candidate, kind: str, features: Sequence[str], label: str,
-    params: dict, weight: str | None, folds: int,
+    params: dict, weight: str | None, folds: int, sizes: dict[int, tuple[int, int]],
 ) -> list[float]:
-    """Metric per forward fold; ``df`` carries the fold column of :func:`forward_folds`."""
+    """Metric per forward fold; ``df`` carries the fold column of :func:`forward_folds` and
+    ``sizes`` the (rows, classes) of each fold."""
     scores = []
     for fold in range(1, folds + 1):
-        train, test = df.filter(F.col("fold") < fold), df.filter(F.col("fold") == fold)
-        if train.isEmpty() or test.isEmpty():
+        earlier = [sizes[f] for f in range(fold) if f in sizes]
+        if not earlier or fold not in sizes:
             continue
-        if kind == "classifier" and train.select(label).distinct().count() < 2:
+        train, test = df.filter(F.col("fold") < fold), df.filter(F.col("fold") == fold)
+        if kind == "classifier" and max(classes for _, classes in earlier) < 2:
             continue
         fitted = model_pipeline(candidate, kind, features, label, params, weight).fit(train)
         scored = fitted.transform(test)
@@ -261,23 +264,36 @@ def search(
     df: DataFrame, candidate: Candidate, kind: str, features: Sequence[str], label: str,
     period: Sequence[str], weight: str | None = None, folds: int = 3, tries: int = 12, seed: int = 42,
     min_rows: int = 300, selection_rows: int = SELECTION_ROWS, order: Sequence[str] | None = None,
+    parallelism: int = 4,
 ) -> Fitted:
     """Randomised search over forward folds, then a fit on all rows (M7). Few rows, or one
     class, skip the search; a failed draw is passed over."""
     sample = recent_rows(df, order or period, selection_rows)
     with_folds = sample.join(forward_folds(sample, period, folds), list(period)).persist()
     try:
-        rows = with_folds.count()
-        classes = with_folds.select(label).distinct().count() if kind == "classifier" else 2
+        sizes = {
+            r["fold"]: (r["n"], r["classes"])
+            for r in with_folds.groupBy("fold").agg(
+                F.count(F.lit(1)).alias("n"),
+                (F.countDistinct(label) if kind == "classifier" else F.lit(2)).alias("classes"),
+            ).collect()
+        }
+        rows = sum(n for n, _ in sizes.values())
+        classes = max((c for _, c in sizes.values()), default=0)
         options = draws(candidate.space, tries, seed) if rows >= min_rows and classes > 1 and tries else [{}]
-        best: tuple[float, dict, list[float]] | None = None
-        for params in options:
+
+        def attempt(params: dict) -> list[float]:
             try:
-                scores = cross_validate(with_folds, candidate, kind, features, label, params, weight, folds)
+                return cross_validate(with_folds, candidate, kind, features, label, params, weight, folds, sizes)
             except Exception:  # noqa: BLE001 - a draw that cannot be fitted is not a result
                 if not params:
                     raise
-                continue
+                return []
+
+        with ThreadPool(max(1, min(parallelism, len(options)))) as pool:
+            results = pool.map(inheritable_thread_target(df.sparkSession)(attempt), options)
+        best: tuple[float, dict, list[float]] | None = None
+        for params, scores in zip(options, results):
             if not scores:
                 continue
             mean = sum(scores) / len(scores)
