@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from rosterlake.catalog.base import PARTS, ROUNDS, orders_panel, part_rounds, part_scores, query, r6, rounded, table
 from rosterlake.plans import features, ml, scoring, state
+from rosterlake.sources.history import read_history, write_history
+from rosterlake.streaming.sinks import scratch
 
 _MODELS = PARTS + """,
 long as (select player_id, element_type, team_id, confidence_score, m as model, round(expected_points * (1 + m * 0.1) - case when m = 2 then 6 else 0 end, 9) as raw,
@@ -311,10 +313,24 @@ def domain_tables(spark, sf):
     return hist, elements, teams, fx
 
 
+def stored(spark, hist):
+    """The panel as the table it is in production: several plans read it, none rebuilds it."""
+    path = scratch(spark, "history")
+    write_history(hist, path)
+    return read_history(spark, path)
+
+
+def stored_roster(spark, elements):
+    path = scratch(spark, "elements")
+    elements.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("feature_build")
 def feature_build(spark, sf):
     """The whole training frame: lags, rolling means, team and opponent context, targets."""
     hist, elements, _, _ = domain_tables(spark, sf)
+    hist, elements = stored(spark, hist), stored_roster(spark, elements)
     prepared = features.prepare_history(hist, elements)
     return features.training_frame(prepared, 12, windows=(5,))
 
@@ -323,5 +339,6 @@ def feature_build(spark, sf):
 def frame_assembly(spark, sf):
     """One row per player with the features of the next round."""
     hist, elements, teams, fx = domain_tables(spark, sf)
+    hist, elements = stored(spark, hist), stored_roster(spark, elements)
     prepared = features.prepare_history(hist, elements)
     return features.target_frame(prepared, elements, teams, fx, 7, 6)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_column(c: Column | str) -> Column:
@@ -18,8 +19,15 @@ def to_number(c: Column | str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def number_columns(columns: list[str], existing: list[str]) -> dict[str, Column]:
-    return {c: to_number(c) for c in columns if c in existing}
+def number_columns(columns: list[str], df: DataFrame) -> dict[str, Column]:
+    """The listed columns that exist, as doubles; only text needs a lenient cast."""
+    out = {}
+    for name in columns:
+        if name in df.columns:
+            numeric = isinstance(df.schema[name].dataType, T.NumericType)
+            value = F.col(name).cast("double")
+            out[name] = F.when(~F.isnan(value), value) if numeric else to_number(name)
+    return out
 
 
 def or_zero(c: Column | str) -> Column:

@@ -79,7 +79,7 @@ def mentions(
     text: str,
     name: str,
     anchor: int = 12,
-    inline_names: int = 500,
+    inline_names: int = 64,
 ) -> DataFrame:
     """Pairs (text, name) where the whole text contains the name, ignoring case.
 

@@ -67,6 +67,17 @@ def _hot(df: DataFrame, keys: Sequence[str], hot: bool | None) -> tuple[bool, in
     return bool(hot) or largest > limit, pieces
 
 
+def is_hot(df: DataFrame, keys: Sequence[str], distinct: str | None = None) -> bool:
+    """Whether a group is over the limit. For several ordered operators on the same groups,
+    ask once and pass the answer on. With ``distinct``, groups are counted after removing
+    duplicates of that column; an estimate is enough, as both plans give the same rows."""
+    limit = setting(df.sparkSession, MAX_GROUP_ROWS)
+    if distinct is None:
+        return group_sizes(df, keys)[1] > limit
+    estimate = df.groupBy(*keys).agg(F.approx_count_distinct(distinct).alias("n")).agg(F.max("n")).first()[0]
+    return (estimate or 0) * 1.2 > limit
+
+
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int) -> DataFrame:
     """Range-partition on (keys, order) and keep the piece number with each row."""
     ranges = [F.col(k).asc_nulls_first() for k in keys] + sort_columns(order)

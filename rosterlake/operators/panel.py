@@ -16,7 +16,7 @@ from rosterlake.constants import (
 )
 from rosterlake.functions.numbers import flag
 from rosterlake.functions.seasons import season_start_year
-from rosterlake.operators.ordered import first_row, last_row, lookback, numbered, running, sort_columns, top_rows
+from rosterlake.operators.ordered import first_row, is_hot, last_row, lookback, numbered, running, sort_columns, top_rows
 
 
 def form(
@@ -85,9 +85,10 @@ def change_and_expanding(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str, points: str
 ) -> DataFrame:
     """Rank gained since the previous row (0 at the start) and running mean of points."""
-    stepped = lookback(df, keys, order, 1, lambda w: {"_previous": F.lag(rank, 1).over(w)})
+    hot = is_hot(df, keys)
+    stepped = lookback(df, keys, order, 1, lambda w: {"_previous": F.lag(rank, 1).over(w)}, hot=hot)
     summed = running(
-        stepped, keys, order, {"_sum": ("sum", F.col(points)), "_n": ("count", F.col(points))}
+        stepped, keys, order, {"_sum": ("sum", F.col(points)), "_n": ("count", F.col(points))}, hot=hot
     )
     return (
         summed.withColumn(

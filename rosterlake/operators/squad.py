@@ -29,8 +29,7 @@ from rosterlake.constants import (
     TRIPLE_CAPTAIN_THRESHOLD,
 )
 from rosterlake.functions.numbers import sale_value
-from rosterlake.operators.ordered import lookback, numbered, top_rows
-from rosterlake.operators.panel import best_future
+from rosterlake.operators.ordered import lookback, numbered, running, top_rows
 
 
 def complete_squads(players: DataFrame, squad: Sequence[str], size: int = SQUAD_SIZE) -> DataFrame:
@@ -291,8 +290,10 @@ def chip_gains(weekly: DataFrame, squad: Sequence[str], gameweek: str = "gamewee
     its threshold and at least 95 % of the best later round in the same half (L7, W15)."""
     halves = weekly.withColumn("half", F.when(F.col(gameweek) <= FIRST_HALF_END, 1).otherwise(2))
     keys = [*squad, "half"]
-    out = best_future(halves, keys, [gameweek], "bench_points", "future_bench", hot=False)
-    out = best_future(out, keys, [gameweek], "captain_points", "future_captain", hot=False)
+    future = {"future_bench": "bench_points", "future_captain": "captain_points"}
+    out = running(
+        halves, keys, [f"-{gameweek}"], {n: ("max", F.col(c)) for n, c in future.items()}, include_current=False
+    ).withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in future})
     def playable(gain: str, future: str, threshold: float) -> Column:
         return (F.col(gain) >= threshold) & (F.col(gain) >= CHIP_FUTURE_RATIO * F.col(future))
     return out.withColumns(
@@ -502,8 +503,10 @@ def sweep_swaps(
     position-aligned swaps paid from bank plus sale values; each one beyond ``free`` costs a
     hit. Newcomers come one per club, from clubs with a free place, so the result stays legal.
 
-    Returns the chosen swaps; a problem without a worthwhile swap has no row.
+    Returns the chosen swaps; a problem without a worthwhile swap, or without a complete
+    squad, has no row.
     """
+    owned = complete_squads(owned, [problem])
     lam = F.explode(F.array(*[F.lit(float(p)) for p in prices]))
     outs = numbered(
         owned.withColumn("price_level", lam).withColumn(

@@ -12,7 +12,7 @@ from rosterlake.functions.numbers import flag, number_columns, to_number
 from rosterlake.functions.players import match_measures, position_flags
 from rosterlake.functions.seasons import season_start_year
 from rosterlake.operators.joins import fill_from, team_views
-from rosterlake.operators.ordered import first_row, last_row, lookback, top_rows
+from rosterlake.operators.ordered import first_row, is_hot, last_row, lookback, top_rows
 from rosterlake.operators.panel import form, prior_count, tail_mean
 
 HISTORY_ORDER = ["season_sort", "round", "kickoff_sort", "fixture"]
@@ -100,7 +100,13 @@ def add_team_context(
     hist: DataFrame, order: Sequence[str] = HISTORY_ORDER, windows: Sequence[int] = (ROLLING_WINDOW,),
     hot: bool | None = None,
 ) -> DataFrame:
-    """Own and opposing team form on every row."""
+    """Own and opposing team form on every row.
+
+    Both forms are joined to the few distinct (match, team, opponent) pairs; the panel itself
+    is joined, and shuffled, once.
+    """
+    if hot is None:
+        hot = is_hot(hist, ["season_name", "team"], "fixture")
     rolled = team_form(hist, order, windows, hot)
     names = [f"{s}_ma{w}" for w in windows for s in TEAM_STATS]
     own = rolled.select("season_name", "fixture", "team", *names)
@@ -108,9 +114,16 @@ def add_team_context(
         "season_name", "fixture", F.col("team").alias("opponent_team"),
         *[F.col(n).alias(f"opp_{n}") for n in names],
     )
-    return hist.join(own, ["season_name", "fixture", "team"], "left").join(
-        opposing, ["season_name", "fixture", "opponent_team"], "left"
+    match = ["season_name", "fixture", "team", "_rival"]
+    # one plain key even where the opponent is unknown, so that the own form is still found
+    rival = F.coalesce(F.col("opponent_team").cast("long"), F.lit(-(2**63)))
+    pairs = (
+        hist.select("season_name", "fixture", "team", "opponent_team").distinct()
+        .join(own, ["season_name", "fixture", "team"], "left")
+        .join(opposing, ["season_name", "fixture", "opponent_team"], "left")
+        .withColumn("_rival", rival).drop("opponent_team")
     )
+    return hist.withColumn("_rival", rival).join(pairs, match, "left").drop("_rival")
 
 
 def prepare_history(
@@ -121,7 +134,7 @@ def prepare_history(
     The club of a row is the row's own, else the fixture's side (V11), else the roster's.
     """
     typed = hist.withColumns(
-        number_columns([s for s in BASE_STATS if s != "value"] + ["value"], hist.columns)
+        number_columns(BASE_STATS, hist)
     )
     if "team" not in typed.columns:
         typed = typed.withColumn("team", F.lit(None).cast("int"))
@@ -169,9 +182,12 @@ def training_frame(
 ) -> DataFrame:
     """Rows with enough history of completed rounds: features (gaps as 0), target and time keys."""
     known = as_of(prepared, last_final, season)
-    rolled = form(known, PLAYER_SEASON, HISTORY_ORDER, stat_names(prepared), windows, hot=hot)
-    counted = prior_count(rolled, PLAYER_SEASON, HISTORY_ORDER, hot=hot)
-    full = add_team_context(counted, windows=windows, hot=hot).filter("enough_prev")
+    if hot is None:
+        hot = is_hot(known, PLAYER_SEASON)
+    # the team join comes first: after the windows its shuffle would carry every feature
+    placed = add_team_context(known, windows=windows)
+    rolled = form(placed, PLAYER_SEASON, HISTORY_ORDER, stat_names(prepared), windows, hot=hot)
+    full = prior_count(rolled, PLAYER_SEASON, HISTORY_ORDER, hot=hot).filter("enough_prev")
     names = feature_names(prepared, windows)
     return full.select(
         *MATCH_KEY, "season_sort", "kickoff_sort", "element_type", "prev_matches",

@@ -60,3 +60,10 @@ def pin(df: DataFrame) -> DataFrame:
     and a lost executor costs a re-read, not a re-computation."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for heavy per-row work when the input comes in fewer pieces than there
+    are cores (a few small files). Larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -34,7 +34,7 @@ def player_histories(
     if roster is not None:
         documents = documents.join(roster.select("player_id"), "player_id", "left_semi")
     rows = documents.select("player_id", F.explode("history").alias("h")).select("player_id", "h.*").drop("element")
-    rows = rows.withColumns(number_columns(BASE_STATS, rows.columns))
+    rows = rows.withColumns(number_columns(BASE_STATS, rows))
     return rows if season is None else tag_season(rows, season)
 
 
@@ -295,7 +295,7 @@ def normalise_archive(
         "player_id", "fixture", "opponent_team", "round", "team_h_score", "team_a_score", "xP",
         "difficulty", "fixture_difficulty", "element_type", "official_expected_points", *BASE_STATS,
     ]
-    df = df.withColumns(number_columns(numeric, df.columns))
+    df = df.withColumns(number_columns(numeric, df))
     integers = {"player_id": "bigint", "fixture": "int", "opponent_team": "int", "team_h_score": "int", "team_a_score": "int"}
     df = df.withColumns({c: F.col(c).cast(t) for c, t in integers.items() if c in df.columns})
     if "round" in df.columns:
