@@ -441,7 +441,10 @@ _PROBLEM = PARTS + """,
 cand as (select *, player_id % 4 as problem_id from part_scores),
 lam(price_level) as (select unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.6, 0.8]::double[])),
 priced as (select *, expected_points - price_level * now_cost_millions as sc from cand, lam),
-clubbed as (select * from priced qualify row_number() over (partition by problem_id, price_level, team_id order by sc desc, player_id) <= 3),
+repl as (select problem_id, price_level, element_type, min(sc) as last_place from (select *, row_number() over (partition by problem_id, price_level, element_type order by sc desc, player_id) as k from priced)
+  where k <= case element_type when 1 then 2 when 2 then 5 when 3 then 5 else 3 end group by 1, 2, 3),
+clubbed as (select p.* from priced p join repl r on r.problem_id = p.problem_id and r.price_level = p.price_level and r.element_type = p.element_type
+  qualify row_number() over (partition by p.problem_id, p.price_level, p.team_id order by p.sc - r.last_place desc, player_id) <= 3),
 slotted as (select * from clubbed qualify row_number() over (partition by problem_id, price_level, element_type order by sc desc, player_id)
    <= case element_type when 1 then 2 when 2 then 5 when 3 then 5 else 3 end),
 ok as (select problem_id, price_level from slotted group by 1, 2 having count(*) = 15 and sum(now_cost_millions) <= 100 + problem_id * 5 + 1e-6),

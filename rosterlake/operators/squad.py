@@ -419,31 +419,48 @@ def score_outcomes(rows: DataFrame, lineup: Sequence[str]) -> DataFrame:
 
 # --- budgeted selection -----------------------------------------------------------------------
 
+def _priced(candidates: DataFrame, prices: Sequence[float]) -> DataFrame:
+    return candidates.withColumn(
+        "price_level", F.explode(F.array(*[F.lit(float(p)) for p in prices]))
+    ).withColumn("_score", F.col("expected_points") - F.col("price_level") * F.col("now_cost_millions"))
+
+
+def _quota() -> Column:
+    return F.element_at(F.array(*[F.lit(q) for q in SQUAD_QUOTA.values()]), F.col("element_type").cast("int"))
+
+
+def _best_by_position(priced: DataFrame, problem: str) -> DataFrame:
+    ranked = top_rows(
+        priced, [problem, "price_level", "element_type"], ["-_score", "player_id"], max(SQUAD_QUOTA.values()), "_slot"
+    )
+    return ranked.filter(F.col("_slot") <= _quota()).drop("_slot")
+
+
 def price_sweep(
     candidates: DataFrame, budgets: DataFrame, prices: Sequence[float], problem: str = "problem_id"
 ) -> DataFrame:
-    """Squads for every (problem, price of money): take the best ``ep - price x cost`` under
-    the club limit and the quota. One pass of partial top-k per price, no solver (L2R).
+    """Squads for every (problem, price of money), without a solver (L2R).
 
-    Returns the selected rows with their ``price_level``; complete squads within budget only.
+    The score is ``ep - price x cost``. A club keeps its three players furthest above the
+    position's last place that would be filled without the club limit (else keepers would
+    never be among a club's three); the quota is then filled by score. Partial top-k on the
+    map side throughout. Returns the rows of complete squads within budget, with their
+    ``price_level``.
     """
-    priced = candidates.withColumn(
-        "price_level", F.explode(F.array(*[F.lit(float(p)) for p in prices]))
-    ).withColumn("_score", F.col("expected_points") - F.col("price_level") * F.col("now_cost_millions"))
-    per_club = top_rows(priced, [problem, "price_level", "team_id"], ["-_score", "player_id"], MAX_PER_CLUB)
-    ranked = top_rows(
-        per_club, [problem, "price_level", "element_type"], ["-_score", "player_id"], max(SQUAD_QUOTA.values()), "_slot"
-    )
-    quota = F.element_at(F.array(*[F.lit(q) for q in SQUAD_QUOTA.values()]), F.col("element_type").cast("int"))
-    chosen = ranked.filter(F.col("_slot") <= quota).drop("_slot", "_score")
+    keys = [problem, "price_level"]
+    priced = _priced(candidates, prices)
+    last_place = _best_by_position(priced, problem).groupBy(*keys, "element_type").agg(F.min("_score").alias("_last"))
+    above = priced.join(last_place, [*keys, "element_type"]).withColumn("_above", F.col("_score") - F.col("_last"))
+    per_club = top_rows(above, [*keys, "team_id"], ["-_above", "player_id"], MAX_PER_CLUB)
+    chosen = _best_by_position(per_club.drop("_last", "_above"), problem).drop("_score")
     feasible = (
-        chosen.groupBy(problem, "price_level")
+        chosen.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("now_cost_millions").alias("squad_cost"))
         .join(budgets.select(problem, "budget"), problem)
         .filter((F.col("_n") == SQUAD_SIZE) & (F.col("squad_cost") <= F.col("budget") + 1e-6))
-        .select(problem, "price_level")
+        .select(*keys)
     )
-    return chosen.join(feasible, [problem, "price_level"], "left_semi")
+    return chosen.join(feasible, keys, "left_semi")
 
 
 def sweep_bound(
@@ -451,15 +468,8 @@ def sweep_bound(
 ) -> DataFrame:
     """Upper bound on the points of any squad within budget: min over the price of (best quota
     sum at that price + price x budget). The club limit is left out, which keeps it a bound."""
-    priced = candidates.withColumn(
-        "price_level", F.explode(F.array(*[F.lit(float(p)) for p in prices]))
-    ).withColumn("_score", F.col("expected_points") - F.col("price_level") * F.col("now_cost_millions"))
-    ranked = top_rows(
-        priced, [problem, "price_level", "element_type"], ["-_score", "player_id"], max(SQUAD_QUOTA.values()), "_slot"
-    )
-    quota = F.element_at(F.array(*[F.lit(q) for q in SQUAD_QUOTA.values()]), F.col("element_type").cast("int"))
     return (
-        ranked.filter(F.col("_slot") <= quota)
+        _best_by_position(_priced(candidates, prices), problem)
         .groupBy(problem, "price_level").agg(F.sum("_score").alias("_sum"))
         .join(budgets.select(problem, "budget"), problem)
         .groupBy(problem).agg(F.min(F.col("_sum") + F.col("price_level") * F.col("budget")).alias("bound_points"))
