@@ -117,7 +117,7 @@ def ema_bias_replay(spark, sf):
 with e as (select cast(user_id as varchar) as u, event_type as t, day(ts) as gw, round(value - 10, 6) as residual from events where day(ts) = 20),
 m as (select 'player' as kind, u as key, avg(residual) as m from e group by 1, 2 union all select 'position', t, avg(residual) from e group by 1, 2),
 o as (select 'player' as kind, cast(c_custkey as varchar) as key, round(c_acctbal / 10000.0, 6) as b, 19 as g from customer where c_custkey % 10 < 7)
-select coalesce(o.kind, m.kind) as kind, coalesce(o.key, m.key) as key, round(case when m.m is null then b else 0.85 * coalesce(b, 0) + 0.15 * m.m end, 6) as bias,
+select coalesce(o.kind, m.kind) as kind, coalesce(o.key, m.key) as key, round(case when m.m is null then b else 0.85 * coalesce(b, 0) + 0.15 * m.m end, 9) as bias,
   20 as last_gw from o full join m on o.kind = m.kind and o.key = m.key""")
 def ema_update(spark, sf):
     found = table(spark, sf, "events").filter(F.dayofmonth("ts") == 20).select(
@@ -129,7 +129,7 @@ def ema_update(spark, sf):
         F.round(F.col("c_acctbal") / 10000.0, 6).alias("bias"), F.lit(19).alias("last_gw"),
     )
     out = state.update_state(old, found, "2025-26")
-    return rounded(out, "bias").select("kind", "key", "bias", "last_gw")
+    return out.select("kind", "key", F.round("bias", 9).alias("bias"), "last_gw")
 
 
 _LABELLED = "select d.doc_id, quality as label, case when n_chars % 5 < 3 then 1 else 0 end as prediction, cast(n_chars as double) / 1000 as y from documents d join labels l on l.doc_id = d.doc_id"
