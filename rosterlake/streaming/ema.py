@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ from rosterlake.constants import EMA_ALPHA
 from rosterlake.plans.state import KINDS
 from rosterlake.streaming.sinks import each_batch
 
+# the processor travels with the job, so that workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PARTIAL = "season_name string, kind string, key string, gw int, total double, n long"
 _STATE = "season string, bias double, gw int, total double, n long"
 OUTPUT = "season_name string, kind string, key string, bias double, last_gw int"
