@@ -8,8 +8,8 @@ from rosterlake.catalog.base import PARTS, ROUNDS, day, orders_panel, part_round
 from rosterlake.functions import text as tx
 from rosterlake.functions.numbers import flag
 from rosterlake.operators import joins, quality
-from rosterlake.operators.ordered import numbered
 from rosterlake.constants import CURRENT_INFO_WORDS
+from rosterlake.session import spread
 
 # Fixtures: order = match, round = order month in its year; sides = smallest / largest supplier.
 _FIX = """
@@ -524,7 +524,7 @@ _CLEAN = (
 from (select doc_id, {_CLEAN} as c from documents)""")
 def text_clean(spark, sf):
     whole = tx.collapse_text("text")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", tx.clean_text("text").alias("cleaned"), F.length(whole).alias("n_chars"), F.md5(whole).alias("whole_text")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.constants import CURRENT_INFO_WORDS
 from rosterlake.functions.numbers import as_column
+from rosterlake.session import spread
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -89,6 +90,7 @@ def mentions(
     joined to the names on that anchor, the hits lead back to the texts, and every candidate
     is verified against its whole text. The text x name product is never formed.
     """
+    texts = spread(texts.select(text_id, text))
     wanted = (
         names.select(F.col(name).alias("_name"))
         .filter(F.length(F.trim("_name")) > 0)
