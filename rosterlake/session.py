@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_GROUP_ROWS = "spark.rosterlake.maxGroupRows"
-BROADCAST_ROWS = "spark.rosterlake.maxBroadcastRows"
 
 _DEFAULTS = {
     MAX_GROUP_ROWS: 1_000_000,
-    BROADCAST_ROWS: 200_000,
 }
 
 
@@ -45,12 +44,15 @@ def setting(spark: SparkSession, name: str) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it. Only a session in one process may do
+    without: it gets a temporary folder of its own. On a cluster a missing setting is an error."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rosterlake-"))
     return context.getCheckpointDir()
 
