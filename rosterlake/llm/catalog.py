@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import bpe, urls
+from rosterlake.llm import bpe, decontam, langid, urls
 from rosterlake.llm.runtime import sha_hex
 from rosterlake.llm.sql import SQL
 from rosterlake.session import prepare
@@ -39,6 +39,26 @@ def op5(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op6_wu_manber_decontamination")
+def op6(spark, sf_dir):
+    """Benchmark windows in every whole text."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontam.mark(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        sha_hex(F.array_join(ids, ",")).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op7_segmentation_marginalised_language")
+def op7(spark, sf_dir):
+    """Language of every whole text; a third of the documents is held out of the fit."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), ~F.col("held_out"))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op10_backtracking_bpe")
 def op10(spark, sf_dir):
     """Digests of ids and decoded bytes of every whole text."""

@@ -30,3 +30,28 @@ select p.page_id, p.host, p.path, f.rule,
                              or {" + ".join(f"({_alone(t)})::int" for t in SOFT)} >= {SOFT_HITS} then 'block' else 'allow' end) as verdict
 from parts p left join fits f using (page_id)
 """
+
+_RUNS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL["op6_wu_manber_decontamination"] = f"""
+with d as (select doc_id, text, row_number() over () as r from documents),
+dw as (select r, doc_id, {_RUNS.format(_LOWER.format("coalesce(text, '')"))} as w from d),
+bw as (select item_id, {_RUNS.format(_LOWER.format("coalesce(text, '')"))} as w from benchmark),
+pat as (
+  select distinct item_id, least(len(w), 10) as m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as s
+  from (select *, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from bw where len(w) > 0)
+),
+win as (
+  select r, i, m, array_to_string(w[i : i + m - 1], ' ') as s
+  from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i from dw, (select distinct m from pat) where len(w) >= m)
+),
+hit as (select r, i, win.m, item_id from win join pat using (m, s)),
+covered as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i + m)) as k from hit) group by r),
+items as (
+  select r, count(*) as n, string_agg(id, ',' order by id) as ids
+  from (select distinct r, item_id::varchar as id from hit) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join covered using (r) left join items using (r)
+"""
