@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import bpe, decontam, langid, urls
+from rosterlake.llm import bpe, decontam, langid, substring, urls
 from rosterlake.llm.runtime import sha_hex
 from rosterlake.llm.sql import SQL
 from rosterlake.session import prepare
@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query("op4_count_min_substring_dedup")
+def op4(spark, sf_dir):
+    """Every whole text without the words of windows that start earlier elsewhere."""
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", sha_hex("kept").alias("kept_sha256"))
+
+
 @query("op5_weighted_url_vocabulary")
 def op5(spark, sf_dir):
     """Every address judged by rule, else by vocabulary."""

@@ -55,3 +55,20 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join covered using (r) left join items using (r)
 """
+
+SQL["op4_count_min_substring_dedup"] = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (
+  select r, doc_id, i, array_to_string(w[i : i + 19], ' ') as s
+  from (select *, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)
+),
+least as (select s, min(struct_pack(doc_id := doc_id, i := i)) as l from win group by s having count(*) > 1),
+late as (select r, i from win join least using (s) where struct_pack(doc_id := win.doc_id, i := win.i) > l),
+gone as (select distinct r, unnest(range(i, i + 20)) as k from late),
+kept as (
+  select r, string_agg(word, ' ' order by k) as t, count(*) as n
+  from (select r, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from d) anti join gone using (r, k) group by r
+)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r)
+"""
