@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import bpe, decontam, langid, substring, urls
+from rosterlake.llm import bpe, decontam, langid, neardup, substring, urls
 from rosterlake.llm.runtime import sha_hex
 from rosterlake.llm.sql import SQL
 from rosterlake.session import prepare
@@ -66,6 +66,13 @@ def op7(spark, sf_dir):
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op8_multi_index_hamming_near_dedup")
+def op8(spark, sf_dir):
+    """Components of documents whose sets of four-word shingles are similar."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return neardup.near_duplicates(docs, shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op10_backtracking_bpe")
 def op10(spark, sf_dir):
     """Digests of ids and decoded bytes of every whole text."""

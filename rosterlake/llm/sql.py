@@ -72,3 +72,27 @@ kept as (
 select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (r)
 """
+
+SQL["op8_multi_index_hamming_near_dedup"] = r"""
+with recursive d as (
+  select doc_id, row_number() over () as r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+),
+shingle as (
+  select distinct r, doc_id, array_to_string(w[i : i + 3], ' ') as s
+  from (select *, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0)
+),
+size as (select r, count(*) as n from shingle group by r),
+link as (
+  select a.doc_id as a, b.doc_id as b
+  from shingle a join shingle b on a.s = b.s and a.r < b.r join size x on x.r = a.r join size y on y.r = b.r
+  group by a.r, b.r, a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+),
+edge as (select a, b from link union select b, a from link),
+reach(a, b) as (select a, b from edge union select reach.a, edge.b from reach join edge on reach.b = edge.a),
+least as (select a, min(b) as m from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id,
+       doc_id = least(doc_id, coalesce(m, doc_id)) as kept
+from d left join size using (r) left join least on a = doc_id
+"""
