@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import bpe, decontam, langid, neardup, substring, urls
+from rosterlake.llm import ann, bpe, decontam, langid, neardup, substring, urls
 from rosterlake.llm.runtime import sha_hex
 from rosterlake.llm.sql import SQL
 from rosterlake.session import prepare
@@ -73,6 +73,12 @@ def op8(spark, sf_dir):
     return neardup.near_duplicates(docs, shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op9_one_bit_codes")
+def op9(spark, sf_dir):
+    """Ten nearest neighbours of every hundredth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 @query("op10_backtracking_bpe")
 def op10(spark, sf_dir):
     """Digests of ids and decoded bytes of every whole text."""

@@ -96,3 +96,17 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, d
        doc_id = least(doc_id, coalesce(m, doc_id)) as kept
 from d left join size using (r) left join least on a = doc_id
 """
+
+SQL["op9_one_bit_codes"] = """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pair as (
+  select q.vec_id as query_id, c.vec_id as vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+)
+select query_id, (row_number() over (partition by query_id order by score, vec_id))::int as rank, vec_id, score
+from pair qualify rank <= 10
+"""
