@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import ann, bpe, decontam, langid, neardup, substring, urls
-from rosterlake.llm.runtime import sha_hex
+from rosterlake.llm import ann, bpe, decontam, langid, linededup, neardup, secrets, substring, urls
+from rosterlake.llm.runtime import scratch, sha_hex
 from rosterlake.llm.sql import SQL
 from rosterlake.session import prepare
 
@@ -32,6 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query("op1_secret_ledger")
+def op1(spark, sf_dir):
+    """Secrets in every whole text, through a ledger of scanned blobs."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.find(docs, scratch(spark, "secret-ledger")).drop("text")
+    kinds = [r.kind for r in secrets.RULES[:3]]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return found.select(
+        "doc_id", *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in kinds],
+        sha_hex(secrets.listed(base)).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op3_winnowed_line_dedup")
+def op3(spark, sf_dir):
+    """Every whole text without runs of lines that occur earlier."""
+    kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", sha_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 @query("op4_count_min_substring_dedup")
 def op4(spark, sf_dir):
     """Every whole text without the words of windows that start earlier elsewhere."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rosterlake.llm.linededup import RUN
+from rosterlake.llm.secrets import RULES as SECRETS
 from rosterlake.llm.urls import RULES, SOFT, SOFT_HITS, STRICT
 
 SQL: dict[str, str] = {}
@@ -110,3 +112,56 @@ pair as (
 select query_id, (row_number() over (partition by query_id order by score, vec_id))::int as rank, vec_id, score
 from pair qualify rank <= 10
 """
+
+
+def _secret_spans() -> str:
+    """Every rule's matches with the lengths of what stands between them."""
+    return " union all ".join(
+        f"""select r, '{rule.kind}' as kind, {place} as place, {rule.part} as part, {rule.least} as least,
+        regexp_extract_all(t, p) as hits, regexp_extract_all(t, p, {rule.part}) as parts, string_split_regex(t, p) as gaps
+        from (select r, t, '{rule.pattern.replace("'", "''")}' as p from d)"""
+        for place, rule in enumerate(SECRETS)
+    )
+
+
+SQL["op1_secret_ledger"] = f"""
+with d as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+raw as ({_secret_spans()}),
+each as (select r, kind, place, part, least, i, hits, parts, gaps from (select *, unnest(range(1, len(hits) + 1)) as i from raw)),
+span as (
+  select r, kind, place,
+         length(array_to_string(gaps[1 : i], '')) + length(array_to_string(hits[1 : i - 1], '')) as s, length(hits[i]) as n
+  from each where length(parts[i]) >= least
+),
+listed as (
+  select r, count(*) filter (where kind = 'assign') as a, count(*) filter (where kind = 'access') as k, count(*) filter (where kind = 'hex') as h,
+         string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, place) filter (where place < 3) as base,
+         string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, place) as spans
+  from span group by r
+)
+select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(k, 0)::bigint as n_access, coalesce(h, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join listed using (r)
+"""
+
+SQL["op3_winnowed_line_dedup"] = f"""
+with d as (
+  select doc_id, row_number() over () as r, coalesce(text, '') as t,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: not regexp_full_match(x, '[\\x20\\x09-\\x0D]*')) as w
+  from documents
+),
+win as (
+  select r, doc_id, i, w[i : i + {RUN - 1}] as s
+  from (select *, unnest(range(1, len(w) - {RUN - 2})) as i from d where len(w) >= {RUN})
+),
+least as (select s, min(struct_pack(doc_id := doc_id, i := i)) as l from win group by s having count(*) > 1),
+late as (select r, i from win join least using (s) where struct_pack(doc_id := win.doc_id, i := win.i) > l),
+gone as (select distinct r, unnest(range(i, i + {RUN})) as k from late),
+kept as (
+  select r, string_agg(line, chr(10) order by k) as t, count(*) as n
+  from (select r, unnest(range(1, len(w) + 1)) as k, unnest(w) as line from d) anti join gone using (r, k) group by r
+)
+select doc_id, len(w)::bigint as n_lines, (len(w) - coalesce(n, 0))::bigint as n_removed,
+       sha256(case when len(w) > coalesce(n, 0) then coalesce(kept.t, '') else d.t end) as kept_sha256
+from d left join kept using (r)
+"""
