@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import ann, bpe, decontam, langid, linededup, neardup, secrets, substring, urls
+from rosterlake.llm import ann, bpe, decontam, langid, linededup, neardup, pii, secrets, substring, urls
 from rosterlake.llm.runtime import scratch, sha_hex
 from rosterlake.llm.sql import SQL
 from rosterlake.session import prepare
@@ -45,6 +45,16 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op2_candidate_boosting_pii")
+def op2(spark, sf_dir):
+    """Personal data in every whole text: base spans and those that boosted trees add."""
+    found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", *[F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE],
+        sha_hex(secrets.listed(F.col("base"))).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op3_winnowed_line_dedup")
 def op3(spark, sf_dir):
     """Every whole text without runs of lines that occur earlier."""
