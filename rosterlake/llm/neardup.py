@@ -207,9 +207,10 @@ def near_duplicates(docs: DataFrame, column: str = "text", shingle: int = SHINGL
     close = _within(close).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     first = written(confirmed(close.join(b.select("b", "set_b"), "b").join(a.select("a", "set_a"), "a").select("a", "b", "set_a", "set_b"), percent).distinct(), "links")
 
-    # several sets under one id: links of the id itself
-    twice = taking.join(nodes.select("set_key", F.col("id").alias("b")), "set_key").filter("doc_id <> b")
-    twice = twice.join(nodes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "b")
+    # several sets under one id: links between their nodes
+    several = taking.groupBy("doc_id").agg(F.min("set_key").alias("_a"), F.max("set_key").alias("_b")).filter("_a <> _b").select("doc_id")
+    owned = taking.join(several, "doc_id", "left_semi").join(nodes.select("set_key", "id"), "set_key").select("doc_id", "id")
+    twice = owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").filter("a <> id").select("a", F.col("id").alias("b"))
     first = first.union(twice)
     labels = components(first)
 
