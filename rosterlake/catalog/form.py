@@ -258,9 +258,10 @@ def season_weights(spark, sf):
     )
 
 
-@query("recent_n", "select o_orderkey, o_totalprice from orders order by o_orderdate desc, o_orderkey desc limit 60000")
+@query("recent_n", "select o_orderkey, o_totalprice from orders order by o_orderdate desc, o_orderkey desc limit 1000")
 def recent_n(spark, sf):
-    return panel.recent_rows(orders_panel(spark, sf), TIME).select("o_orderkey", "o_totalprice")
+    """The thousand most recent orders: the number is the feature."""
+    return panel.recent_rows(orders_panel(spark, sf), TIME, 1000).select("o_orderkey", "o_totalprice")
 
 
 @query("forward_folds", """

@@ -520,7 +520,7 @@ _CLEAN = (
 )
 
 
-@query("text_clean", f"""select doc_id, substr(c, 1, 500) as cleaned, length(c) as n_chars, md5(c) as whole_text
+@query("text_clean", f"""select doc_id, c as cleaned, length(c) as n_chars, md5(c) as whole_text
 from (select doc_id, {_CLEAN} as c from documents)""")
 def text_clean(spark, sf):
     whole = tx.collapse_text("text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlake.catalog.base import PARTS, ROUNDS, orders_panel, part_rounds, part_scores, query, r6, rounded, table
+from rosterlake.constants import CORRELATION_THRESHOLD, MIN_VARIANCE
 from rosterlake.plans import features, ml, scoring, state
 from rosterlake.sources.history import read_history, write_history
 from rosterlake.streaming.sinks import scratch
@@ -163,21 +164,34 @@ def line_features(spark, sf):
     )
 
 
-@query("feature_screen_stats", "with l as (select *, l_quantity * 2 + l_tax as l_twice, 7.0::double as l_const from lineitem) " + " union all ".join(
-    f"select '{c}' as feature, count({c}) as n, round(var_pop({c}), 4) as variance, cast(var_pop({c}) > 1e-6 as integer) as varies, "
-    f"round(corr({c}, l_quantity), 6) as corr_with_first from l" for c in _FEATS[1:-1]
-))
+_LINES = "with l as (select *, l_quantity * 2 + l_tax as l_twice, 7.0::double as l_const from lineitem)"
+
+
+@query("feature_screen_stats", _LINES + ", s as (" + " union all ".join(
+    f"select '{c}' as feature, count({c}) as n, var_pop({c}) as v, corr({c}, l_quantity) as c from l" for c in _FEATS[1:-1]
+) + """) select feature, n, cast(floor(log10(v)) as integer) as magnitude, round(v / pow(10, floor(log10(v))), 8) as variance,
+  cast(v > 1e-6 as integer) as varies, round(c, 6) as corr_with_first from s""")
 def feature_screen_stats(spark, sf):
+    """Nine significant digits of each variance: more would show the order of summation."""
     l = line_features(spark, sf)
     stats = ml.screen_statistics(l, _FEATS[1:-1])
     first = l.agg(*[F.corr(c, "l_quantity").alias(c) for c in _FEATS[1:-1]]).unpivot([], _FEATS[1:-1], "feature", "_corr")
+    magnitude = F.floor(F.log10("variance"))
     return stats.join(first, "feature").select(
-        "feature", "n", F.round("variance", 4).alias("variance"), (F.col("variance") > 1e-6).cast("int").alias("varies"), r6("_corr").alias("corr_with_first")
+        "feature", "n", magnitude.cast("int").alias("magnitude"), F.round(F.col("variance") / F.pow(F.lit(10.0), magnitude), 8).alias("variance"),
+        (F.col("variance") > 1e-6).cast("int").alias("varies"), r6("_corr").alias("corr_with_first"),
+    )
+
+
+_KEPT = " union all ".join(
+    f"select '{c}' as kept from l having var_pop({c}) > {MIN_VARIANCE}" + "".join(
+        f" and coalesce(abs(case when var_pop({e}) > {MIN_VARIANCE} then corr({e}, {c}) end), 0) <= {CORRELATION_THRESHOLD}" for e in _FEATS[:j]
     )
+    for j, c in enumerate(_FEATS)
+)
 
 
-@query("feature_screen", "select unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_linenumber']) as kept "
-       "where (select var_pop(7) + 0 * count(*) from lineitem) <= 1e-6")
+@query("feature_screen", f"{_LINES} {_KEPT}")
 def feature_screen(spark, sf):
     """Kept features of the fitted screen: the constant and the doubled column go."""
     model = ml.FeatureScreen(inputCols=_FEATS).fit(line_features(spark, sf))
@@ -191,8 +205,8 @@ def training_rows(spark, sf):
     from rosterlake.operators.panel import form, prior_count
 
     o = orders_panel(spark, sf).withColumns({"round": F.month("o_orderdate"), "lines": F.substring("o_orderpriority", 1, 1).cast("double")})
-    rolled = form(o, ["o_custkey", "season"], ["o_orderdate", "o_orderkey"], ["o_totalprice", "lines"], (3, 5), hot=False)
-    counted = prior_count(rolled, ["o_custkey", "season"], ["o_orderdate", "o_orderkey"], 1, hot=False).filter("enough_prev")
+    rolled = form(o, ["o_custkey", "season"], ["o_orderdate", "o_orderkey"], ["o_totalprice", "lines"], (3, 5))
+    counted = prior_count(rolled, ["o_custkey", "season"], ["o_orderdate", "o_orderkey"], 1).filter("enough_prev")
     return counted.select(
         "o_orderkey", "season", "round", (F.col("o_totalprice") > 250000).cast("int").alias("starts"),
         (F.col("o_totalprice") > 50000).cast("int").alias("appears"), F.col("o_totalprice").alias("total_points"),
@@ -206,7 +220,7 @@ _MODEL_FEATURES = ["o_totalprice_ma3", "o_totalprice_ma5", "lines_ma3", "lines_m
 @query("gbt_fit_score")
 def gbt_fit_score(spark, sf):
     """Boosted classifiers and regressor fitted on the orders and applied to every row."""
-    rows = training_rows(spark, sf).persist()
+    rows = stored_rows(spark, training_rows(spark, sf), "training")
     small = ml.Candidate(
         "gbt", lambda p: ml.GBTClassifier(maxDepth=3, maxIter=5, seed=42), lambda p: ml.GBTRegressor(maxDepth=3, maxIter=5, seed=42)
     )
@@ -320,9 +334,9 @@ def stored(spark, hist):
     return read_history(spark, path)
 
 
-def stored_roster(spark, elements):
-    path = scratch(spark, "elements")
-    elements.write.mode("overwrite").parquet(path)
+def stored_rows(spark, rows, name):
+    path = scratch(spark, name)
+    rows.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -330,7 +344,7 @@ def stored_roster(spark, elements):
 def feature_build(spark, sf):
     """The whole training frame: lags, rolling means, team and opponent context, targets."""
     hist, elements, _, _ = domain_tables(spark, sf)
-    hist, elements = stored(spark, hist), stored_roster(spark, elements)
+    hist, elements = stored(spark, hist), stored_rows(spark, elements, "elements")
     prepared = features.prepare_history(hist, elements)
     return features.training_frame(prepared, 12, windows=(5,))
 
@@ -339,6 +353,6 @@ def feature_build(spark, sf):
 def frame_assembly(spark, sf):
     """One row per player with the features of the next round."""
     hist, elements, teams, fx = domain_tables(spark, sf)
-    hist, elements = stored(spark, hist), stored_roster(spark, elements)
+    hist, elements = stored(spark, hist), stored_rows(spark, elements, "elements")
     prepared = features.prepare_history(hist, elements)
     return features.target_frame(prepared, elements, teams, fx, 7, 6)

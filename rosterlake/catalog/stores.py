@@ -8,6 +8,7 @@ from rosterlake.catalog.base import PARTS, ROUNDS, orders_panel, part_rounds, pa
 from rosterlake.functions.seasons import season_code
 from rosterlake.operators.ordered import numbered
 from rosterlake.sources import predictions as store
+from rosterlake.sources.landed import standings
 from rosterlake.streaming.sinks import scratch
 
 _MONTHS = "select o_custkey as player_id, o_orderkey, o_totalprice as expected_points, year(o_orderdate) as season, month(o_orderdate) as gameweek from orders"
@@ -45,16 +46,16 @@ def prediction_order(spark, sf):
     )
 
 
-@query("horizon_missing", f"""with m as ({_MONTHS}), p as (select distinct gameweek from m where season = 2001 or gameweek between 9 and 12)
+@query("horizon_missing", f"""with m as ({_MONTHS}), p as (select distinct gameweek from m)
 select cast(g.r as integer) as gameweek, cast(g.r in (select gameweek from p) as integer) as present from generate_series(8, 15) g(r)""")
 def horizon_missing(spark, sf):
-    m = monthly(spark, sf).filter("season_name = '2001-02' or gameweek between 9 and 12")
-    return store.horizon_rounds(m, 8, 8).withColumn("present", F.col("present").cast("int"))
+    """Rounds 8 to 15 of months: the last three are missing."""
+    return store.horizon_rounds(monthly(spark, sf), 8, 8).withColumn("present", F.col("present").cast("int"))
 
 
-@query("available_horizon", f"""with m as ({_MONTHS}) select distinct gameweek from m where gameweek % 3 <> 0 and gameweek >= 4 order by 1 limit 4""")
+@query("available_horizon", f"""with m as ({_MONTHS}) select distinct gameweek from m where gameweek >= 10 order by 1 limit 4""")
 def available_horizon(spark, sf):
-    return store.available_horizon(monthly(spark, sf).filter("gameweek % 3 <> 0"), 4, 4)
+    return store.available_horizon(monthly(spark, sf), 10, 4)
 
 
 @query("season_catalogue", f"""with m as ({_MONTHS}),
@@ -130,8 +131,6 @@ def archived_round(spark, sf):
 select league_id, entry, total from (select c_nationkey as league_id, c_custkey as entry, cast(floor(c_acctbal) as bigint) as total from customer)""")
 def season_pages(spark, sf):
     """League pages landed as JSON and united."""
-    from rosterlake.sources.landed import standings
-
     path = scratch(spark, "pages")
     c = table(spark, sf, "customer").select(
         F.col("c_nationkey").cast("long").alias("league_id"), F.col("c_custkey").alias("entry"), F.floor("c_acctbal").cast("int").alias("total")
@@ -140,15 +139,6 @@ def season_pages(spark, sf):
     pages = paged.groupBy("league_id", "page").agg(
         F.struct(F.collect_list(F.struct("entry", "total", "rank")).alias("results")).alias("standings")
     ).select(F.struct(F.col("league_id").alias("id")).alias("league"), "standings")
-    # one document per file, as a downloader would land them
-    pages.repartition(8).select(F.to_json(F.struct("league", "standings")).alias("value")).write.mode("overwrite").text(path)
-    return standings_lines(spark, path)
-
-
-def standings_lines(spark, path):
-    from rosterlake import schemas
-
-    rows = spark.read.schema(schemas.STANDINGS).json(path)
-    return rows.select(F.col("league.id").alias("league_id"), F.explode("standings.results").alias("r")).select(
-        "league_id", "r.entry", "r.total"
-    )
+    # one document a line, as a downloader that appends would land them
+    pages.select(F.to_json(F.struct("league", "standings")).alias("value")).write.mode("overwrite").text(path)
+    return standings(spark, path, lines=True).select("league_id", "entry", "total")

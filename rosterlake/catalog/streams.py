@@ -12,7 +12,7 @@ from rosterlake.streaming.sinks import append_to, read_files, scratch
 
 
 def event_stream(spark, sf):
-    return read_files(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+    return read_files(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
 
 
 @query("stream_dedup", "select event_id, user_id, event_type, value from events")

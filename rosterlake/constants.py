@@ -51,7 +51,6 @@ CORRELATION_THRESHOLD = 0.90
 MIN_VARIANCE = 1e-6
 SEASON_DECAY = 0.7
 SEASON_WEIGHT_FLOOR = 0.25
-SELECTION_ROWS = 60_000
 Z80 = 1.2815515655446004
 
 # Availability by status code; anything else counts 0.5.

@@ -25,9 +25,10 @@ def collapse_text(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, SPACES, " "))
 
 
-def clean_text(text: Column | str, limit: int = 500) -> Column:
-    """Collapsed text, cut to the display limit."""
-    return F.substring(collapse_text(text), 1, limit)
+def clean_text(text: Column | str, limit: int | None = None) -> Column:
+    """Collapsed text, whole unless a display limit is asked for."""
+    whole = collapse_text(text)
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def keyword_flag(text: Column | str, words: list[str] = CURRENT_INFO_WORDS) -> Column:

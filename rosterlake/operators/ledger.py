@@ -132,10 +132,13 @@ def swap_order(pairs: DataFrame, banks: DataFrame, keys: Sequence[str]) -> DataF
     """An order in which every swap is affordable when made (L6R): at each step the first
     remaining pair the running bank can pay. ``pairs`` has pair_no, out_id, in_id,
     sale_tenths, price_tenths; ``banks`` has bank_tenths. A pair that never becomes affordable
-    has a null ``step``. Groups over the transfer cap break the rules and are left to
-    :func:`over_transfer_cap`."""
+    has a null ``step``. Groups over the transfer cap break the rules: none of their swaps is
+    made, so all of their pairs have a null ``step``, and :func:`over_transfer_cap` lists them."""
     k = list(keys)
-    legal = pairs.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= MAX_TRANSFERS_PER_ROUND)
+    sizes = pairs.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    legal = sizes.filter(F.col("_n") <= MAX_TRANSFERS_PER_ROUND)
+    bank = F.col("bank_tenths").cast("long").alias("bank_after_tenths")
+    broken = pairs.join(sizes.filter(F.col("_n") > MAX_TRANSFERS_PER_ROUND).select(*k), k, "left_semi").join(banks.select(*k, bank), k)
     item = F.struct("pair_no", "out_id", "in_id", "sale_tenths", "price_tenths")
     packed = (
         pairs.join(legal.select(*k), k, "left_semi").groupBy(*k)
@@ -171,7 +174,9 @@ def swap_order(pairs: DataFrame, banks: DataFrame, keys: Sequence[str]) -> DataF
     stuck = folded.select(*k, F.col("_f.bank").alias("bank_after_tenths"), F.explode("_f.left").alias("_p")).select(
         *k, F.lit(None).cast("int").alias("step"), "_p.*", "bank_after_tenths"
     )
-    return made.unionByName(stuck)
+    return made.unionByName(stuck).unionByName(
+        broken.select(*k, F.lit(None).cast("int").alias("step"), "pair_no", "out_id", "in_id", "sale_tenths", "price_tenths", "bank_after_tenths")
+    )
 
 
 def over_transfer_cap(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,6 @@ from rosterlake.constants import (
     ROLLING_WINDOW,
     SEASON_DECAY,
     SEASON_WEIGHT_FLOOR,
-    SELECTION_ROWS,
 )
 from rosterlake.functions.numbers import flag
 from rosterlake.functions.seasons import season_start_year
@@ -148,10 +147,11 @@ def add_season_weight(df: DataFrame, season: str) -> DataFrame:
     )
 
 
-def recent_rows(df: DataFrame, order: Sequence[str], rows: int = SELECTION_ROWS) -> DataFrame:
-    """The most recent rows, as a distributed top-k."""
+def recent_rows(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
+    """The ``rows`` most recent rows. They are numbered from the newest across all partitions, so
+    no task gathers them. ``order`` must be total for the result to be the same each time."""
     flipped = [s[1:] if s.startswith("-") else f"-{s}" for s in order]
-    return df.orderBy(*sort_columns(flipped)).limit(rows)
+    return numbered(df, [], flipped, "_recent").filter(F.col("_recent") <= rows).drop("_recent")
 
 
 def distinct_periods(df: DataFrame, period: Sequence[str]) -> DataFrame:

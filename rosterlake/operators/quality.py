@@ -14,10 +14,11 @@ from rosterlake.operators.ordered import lookback
 
 
 def raise_if_any(violations: DataFrame, message: str) -> None:
-    """Fail with a few examples when a check found something."""
+    """Fail with their number and a few examples when a check found something."""
     found = violations.limit(10).collect()
     if found:
-        raise ValueError(f"{message}: {[r.asDict(recursive=True) for r in found]}")
+        total = len(found) if len(found) < 10 else violations.count()
+        raise ValueError(f"{message}: {total} found, such as {[r.asDict(recursive=True) for r in found]}")
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:

@@ -19,7 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.constants import CORRELATION_THRESHOLD, MIN_VARIANCE, SELECTION_ROWS
+from rosterlake.constants import CORRELATION_THRESHOLD, MIN_VARIANCE
 from rosterlake.operators.panel import forward_folds, recent_rows
 
 
@@ -263,13 +263,19 @@ class Fitted:
 def search(
     df: DataFrame, candidate: Candidate, kind: str, features: Sequence[str], label: str,
     period: Sequence[str], weight: str | None = None, folds: int = 3, tries: int = 12, seed: int = 42,
-    min_rows: int = 300, selection_rows: int = SELECTION_ROWS, order: Sequence[str] | None = None,
+    tune: bool = True, selection_rows: int | None = None, order: Sequence[str] | None = None,
     parallelism: int = 4,
 ) -> Fitted:
-    """Randomised search over forward folds, then a fit on all rows (M7). Few rows, or one
-    class, skip the search; a failed draw is passed over."""
-    sample = recent_rows(df, order or period, selection_rows)
-    with_folds = sample.join(forward_folds(sample, period, folds), list(period)).persist()
+    """Randomised search over forward folds, then a fit on all rows (M7). ``tune=False`` scores the
+    defaults only; so does a label of one class, for which no draw can have a score. A draw that
+    cannot be fitted is an error. The search uses all rows; ``selection_rows`` bounds it to the
+    most recent ones, for classifiers only. Rows without a period are never tested, only trained on."""
+    if selection_rows is not None and kind != "classifier":
+        raise ValueError("only the search of a classifier may be bounded to recent rows")
+    sample = df if selection_rows is None else recent_rows(df, order or period, selection_rows)
+    with_folds = sample.join(forward_folds(sample, period, folds), list(period), "left").withColumn(
+        "fold", F.coalesce("fold", F.lit(0))
+    ).persist()
     try:
         sizes = {
             r["fold"]: (r["n"], r["classes"])
@@ -278,17 +284,11 @@ def search(
                 (F.countDistinct(label) if kind == "classifier" else F.lit(2)).alias("classes"),
             ).collect()
         }
-        rows = sum(n for n, _ in sizes.values())
         classes = max((c for _, c in sizes.values()), default=0)
-        options = draws(candidate.space, tries, seed) if rows >= min_rows and classes > 1 and tries else [{}]
+        options = draws(candidate.space, tries, seed) if tune and classes > 1 and tries else [{}]
 
         def attempt(params: dict) -> list[float]:
-            try:
-                return cross_validate(with_folds, candidate, kind, features, label, params, weight, folds, sizes)
-            except Exception:  # noqa: BLE001 - a draw that cannot be fitted is not a result
-                if not params:
-                    raise
-                return []
+            return cross_validate(with_folds, candidate, kind, features, label, params, weight, folds, sizes)
 
         with ThreadPool(max(1, min(parallelism, len(options)))) as pool:
             results = pool.map(inheritable_thread_target(df.sparkSession)(attempt), options)
@@ -309,21 +309,24 @@ def search(
 
 def train_all(
     df: DataFrame, features: Sequence[str], candidates: Sequence[Candidate], period: Sequence[str],
-    weight: str | None = None, min_start_rows: int = 20, **kwargs,
+    weight: str | None = None, points_rows: Column | None = None, **kwargs,
 ) -> list[Fitted]:
     """Start, appearance and points model of every candidate. The points model learns from
-    rows that started, unless there are too few of them (M2). ``starts`` needs both classes:
-    a proxy made from the features would leak (V7)."""
+    ``points_rows``, by default those that started (M2). ``starts`` needs both classes: a proxy
+    made from the features would leak (V7). A bound on the search holds for the classifiers."""
     counts = df.agg(F.count_if(F.col("starts") == 1), F.count(F.lit(1))).first()
     if counts[0] in (0, counts[1]):
         raise ValueError("start target has one class only; match minutes are needed")
-    started = df.filter(F.col("starts") == 1) if counts[0] >= min_start_rows else df
+    started = df.filter(F.col("starts") == 1 if points_rows is None else points_rows)
+    if started.isEmpty():
+        raise ValueError("no row to learn points from")
+    for_points = {k: v for k, v in kwargs.items() if k != "selection_rows"}
     out = []
     for c in candidates:
         out.append(search(df, c, "classifier", features, "starts", period, weight, **kwargs))
         out.append(search(df, c, "classifier", features, "appears", period, weight, **kwargs))
         if c.regressor:
-            out.append(search(started, c, "regressor", features, "total_points", period, weight, **kwargs))
+            out.append(search(started, c, "regressor", features, "total_points", period, weight, **for_points))
     return out
 
 

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_history(hist: DataFrame, path: str, files_per_season: int = 8) -> None:
-    """Replace the seasons present in ``hist``. A season is spread over several files by
-    player, so that no task writes a whole season."""
-    bucket = F.pmod(F.hash("player_id"), F.lit(files_per_season))
+def write_history(hist: DataFrame, path: str) -> None:
+    """Replace the seasons present in ``hist``. Rows are dealt by season; Spark splits a large
+    season over as many tasks as its size asks for."""
     (
-        hist.repartition("season_name", bucket)
+        hist.hint("rebalance", F.col("season_name"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season_name").parquet(path)
     )
 

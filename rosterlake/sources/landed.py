@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,9 +202,10 @@ def picks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def standings(spark: SparkSession, path: str) -> DataFrame:
-    """Landed standings pages of a league, one row per entry."""
-    pages = spark.read.schema(schemas.STANDINGS).option("multiLine", True).json(path)
+def standings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed standings pages of a league, one row per entry (A11): a document a file, or with
+    ``lines`` a document a line, which Spark can split."""
+    pages = spark.read.schema(schemas.STANDINGS).option("multiLine", not lines).json(path)
     return pages.select(F.col("league.id").alias("league_id"), F.explode("standings.results").alias("r")).select(
         "league_id", "r.*"
     )
@@ -254,26 +258,28 @@ def season_fixtures(spark: SparkSession, root: str, season: str) -> DataFrame:
     ).withColumnRenamed("id", "fixture")
 
 
-def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of a folder grouped by their header line. Only headers reach the driver."""
-    lines = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"))
-    heads = lines.filter((F.col("at") == 0) & F.col("value").contains("element")).groupBy("f").agg(F.first("value").alias("h"))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in heads.collect():
-        groups.setdefault(tuple(row["h"].split(",")), []).append(row["f"])
-    return groups
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line of every file."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    placed = text.filter(F.col("at") == 0).withColumn("line", F.monotonically_increasing_id())
+    first = placed.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    return first.filter(F.length(F.trim("header")) > 0)
+
+
+def _columns(header: str) -> list[str]:
+    """The names of a header line, read as CSV."""
+    return [c.strip().lstrip("\ufeff") for c in next(csv.reader([header]))]
 
 
 def season_rounds(spark: SparkSession, root: str, season: str) -> DataFrame:
     """All ``gws/gw*.csv`` of a season as text columns (A5). CSV binds a header by position, so
-    files are read per distinct header and united by name; an unreadable file is skipped."""
+    files are read per distinct header and united by name. A file that cannot be read is an error."""
     folder = f"{root}/{season}/gws/gw*.csv"
-    parts = [
-        spark.read.option("header", True).option("ignoreCorruptFiles", True)
-        .schema(T.StructType([T.StructField(c.strip().strip('"'), T.StringType()) for c in header]))
-        .csv(files)
-        for header, files in sorted(_headers(spark, folder).items())
-    ]
+    heads = _heads(spark, folder)
+    parts = []
+    for row in heads.groupBy("header").agg(F.collect_set("file").alias("files")).orderBy("header").collect():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in _columns(row.header)])
+        parts.append(spark.read.option("header", True).schema(schema).csv(row.files))
     if not parts:
         raise ValueError(f"no readable round file under {folder}")
     return union_by_name(*parts).withColumn("season_name", F.lit(season))
@@ -317,18 +323,23 @@ def normalise_archive(
     return df.withColumns({c: F.lit(v) for c, v in ARCHIVE_DEFAULTS.items() if c not in df.columns})
 
 
-def archive_histories(spark: SparkSession, root: str, seasons: Sequence[str]) -> DataFrame:
-    """Seasons of the archive with stable player codes, ready for the code remap."""
+def archive_histories(spark: SparkSession, root: str, seasons: Sequence[str], strict: bool = False) -> DataFrame:
+    """Seasons of the archive with stable player codes, ready for the code remap (A5, J6). A season
+    without round files is passed over with a warning, unless ``strict``; none at all is an error."""
     parts = []
     for season in seasons:
-        rows = normalise_archive(
-            season_rounds(spark, root, season), season_teams(spark, root, season),
-            season_fixtures(spark, root, season),
-        )
+        try:
+            rounds = season_rounds(spark, root, season)
+        except AnalysisException as missing:
+            if strict or missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            warnings.warn(f"season {season} has no round files: {missing}", stacklevel=2)
+            continue
+        rows = normalise_archive(rounds, season_teams(spark, root, season), season_fixtures(spark, root, season))
         codes = season_codes(spark, root, season).select(
             F.col("id").alias("player_id"), F.col("code").alias("player_code")
         )
         parts.append(rows.join(codes, "player_id"))
+    if not parts:
+        raise ValueError(f"no season of {list(seasons)} has round files under {root}")
     return union_by_name(*parts)
-
-

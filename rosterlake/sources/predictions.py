@@ -46,11 +46,10 @@ def missing_prices(df: DataFrame) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """Replace the rounds present in ``df`` and leave all others (A13). Rows are laid out by
-    round before the write, several files per round if a round is large."""
-    files = F.pmod(F.hash("player_id"), F.lit(8))
+    """Replace the rounds present in ``df`` and leave all others (A13). Rows are dealt by round
+    before the write; Spark splits a large round over as many tasks as its size asks for."""
     (
-        df.repartition(*PARTITION, files)
+        df.hint("rebalance", *[F.col(c) for c in PARTITION])
         .sortWithinPartitions(*PARTITION, F.desc_nulls_last("expected_points"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
     )

@@ -16,14 +16,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rosterlake-{name}-{uuid.uuid4().hex}"
 
 
-def read_files(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str, files_per_batch: int | None = None
-) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of files. A stream takes a plain path
+    for a folder; as a pattern (its last character in brackets) it may name a file as well."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def append_to(stream: DataFrame, path: str) -> None:
