@@ -18,18 +18,18 @@ from rosterlake.operators.aggregates import union_by_name
 from rosterlake.operators.joins import side_value
 from rosterlake.operators.ordered import first_row
 
-_PLAYER_FILE = r"^player_(\d+)\.json$"
+_PLAYER_FILE = r"[/=]player_(\d+)\.json(?:/[^/]*)?$"
 
 
 def player_histories(
     spark: SparkSession, path: str, roster: DataFrame | None = None, season: str | None = None
 ) -> DataFrame:
-    """Match rows of every ``player_<id>.json`` (A1). The id comes from the file name; other
-    files and players outside the roster are left out (A2)."""
+    """Match rows of every ``player_<id>.json`` (A1), be it a file or a folder of part files. The id
+    comes from that name; other files and players outside the roster are left out (A2)."""
     documents = (
         spark.read.schema(schemas.HISTORY_DOCUMENT).option("multiLine", True).json(path)
         .select(
-            F.regexp_extract(F.col("_metadata.file_name"), _PLAYER_FILE, 1).try_cast("bigint").alias("player_id"),
+            F.regexp_extract(F.col("_metadata.file_path"), _PLAYER_FILE, 1).try_cast("bigint").alias("player_id"),
             "history",
         )
         .filter(F.col("player_id").isNotNull())
@@ -184,14 +184,14 @@ def live_rule_drift(bootstrap: Bootstrap) -> DataFrame:
     )
 
 
-def fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """The fixture array (A4)."""
-    return spark.read.schema(schemas.FIXTURE).option("multiLine", True).json(path)
+def fixtures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The fixture array (A4): one a file, or with ``lines`` one a line, which Spark can split."""
+    return spark.read.schema(schemas.FIXTURE).option("multiLine", not lines).json(path)
 
 
-def picks(spark: SparkSession, path: str) -> DataFrame:
-    """Picks document to squad rows (A10)."""
-    rows = spark.read.schema(schemas.PICKS).option("multiLine", True).json(path).select(F.explode("picks").alias("p"))
+def picks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Picks documents to squad rows (A10): one a file, or with ``lines`` one a line."""
+    rows = spark.read.schema(schemas.PICKS).option("multiLine", not lines).json(path).select(F.explode("picks").alias("p"))
     starts = F.col("p.position") <= 11
     return rows.select(
         F.col("p.element").alias("player_id"), F.col("p.position").alias("pick_position"),
