@@ -112,7 +112,7 @@ _SEASON = "cast(year(o_orderdate) as varchar) || '-' || lpad(cast((year(o_orderd
 select o_custkey as player_id, o_custkey + 1000000 as player_code, {_SEASON} as season_name, month(o_orderdate) as round, cast(o_orderkey as integer) as fixture,
   cast(o_custkey % 4 + 1 as integer) as element_type, cast(s_suppkey as integer) as team, cast(o_orderkey % 15 as double) as total_points,
   case when o_orderkey % 7 = 0 then null else o_orderkey % 2 = 0 end as was_home,
-  case when o_orderkey % 7 = 0 then null when o_orderkey % 2 = 0 then cast(o_orderkey % 5 + 1 as double) else cast(o_custkey % 5 + 1 as double) end as fixture_difficulty,
+  case when o_orderkey % 7 <> 0 and o_orderkey % 2 = 0 then cast(o_orderkey % 5 + 1 as double) else cast(o_custkey % 5 + 1 as double) end as fixture_difficulty,
   case when month(o_orderdate) > 6 then cast(o_orderkey % 9 as double) end as tackles, o_totalprice as official_expected_points
 from orders join supplier on s_suppkey = o_custkey % (select count(*) from supplier) + 1""")
 def landed_archive(spark: SparkSession, sf: str):

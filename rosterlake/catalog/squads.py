@@ -11,6 +11,7 @@ from rosterlake.catalog.summaries import chip_column
 from rosterlake.functions.numbers import flag
 from rosterlake.functions.players import captain_score, compact_record, risk_issues
 from rosterlake.operators import ledger, squad as sq
+from rosterlake.operators.joins import pair_by_rank
 from rosterlake.operators.ordered import numbered, top_rows
 
 SQUAD = ["squad_id"]
@@ -291,6 +292,22 @@ def squad_pairs(spark, sf):
     ).filter("_i > _o").withColumn("delta", F.col("_i") - F.col("_o"))
 
 
+@query("rank_pairing_squads", f"""with {SQUADS},
+o as (select squad_id, element_type, player_id, expected_points as e, row_number() over (partition by squad_id, element_type order by expected_points, player_id) as rn from owned where confidence_score < 60),
+i as (select squad_id - 1 as squad_id, element_type, player_id, expected_points as e, row_number() over (partition by squad_id, element_type order by expected_points desc, player_id) as rn from owned where confidence_score >= 60),
+f as (select 1 as pass, o.squad_id, o.element_type as slot, o.rn as no, o.player_id as out_id, i.player_id as in_id, i.e - o.e as delta from o join i using (squad_id, element_type, rn)),
+ro as (select *, row_number() over (partition by squad_id order by e, player_id) as no from o where not exists (select 1 from f where f.squad_id = o.squad_id and f.out_id = o.player_id)),
+ri as (select *, row_number() over (partition by squad_id order by e desc, player_id) as no from i where not exists (select 1 from f where f.squad_id = i.squad_id and f.in_id = i.player_id)),
+a as (select * from f union all select 2, ro.squad_id, 0, ro.no, ro.player_id, ri.player_id, ri.e - ro.e from ro join ri using (squad_id, no))
+select squad_id, row_number() over (partition by squad_id order by pass, slot, no) as pair_no, pass, out_id, in_id, round(delta, 6) as delta from a qualify pair_no <= 5""")
+def rank_pairing_squads(spark, sf):
+    """Every squad's uncertain players against the certain ones of the next squad: both passes, five pairs at most."""
+    owned = sq.complete_squads(squads(spark, sf), SQUAD)
+    outs, ins = owned.filter("confidence_score < 60"), owned.filter("confidence_score >= 60").withColumn("squad_id", F.col("squad_id") - 1)
+    out = pair_by_rank(outs, ins, "element_type", "player_id", "expected_points", limit=5, squad=SQUAD)
+    return rounded(out, "delta").select("squad_id", "pair_no", "pass", "out_id", "in_id", "delta")
+
+
 @query("transfer_report", f"""with {_PAIRS},
 s as (select squad_id, count(*) as transfers, sum(delta) as gross, cast(sum(out_sale_tenths) as bigint) as sale_tenths, cast(sum(in_price_tenths) as bigint) as price_tenths from pairs group by 1)
 select squad_id, transfers, sale_tenths, price_tenths, round(gross, 6) as gross_gain, least(transfers, 2) as free_used, greatest(0, transfers - 2) as paid_transfers,

@@ -85,11 +85,13 @@ def mentions(
 ) -> DataFrame:
     """Pairs (text, name) where the whole text contains the name, ignoring case.
 
-    Up to ``inline_names`` names are tested inside the scan of the texts. Beyond that the first
-    word of a name leads: it must lie inside one word of the text, and end that word if the
-    name goes on after a space. The vocabulary of the texts (each distinct word once) is
-    joined to the names on that anchor, the hits lead back to the texts, and every candidate
-    is verified against its whole text. The text x name product is never formed.
+    Up to ``inline_names`` names are tested inside the scan of the texts. Beyond that the rarest
+    word of a name leads. A name's first word must end a word of the text, its last one begin one,
+    those between be whole words, and a single word lie inside one. The vocabulary of the texts
+    (each distinct word once, with the number of texts that hold it) is joined to these anchors;
+    the anchor that the fewest texts can hold is kept for each name, its words lead back to the
+    texts, and every candidate is verified against its whole text. The text x name product is
+    never formed, also not where many names share a common word.
     """
     texts = spread(texts.select(text_id, text))
     wanted = (
@@ -114,16 +116,20 @@ def mentions(
             text_id, F.col("_hit.name").alias(name)
         )
 
-    first = F.regexp_extract("_lower", r"(\S+)", 1)
-    keyed = wanted.select(
-        "_name", "_lower",
-        F.regexp_like("_lower", F.lit(r"\S\s")).alias("_ends"),
-        F.when(F.regexp_like("_lower", F.lit(r"\S\s")), F.right(first, F.lit(anchor)))
-        .otherwise(F.left(first, F.lit(anchor))).alias("_key"),
-    )
-    widths = keyed.select("_ends", F.length("_key").alias("w")).distinct().collect()
-    endings = sorted({r["w"] for r in widths if r["_ends"]})
-    inner = sorted({r["w"] for r in widths if not r["_ends"]})
+    tokens = F.filter(F.split("_lower", r"\s+"), lambda t: t != "")
+    count = F.size("_tokens")
+
+    def anchored(t: Column, i: Column) -> Column:
+        kind = F.when(count == 1, "inside").when(i == 0, "ends").when(i == count - 1, "begins").otherwise("whole")
+        key = F.when(kind == "ends", F.right(t, F.lit(anchor))).when(kind == "whole", t).otherwise(F.left(t, F.lit(anchor)))
+        return F.struct(kind.alias("kind"), key.alias("key"))
+
+    anchors = wanted.withColumn("_tokens", tokens).select("_name", "_lower", F.explode(F.transform("_tokens", anchored)).alias("_a")).select(
+        "_name", "_lower", F.col("_a.kind").alias("_kind"), F.col("_a.key").alias("_key")
+    ).distinct()
+    widths: dict[str, list[int]] = {"ends": [], "begins": [], "inside": []}
+    for r in anchors.filter("_kind <> 'whole'").select("_kind", F.length("_key").alias("w")).distinct().orderBy("w").collect():
+        widths[r["_kind"]].append(r["w"])  # at most ``anchor`` for each kind
 
     words = texts.select(
         text_id, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("_word")
@@ -135,16 +141,28 @@ def mentions(
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda at: F.array_join(F.slice(chars, at, width), ""))
 
-    keys = [F.array(F.right("_word", F.lit(w))) for w in endings] + [windows(w) for w in inner]
+    def keyed(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda key: F.struct(F.lit(kind).alias("_kind"), key.alias("_key")))
+
+    options = [keyed("whole", F.array("_word"))]
+    options += [keyed("ends", F.array(F.right("_word", F.lit(w)))) for w in widths["ends"]]
+    options += [keyed("begins", F.array(F.left("_word", F.lit(w)))) for w in widths["begins"]]
+    options += [keyed("inside", windows(w)) for w in widths["inside"]]
+    vocabulary = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_texts"))
     hits = (
-        words.select("_word").distinct()
-        .select("_word", F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("_key"))
-        .join(keyed, "_key")
-        .filter(~F.col("_ends") | F.endswith("_word", "_key"))
-        .select("_word", "_name", "_lower")
-        .distinct()
+        vocabulary.select("_word", "_texts", F.explode(F.array_distinct(F.flatten(F.array(*options)))).alias("_o"))
+        .select("_word", "_texts", "_o.*")
+        .join(anchors.select("_kind", "_key").distinct(), ["_kind", "_key"])
+    )
+    frequency = hits.groupBy("_kind", "_key").agg(F.sum("_texts").alias("_texts"))
+    rarest = (
+        anchors.join(frequency, ["_kind", "_key"], "left")
+        .groupBy("_name", "_lower")
+        .agg(F.min_by(F.struct("_kind", "_key"), F.struct(F.coalesce("_texts", F.lit(0)), "_kind", "_key")).alias("_a"))
+        .select("_name", "_lower", "_a.*")
     )
-    candidates = words.join(hits, "_word").select(text_id, "_name", "_lower").distinct()
+    leads = hits.join(rarest, ["_kind", "_key"]).select("_word", "_name", "_lower").distinct()
+    candidates = words.join(leads, "_word").select(text_id, "_name", "_lower").distinct()
     return (
         candidates.join(texts.select(text_id, F.lower(text).alias("_text")), text_id)
         .filter(F.contains("_text", "_lower"))

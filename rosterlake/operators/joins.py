@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.operators.ordered import collect_parts, first_row, numbered, top_rows
+from rosterlake.session import stored
 
 
 def fill_from(df: DataFrame, dim: DataFrame, on: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -90,44 +91,47 @@ def split_members(wanted: DataFrame, table: DataFrame, key: str) -> tuple[DataFr
 
 
 def pair_by_rank(
-    outgoing: DataFrame, incoming: DataFrame, group: str, entity: str, score: str, limit: int | None = None
+    outgoing: DataFrame, incoming: DataFrame, group: str, entity: str, score: str, limit: int | None = None,
+    squad: Sequence[str] = (),
 ) -> DataFrame:
-    """Weakest outgoing with strongest incoming, 1:1 inside a position; what is left over is
-    paired over all positions; pass 1 comes first in the numbered result (J15)."""
-    outs = numbered(outgoing.select(group, entity, score), [group], [score, entity], "_rank")
-    ins = numbered(incoming.select(group, entity, score), [group], [f"-{score}", entity], "_rank")
-
-    def renamed(df: DataFrame, side: str) -> DataFrame:
-        return df.select(
-            F.col(group).alias(f"{side}_{group}"), "_rank",
-            F.col(entity).alias(f"{side}_id"), F.col(score).alias(f"{side}_score"),
-        )
+    """Weakest outgoing with strongest incoming, 1:1 inside a position; what is left over is paired
+    over all positions; pass 1 comes first in the numbered result (J15). With ``squad`` columns
+    every squad is paired on its own, and ``limit`` holds for each.
 
-    o, i = renamed(outs, "out"), renamed(ins, "in")
-    same = (F.col(f"out_{group}") == F.col(f"in_{group}")) & (o["_rank"] == i["_rank"])
-    first = o.join(i, same).select(
-        F.lit(1).alias("pass"), F.col(f"out_{group}").alias("_slot"), o["_rank"].alias("_no"),
-        "out_id", "in_id", "out_score", "in_score",
-    )
-    rest_out = numbered(
-        o.join(i, same, "left_anti"), [], ["out_score", "out_id"], "_no"
-    )
-    rest_in = numbered(
-        i.join(o, same, "left_anti"), [], ["-in_score", "in_id"], "_no"
-    )
-    second = rest_out.select("_no", "out_id", "out_score").join(
-        rest_in.select("_no", "in_id", "in_score"), "_no"
-    ).select(
-        F.lit(2).alias("pass"), F.lit(0).alias("_slot").cast(first.schema["_slot"].dataType),
-        "_no", "out_id", "in_id", "out_score", "in_score",
+    Both sides are stored once, as narrow rows. A side's leftovers are its ranks beyond the other
+    side's count in the position, and pair numbers follow from the counts, so that pairs are
+    neither joined back nor numbered again."""
+    k = list(squad)
+
+    def side(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+        ranked = numbered(stored(df.select(*k, group, entity, score), f"{name}-side"), [*k, group], order, "_no")
+        return stored(ranked.select(*k, F.col(group).alias("_slot"), "_no", F.col(entity).alias(f"{name}_id"), F.col(score).alias(f"{name}_score")), f"{name}-ranks")
+
+    outs, ins = side(outgoing, "out", [score, entity]), side(incoming, "in", [f"-{score}", entity])
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*k, "_slot").agg(F.max("_no").alias(name))
+
+    slots = counts(outs, "n_out").join(counts(ins, "n_in"), [*k, "_slot"], "full").na.fill(0, ["n_out", "n_in"])
+    pairs = F.least("n_out", "n_in")
+    before = Window.partitionBy(*k).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumns({"_offset": F.coalesce(F.sum(pairs).over(before), F.lit(0)), "_pairs": pairs})
+    totals = slots.groupBy(*k).agg(F.coalesce(F.sum("_pairs"), F.lit(0)).alias("_all"))
+
+    first = outs.join(ins, [*k, "_slot", "_no"]).join(slots, [*k, "_slot"]).select(
+        *k, F.lit(1).alias("pass"), (F.col("_offset") + F.col("_no")).alias("pair_no"), "out_id", "in_id", "out_score", "in_score"
     )
-    pairs = first.unionByName(second).withColumn("delta", F.col("in_score") - F.col("out_score"))
-    order = ["pass", "_slot", "_no"]
-    ranked = (
-        top_rows(pairs, [], order, limit, "pair_no") if limit is not None
-        else numbered(pairs, [], order, "pair_no")
+    # a row without a position has no partner in the first pass
+    rest_out = outs.join(slots.select(*k, "_slot", "n_in"), [*k, "_slot"], "left").filter(F.col("_no") > F.coalesce("n_in", F.lit(0)))
+    rest_in = ins.join(slots.select(*k, "_slot", "n_out"), [*k, "_slot"], "left").filter(F.col("_no") > F.coalesce("n_out", F.lit(0)))
+    rest_out = numbered(stored(rest_out.select(*k, "out_id", "out_score"), "out-rest"), k, ["out_score", "out_id"], "_no")
+    rest_out = rest_out.join(totals, k) if k else rest_out.withColumn("_all", totals.scalar())
+    rest_in = numbered(stored(rest_in.select(*k, "in_id", "in_score"), "in-rest"), k, ["-in_score", "in_id"], "_no")
+    second = rest_out.join(rest_in, [*k, "_no"]).select(
+        *k, F.lit(2).alias("pass"), (F.col("_all") + F.col("_no")).alias("pair_no"), "out_id", "in_id", "out_score", "in_score"
     )
-    return ranked.drop("_slot", "_no")
+    out = first.unionByName(second).withColumn("delta", F.col("in_score") - F.col("out_score"))
+    return out if limit is None else out.filter(F.col("pair_no") <= limit)
 
 
 def set_delta(owned: DataFrame, optimal: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,13 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in shared storage: computed once, however many plans read them."""
+    path = f"{shared_dir(df.sparkSession)}/rosterlake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """More partitions for heavy per-row work when the input comes in fewer pieces than there
     are cores (a few small files). Larger inputs are left as they are."""

@@ -197,3 +197,21 @@ def test_mentions_agree_with_brute_force(spark):
     for inline in (64, 2):
         got = text.mentions(df, spark.createDataFrame(names, "name string"), "id", "body", "name", inline_names=inline, anchor=3)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_mentions_of_names_that_share_a_common_word(spark):
+    """The rarest word leads, so 2,000 names "the thing N" don't meet every text that holds "the"."""
+    names = [(f"the thing x{i}",) for i in range(2_000)]
+    texts = [(i, f"over the thing y{i} the end" if i % 50 else f"and The Thing x{i} is") for i in range(400)]
+    df = spark.createDataFrame(texts, "id long, body string")
+    got = text.mentions(df, spark.createDataFrame(names, "name string"), "id", "body", "name")
+    assert sorted((r.id, r.name) for r in got.collect()) == sorted((i, n) for i, b in texts for (n,) in names if n in b.lower())
+
+
+def test_pairs_of_many_squads_with_limit_and_without_a_position(spark):
+    schema = "squad long, pos int, player_id long, ep double"
+    outs = spark.createDataFrame([(1, 1, 10, 1.0), (1, 1, 11, 2.0), (1, None, 12, 0.5), (2, 2, 20, 1.0)], schema)
+    ins = spark.createDataFrame([(1, 1, 30, 5.0), (1, 2, 31, 4.0), (1, 2, 32, 9.0), (2, 1, 40, 3.0)], schema)
+    got = joins.pair_by_rank(outs, ins, "pos", "player_id", "ep", squad=["squad"]).orderBy("squad", "pair_no").collect()
+    assert [(r.squad, r.pair_no, r["pass"], r.out_id, r.in_id) for r in got] == [(1, 1, 1, 10, 30), (1, 2, 2, 12, 32), (1, 3, 2, 11, 31), (2, 1, 2, 20, 40)]
+    assert joins.pair_by_rank(outs, ins, "pos", "player_id", "ep", limit=1, squad=["squad"]).count() == 2
