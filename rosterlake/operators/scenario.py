@@ -1,82 +1,34 @@
-"""Scenario draws whose numbers do not depend on partitioning (J19R, L9R, L10R)."""
+"""Past rounds as scenarios of a coming one (J19R, L9R, L10R): no random draws.
+
+Every round of the history is one scenario for every forecast. What a player did in it, against their own mean,
+moves the forecast; who did not appear is absent.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.constants import Z80
-
-_SPAN = float(2**52)
-
-
-def scenarios(df: DataFrame, count: int, name: str = "scenario_id") -> DataFrame:
-    """Every row once per scenario, made where the row is (no join)."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-
-
-def uniform(seed: int, stream: str, *ids: Column) -> Column:
-    """A uniform in (0, 1) that is a pure function of its ids: the top 52 bits of an md5."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[i.cast("string") for i in ids], F.lit(stream)))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / _SPAN
-
-
-def normal(seed: int, *ids: Column) -> Column:
-    """Standard normal from two uniforms (Box-Muller)."""
-    u, v = uniform(seed, "u", *ids), uniform(seed, "v", *ids)
-    return F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(2.0 * 3.141592653589793) * v)
-
 
-def band_sigma(low: Column, high: Column, minimum_width: float, scale: float = 1.0) -> Column:
-    """Standard deviation an 80 % band stands for."""
-    return F.greatest(high - low, F.lit(minimum_width)) / (2 * Z80) * scale
+def scenarios(forecasts: DataFrame, history: DataFrame, keys: Sequence[str], period: str, columns: Sequence[str]) -> DataFrame:
+    """Every forecast once per round in the whole history, with the entity's own ``columns`` of that round, null where
+    it has no row. The rounds are as many as a season has, and are attached where the forecast is."""
+    k = list(keys)
+    rounds = history.agg(F.array_sort(F.collect_set(period))).scalar()
+    spread = forecasts.withColumn(period, F.explode(rounds))
+    return spread.join(history.select(*k, period, *columns), [*k, period], "left").withColumnRenamed(period, "scenario_id")
 
 
-def draw_scores(df: DataFrame, seed: int, scale: float = 1.0) -> DataFrame:
-    """Forecast scores per scenario: normal around the expectation, clipped at 0 (L9R)."""
-    ep = F.col("expected_points")
-    low = F.coalesce("expected_points_lower_80", F.greatest(ep, F.lit(0.0)))
-    high = F.coalesce("expected_points_upper_80", ep + 1.0)
-    z = normal(seed, F.col("scenario_id"), F.col("player_id"), F.col("gameweek"))
-    return df.withColumn(
-        "drawn_points", F.greatest(F.lit(0.0), ep + band_sigma(low, high, 0.1, scale) * z)
-    )
+def moved_scores(df: DataFrame, points: str, means: DataFrame, keys: Sequence[str], mean: str) -> DataFrame:
+    """Forecast plus the round's deviation from the entity's mean, clipped at 0 (L9R); no row, no deviation."""
+    deviation = F.coalesce(F.col(points) - F.col(mean), F.lit(0.0))
+    return df.join(means, list(keys), "left").withColumn("scenario_points", F.greatest(F.lit(0.0), F.col("expected_points") + deviation))
 
 
-def draw_outcomes(df: DataFrame, seed: int, scale: float = 1.0) -> DataFrame:
-    """One uniform decides starts / cameo / absent; points are drawn around the conditional
-    mean that keeps the player's expectation (L10R). Needs ``availability``."""
-    ep = F.col("expected_points")
-    bounded = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    p_start = bounded(F.coalesce("start_probability", F.lit(1.0)) * F.col("availability"))
-    p_play = bounded(
-        F.greatest(F.coalesce("appearance_probability", F.lit(1.0)) * F.col("availability"), F.col("_p_start"))
-    )
-    ids = (F.col("scenario_id"), F.col("player_id"), F.col("gameweek"))
-    staged = df.withColumn("_p_start", p_start).withColumn("_p_play", p_play).withColumns(
-        {"_roll": uniform(seed, "r", *ids), "_p_cameo": F.greatest(F.lit(0.0), F.col("_p_play") - F.col("_p_start"))}
-    )
-    plain_cameo = F.coalesce("cameo_points", F.lit(1.0))
-    cameo = F.when(
-        (F.col("_p_start") <= 0) & (F.col("_p_cameo") > 0), F.try_divide(ep, F.col("_p_cameo"))
-    ).otherwise(plain_cameo)
-    starter = F.when(
-        F.col("_p_start") > 0, F.try_divide(ep - F.col("_p_cameo") * cameo, F.col("_p_start"))
-    ).otherwise(0.0)
-    absent = (F.col("_p_play") <= 0) | (F.col("_roll") > F.col("_p_play"))
-    starts = F.col("_roll") <= F.col("_p_start")
-    low = F.coalesce("expected_points_lower_80", F.greatest(F.lit(0.0), ep - 1.0))
-    high = F.coalesce("expected_points_upper_80", ep + 1.0)
-    sigma = F.greatest(F.lit(0.05), (high - low) / (2 * Z80) * scale)
-    share = F.when(starts, F.col("_p_start")).otherwise(F.col("_p_cameo"))
-    noise = (
-        F.lit(0.0) if scale <= 0
-        else normal(seed, *ids) * sigma / F.greatest(F.sqrt(share), F.lit(0.25))
-    )
-    return staged.withColumns(
-        {
-            "outcome": F.when(absent, F.lit("absent")).when(starts, F.lit("starts")).otherwise(F.lit("cameo")),
-            "played": ~absent,
-            "points": F.when(absent, F.lit(0.0)).otherwise(F.when(starts, starter).otherwise(cameo) + noise),
-        }
-    ).drop("_p_start", "_p_play", "_roll", "_p_cameo")
+def outcomes(df: DataFrame, points: str, started: Column) -> DataFrame:
+    """starts / cameo / absent and the points that go with it (L10R)."""
+    played = F.col(points).isNotNull()
+    outcome = F.when(~played, "absent").when(started, "starts").otherwise("cameo")
+    return df.withColumns({"played": played, "outcome": outcome, "points": F.coalesce(points, F.lit(0.0))})

@@ -91,14 +91,12 @@ def test_cameo_fallbacks(spark):
     assert none["cameo_points"] == 1.0
 
 
-def test_draws_keep_the_expectation_and_ignore_partitioning(spark):
-    row = spark.createDataFrame([(5, 1, 1.65, 0.5, 0.8, 0.5, 1.0)],
-                                "player_id long, gameweek int, expected_points double, start_probability double, appearance_probability double, availability double, cameo_points double")
-    row = row.withColumns({"expected_points_lower_80": F.lit(1.65), "expected_points_upper_80": F.lit(1.65)})
-    draws = scenario.draw_outcomes(scenario.scenarios(row, 80_000), 7, scale=0.0)
-    rate, mean = draws.agg(F.avg(F.col("played").cast("int")), F.avg("points")).first()
-    assert rate == pytest.approx(0.4, abs=0.01) and mean == pytest.approx(1.65, abs=0.03)
-    few = scenario.scenarios(row, 50)
-    a = sorted(map(tuple, scenario.draw_scores(few, 3).select("scenario_id", "drawn_points").collect()))
-    b = sorted(map(tuple, scenario.draw_scores(few.repartition(7), 3).select("scenario_id", "drawn_points").collect()))
-    assert a == b
+def test_past_rounds_move_forecasts_and_keep_absences(spark):
+    forecasts = spark.createDataFrame([(1, 5.0), (2, 1.0)], "player_id long, expected_points double")
+    history = spark.createDataFrame([(1, 1, 2.0, 90), (1, 2, 8.0, 20), (2, 2, 9.0, 90)], "player_id long, gameweek int, pts double, minutes int")
+    rows = scenario.scenarios(forecasts, history, ["player_id"], "gameweek", ["pts", "minutes"])
+    means = history.groupBy("player_id").agg(F.avg("pts").alias("mean"))
+    moved = {(r.player_id, r.scenario_id): r.scenario_points for r in scenario.moved_scores(rows, "pts", means, ["player_id"], "mean").collect()}
+    assert moved == {(1, 1): 2.0, (1, 2): 8.0, (2, 1): 1.0, (2, 2): 1.0}
+    lived = {(r.player_id, r.scenario_id): (r.outcome, r.points) for r in scenario.outcomes(rows, "pts", F.col("minutes") >= 60).collect()}
+    assert lived == {(1, 1): ("starts", 2.0), (1, 2): ("cameo", 8.0), (2, 1): ("absent", 0.0), (2, 2): ("starts", 9.0)}
