@@ -374,6 +374,25 @@ def period_coverage(spark, sf):
     return quality.missing_periods(o, "league", "round")
 
 
+@query("season_absent", """
+with o as (select year(o_orderdate) as season, month(o_orderdate) as round from orders)
+select cast(s.y as integer) as season, cast(g.r as integer) as round from generate_series(1994, 2002) s(y), generate_series(1, 12) g(r)
+where (s.y, g.r) not in (select (season, round) from o)""")
+def season_absent(spark, sf):
+    """Months without an order in nine years asked for by name, of which two are not there at all."""
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("round"))
+    return quality.missing_periods(o, "season", "round", expected=12, seasons=list(range(1994, 2003)))
+
+
+@query("periods_to_show", """
+select month(o_orderdate) as round, 'a' as side from orders where month(o_orderdate) <= 5 group by 1
+union all select month(o_orderdate), 'b' from orders where month(o_orderdate) >= 8 group by 1""")
+def periods_to_show(spark, sf):
+    """Two sides without a common month show their own."""
+    o = table(spark, sf, "orders").select(F.month("o_orderdate").alias("round"))
+    return joins.periods_to_show(o.filter("round <= 5"), o.filter("round >= 8"), "round")
+
+
 @query("identity_mismatch", """
 with d as (select c_custkey + case when c_custkey % 97 = 0 then 10000000 else 0 end as id,
     case when c_custkey % 5 = 0 then upper(c_name) when c_custkey % 31 = 0 then null else c_name end as c_name,

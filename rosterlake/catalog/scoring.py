@@ -228,6 +228,15 @@ def gbt_fit_score(spark, sf):
     return ml.model_scores(rows, fitted, ["o_orderkey"])
 
 
+@query("fit_score_coverage", """
+select o_orderkey, 'gbt' as model, 1 as probabilities, 1 as has_points
+from (select o_orderkey, row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey) as rn from orders) where rn > 1""")
+def fit_score_coverage(spark, sf):
+    """What does not depend on the fitted trees: every row with an earlier match is scored once, with probabilities and points."""
+    inside = F.col("p_start").between(0.0, 1.0) & F.col("p_appear").between(0.0, 1.0)
+    return gbt_fit_score(spark, sf).select("o_orderkey", "model", inside.cast("int").alias("probabilities"), F.col("points_hat").isNotNull().cast("int").alias("has_points"))
+
+
 @query("tuned_selection")
 def tuned_selection(spark, sf):
     """Two candidate families, seeded draws, forward folds; the metric table of the selection."""

@@ -155,6 +155,15 @@ def shared_periods(a: DataFrame, b: DataFrame, period: str) -> DataFrame:
     return a.select(period).intersect(b.select(period))
 
 
+def periods_to_show(a: DataFrame, b: DataFrame, period: str) -> DataFrame:
+    """The periods both sides have, or where there is none each side's own (U3): ``period``, ``side``."""
+    both = shared_periods(a, b, period).withColumn("side", F.lit("both"))
+    if not both.isEmpty():
+        return both
+    own = a.select(period).distinct().withColumn("side", F.lit("a"))
+    return own.unionByName(b.select(period).distinct().withColumn("side", F.lit("b")))
+
+
 def compare_by_period(
     a: DataFrame, b: DataFrame, period: str, measures: Sequence[str]
 ) -> DataFrame:

@@ -57,11 +57,13 @@ def identity_mismatches(
 
 
 def missing_periods(
-    df: DataFrame, season: str, period: str, expected: int = ROUNDS_PER_SEASON, first: int = 1
+    df: DataFrame, season: str, period: str, expected: int = ROUNDS_PER_SEASON, first: int = 1,
+    seasons: Sequence | None = None,
 ) -> DataFrame:
-    """Rounds first..expected a season has no row for."""
-    seasons = df.select(season).distinct()
-    wanted = seasons.select(season, F.explode(F.sequence(F.lit(first), F.lit(expected))).alias(period))
+    """Rounds first..expected a season has no row for (Q3, J20). Without ``seasons`` those in the data
+    are meant; a season that is asked for and absent altogether lacks all of its rounds."""
+    named = df.select(season).distinct() if seasons is None else df.sparkSession.createDataFrame([(s,) for s in seasons], df.select(season).schema)
+    wanted = named.select(season, F.explode(F.sequence(F.lit(first), F.lit(expected))).alias(period))
     return wanted.join(df.select(season, F.col(period).cast("int").alias(period)).distinct(), [season, period], "left_anti")
 
 

@@ -73,17 +73,15 @@ def match_result(hist: DataFrame) -> DataFrame:
 
 def team_matches(hist: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row per (season, match, team): the panel repeats a match once per player, and the
-    windows must not."""
-    needed = ["season_name", "fixture", "team", "was_home", "team_h_score", "team_a_score"]
-    return match_result(
-        first_row(
-            hist.filter(F.col("team").isNotNull() & F.col("fixture").isNotNull()).select(
-                *dict.fromkeys([*needed, *order])
-            ),
-            ["season_name", "fixture", "team"],
-            [*order, "was_home"],
-        )
+    windows must not. The first row in ``order`` is the least one, so each map task sends one
+    row per match and nothing is sorted."""
+    match = ["season_name", "fixture", "team"]
+    needed = [c for c in dict.fromkeys(["was_home", "team_h_score", "team_a_score", *order]) if c not in match]
+    place = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in [*order, "was_home"]])
+    first = hist.filter(F.col("team").isNotNull() & F.col("fixture").isNotNull()).groupBy(*match).agg(
+        F.min_by(F.struct(*needed), place).alias("_first")
     )
+    return match_result(first.select(*match, "_first.*"))
 
 
 def team_form(

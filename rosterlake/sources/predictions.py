@@ -72,6 +72,19 @@ def read_predictions(
     return df
 
 
+def load_predictions(
+    spark: SparkSession, path: str, season: str, first: int | None = None, last: int | None = None
+) -> DataFrame:
+    """The strict read (A7): an error when no round is found, and when rows carry tags
+    (``season_tag``, ``stated_gameweek``) that are missing or name another season or round."""
+    df = read_predictions(spark, path, season, first, last)
+    if df.isEmpty():
+        raise ValueError(f"no predictions of {season} in rounds {first} to {last} under {path}")
+    if {"season_tag", "stated_gameweek"} <= set(df.columns):
+        raise_if_any(tag_problems(df, season), f"tags of {season} do not match their rounds")
+    return df
+
+
 def tag_problems(df: DataFrame, season: str, stated: str = "stated_gameweek") -> DataFrame:
     """Rounds whose rows are untagged, of another or several seasons, or tagged for another
     round than the one they were stored under."""
@@ -107,15 +120,22 @@ def archive_round(
         f"round {gameweek} does not match the roster",
     )
     tagged = tag_rows(predictions, season, gameweek)
-    write_predictions(tagged, f"{path}/predictions")
+    # the snapshot comes first: a round that can be read always has its roster
     snapshot = roster.withColumns({"season_name": F.lit(season), "gameweek": F.lit(gameweek)})
     snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(
         f"{path}/roster_snapshot"
     )
+    write_predictions(tagged, f"{path}/predictions")
 
 
-def tag_rows(df: DataFrame, season: str, gameweek: int) -> DataFrame:
-    """Season and round on untagged rows; rows tagged otherwise stop the migration."""
+def tag_rows(df: DataFrame, season: str, gameweek: int, roster: DataFrame | None = None) -> DataFrame:
+    """Season and round on untagged rows; rows tagged otherwise stop the migration (A16), and so do
+    players that are not the roster's, where one is given."""
+    if roster is not None:
+        raise_if_any(
+            identity_mismatches(df, roster, "player_id", [c for c in ("full_name", "team_name", "team_id") if c in df.columns]),
+            f"rows to tag as round {gameweek} do not match the roster",
+        )
     tags = {"season_name": F.lit(season), "gameweek": F.lit(gameweek)}
     for name, value in tags.items():
         if name in df.columns:

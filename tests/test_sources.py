@@ -162,3 +162,17 @@ def test_artifact_statuses(spark):
         df, ["gameweek"], {"invalid_id": F.col("player_id").isNull(), "wrong_season": F.col("season") != "a", "untagged": F.col("season").isNull()}
     ).collect()}
     assert got == {1: ("ready", ""), 2: ("migratable", ""), 3: ("issue", "invalid_id"), 4: ("issue", "wrong_season")}
+
+
+def test_strict_load_and_identity_of_tagged_rows(spark, tmp_path):
+    p = predictions_frame(spark)
+    tags = lambda season, gw: {"season_tag": F.lit(season), "stated_gameweek": F.lit(gw)}
+    store.write_predictions(store.tag_rows(p, "2025-26", 5, p).withColumns(tags("2025-26", 5)), str(tmp_path))
+    assert store.load_predictions(spark, str(tmp_path), "2025-26", 5, 5).count() == 2
+    with pytest.raises(ValueError, match="no predictions"):
+        store.load_predictions(spark, str(tmp_path), "2025-26", 6, 7)
+    store.write_predictions(store.tag_rows(p, "2025-26", 6).withColumns(tags("2024-25", 6)), str(tmp_path))
+    with pytest.raises(ValueError, match="do not match"):
+        store.load_predictions(spark, str(tmp_path), "2025-26")
+    with pytest.raises(ValueError, match="roster"):
+        store.tag_rows(p.withColumn("team_id", F.lit(9)), "2025-26", 5, p)
