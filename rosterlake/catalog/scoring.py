@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlake.catalog.base import PARTS, ROUNDS, orders_panel, part_rounds, part_scores, query, r6, rounded, table
-from rosterlake.constants import CORRELATION_THRESHOLD, MIN_VARIANCE
+from rosterlake.constants import BASE_STATS, CORRELATION_THRESHOLD, MIN_VARIANCE
 from rosterlake.plans import features, ml, scoring, state
 from rosterlake.sources.history import read_history, write_history
 from rosterlake.streaming.sinks import scratch
@@ -306,6 +306,9 @@ def forecast_gate(spark, sf):
     return opened.unionByName(closed)
 
 
+_FILLED = ("total_points", "minutes", "goals_scored", "assists", "expected_goals", "expected_assists", "value")
+
+
 def domain_tables(spark, sf):
     """The driver tables in the shape of the domain: players = parts, clubs = suppliers,
     matches = orders between the two clubs of their lines, rounds = months, seasons = years."""
@@ -329,6 +332,10 @@ def domain_tables(spark, sf):
         F.when(F.col("_home") == 1, F.col("team_h_difficulty")).otherwise(F.col("team_a_difficulty")).alias("fixture_difficulty"),
         (F.col("q") % 91).alias("minutes"), (F.col("q") % 13).alias("total_points"), (F.col("ln") % 3).alias("goals_scored"), (F.col("ln") % 2).alias("assists"),
         F.col("disc").cast("string").alias("expected_goals"), F.col("tax").cast("string").alias("expected_assists"), (F.col("q") % 60 + 40).alias("value"),
+        *[
+            (F.pmod(F.col("q") * (k + 3) + F.col("ln") * (k + 1), F.lit(k + 2.0))).alias(stat)
+            for k, stat in enumerate(s for s in BASE_STATS if s not in _FILLED)
+        ],
     )
     p = part_scores(spark, sf)
     elements = p.select("player_id", "full_name", (F.col("player_id") % 100).alias("team_id"), "element_type", "now_cost_millions")
