@@ -65,9 +65,19 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in shared storage, in a folder that is deleted when the application ends."""
+    root = f"{shared_dir(spark)}/rosterlake"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in shared storage: computed once, however many plans read them."""
-    path = f"{shared_dir(df.sparkSession)}/rosterlake-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

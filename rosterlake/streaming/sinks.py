@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from rosterlake.session import shared_dir
+from rosterlake.session import scratch_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in shared storage."""
-    return f"{shared_dir(spark)}/rosterlake-{name}-{uuid.uuid4().hex}"
+    """A fresh folder in shared storage, for as long as the application runs."""
+    return scratch_path(spark, name)
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
