@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm import ann, bpe, decontam, langid, linededup, neardup, pii, secrets, substring, urls
-from rosterlake.llm.runtime import scratch, sha_hex
+from rosterlake.llm.runtime import sha_hex
 from rosterlake.llm.sql import SQL
-from rosterlake.session import prepare
+from rosterlake.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def op1(spark, sf_dir):
     """Secrets in every whole text, through a ledger of scanned blobs."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    found = secrets.find(docs, scratch(spark, "secret-ledger")).drop("text")
+    found = secrets.find(docs, scratch_path(spark, "secret-ledger")).drop("text")
     kinds = [r.kind for r in secrets.RULES[:3]]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     return found.select(

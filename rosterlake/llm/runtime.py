@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rosterlake.session import shared_dir
+from rosterlake.session import scratch_path
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -32,15 +31,10 @@ def ship(spark: SparkSession) -> None:
     context._rosterlake_shipped = True
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here, and a lost executor costs a re-read."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
