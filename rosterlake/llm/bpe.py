@@ -23,7 +23,7 @@ from rosterlake.llm.runtime import extended, ship
 from rosterlake.llm.words import slices
 
 #: Distinct matches, and distinct cuts, whose ids a worker remembers; beyond it the memory is emptied and filled again.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 #: No match of the usual byte-level patterns reaches over a single space between two characters that aren't white space:
@@ -91,7 +91,7 @@ class Encoder:
             if b is None:
                 b = self._left[right] = self._edge(right, 0)
             known = self._fits[left, right] = not any(self._crosses(x, y) for x in a for y in b)
-            if len(self._fits) > 4 * REMEMBERED:
+            if len(self._fits) > 2 * REMEMBERED:
                 self._fits.clear()
         return known
 

@@ -30,7 +30,7 @@ ROUNDS = 3
 #: Added to every expected count, so that no piece is impossible.
 SMOOTHING = 0.1
 LONGEST = 48
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
