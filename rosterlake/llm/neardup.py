@@ -33,6 +33,8 @@ CHUNKS, WIDTH, BITS = 10, 4, 21
 DISTANCE = 2 * CHUNKS - 1
 #: Nodes of one side that a task compares at a time.
 TILE = 1_000
+#: Bits of the bitmap that says which texts are read again (2 MB, in at most 270,000 rows).
+FILTER_BITS = 1 << 24
 _U = np.uint64
 _SEEDS = _weights(CHUNKS * WIDTH, 77)
 _SIX = 6
@@ -194,9 +196,9 @@ def near_duplicates(docs: DataFrame, column: str = "text", shingle: int = SHINGL
     stars = written(keys.join(pivots, "key").filter("id <> pivot").select("id", "pivot").distinct(), "stars")
 
     involved = stars.select("id").union(stars.select("pivot")).distinct()
-    chosen = texts.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi")
-    sets = written(_with_sets(chosen, column, shingle), "sets").join(nodes.drop("n_shingles"), ["id", "set_key"]).drop("set_key")
-    sets = written(sets, "sets")
+    taking_part = nodes.drop("n_shingles").join(involved, "id", "left_semi")
+    chosen = _perhaps_in(texts.withColumnRenamed("doc_id", "id"), involved)
+    sets = written(_with_sets(chosen, column, shingle).join(taking_part, ["id", "set_key"]).drop("set_key"), "sets")
 
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"), F.col("sign").alias("sign_a"), F.col("n_shingles").alias("n_a"))
     b = a.toDF("b", "set_b", "sign_b", "n_b")
@@ -249,6 +251,16 @@ def near_duplicates(docs: DataFrame, column: str = "text", shingle: int = SHINGL
     return judged.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is set in a bitmap of the hashed ids: all of ``ids``, and few others while the bitmap is not crowded.
+    It has a fixed size, so it can be broadcast, and texts that matter to nobody are not shuffled."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    word, bit = F.floor(place / 63).cast("int"), (place % 63).cast("int")
+    bitmap = ids.groupBy(word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(id), %d) %% 63 as int))" % FILTER_BITS)).alias("_bits"))
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmap), "_word")
+    return marked.filter(F.expr("shiftright(_bits, _bit) & 1 = 1")).select(*rows.columns)
+
+
 def _with_sets(chosen: DataFrame, column: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
