@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that occur earlier go from the texts."""
+    """Runs of lines, and single long lines, that occur earlier go from the texts."""
     kept = linededup.drop_repeated_lines(docs)
     n_chars = F.when(F.size("runs") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*COLUMNS)

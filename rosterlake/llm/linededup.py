@@ -2,13 +2,19 @@
 
 Every window of ``run`` consecutive lines selects the least of its line hashes, the last of equals, as its fingerprint. Two
 equal runs of at least that many lines select the same fingerprints, so a fingerprint that occurs once rules its windows
-out. Positions that share a fingerprint are joined, their windows compared, and matches extended both ways window by
-window to whole runs; a run that occurs earlier (in a smaller doc_id, or earlier in the same document) is deleted.
+out. Windows of shared fingerprints are grouped by the hash of their lines, and those that occur earlier (in a smaller
+doc_id, or earlier in the same document) are deleted. Nothing is extended line by line: every window of a text is looked
+at, and repeated windows that overlap or touch are merged, which gives whole runs.
+
+A single line of ``long_words`` words or more is a window too, with its own hash as its fingerprint, so a paragraph between
+other neighbours and a copy of a one-line text go as well. A word is what stands between white space; in scripts written
+without spaces two characters count as a word. Shorter single lines stay: they recur without being copies. Without
+``long_words`` only runs count, which is what the SQL of ``op3_winnowed_line_dedup`` states.
 
 Lines are what stands between line feeds; lines of white space alone are passed over, and go from a text that loses others.
 A null doc_id comes before all others. Rows that share a doc_id count as one document with several texts: equal places are
-not earlier, so exact repeats of a row leave each other alone. Null texts stay null, empty ones empty, and texts of fewer
-lines than a run keep all. A text that loses all its lines is empty, and its row stays.
+not earlier, so exact repeats of a row leave each other alone. Null texts stay null, empty ones empty, and of texts of
+fewer lines than a run only long lines go. A text that loses all its lines is empty, and its row stays.
 """
 
 from __future__ import annotations
@@ -18,6 +24,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RUN = 2
+#: Words from which a single line counts as a passage of its own.
+LONG_WORDS = 20
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_WORD = rf"[{_UNSPACED}]{{1,2}}|[^\s{_UNSPACED}]+"
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -25,42 +35,54 @@ def lines(column: str = "text") -> Column:
     return F.filter(F.split(F.coalesce(F.col(column), F.lit("")), "\n", -1), lambda x: ~x.rlike(_BLANK))
 
 
-def windows(docs: DataFrame, run: int, column: str) -> DataFrame:
-    """(doc_id, version, start, fingerprint, place, key): every window, its selected line and the hash of its lines."""
-    hashed = docs.select("doc_id", "version", F.transform(lines(column), lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"))).alias("_h"))
-    starts = F.sequence(F.lit(0), F.size("_h") - run)
+def windows(docs: DataFrame, run: int, column: str, long_words: int | None = None) -> DataFrame:
+    """(doc_id, version, start, size, fingerprint, place, key): every window, its selected line and the hash of its lines."""
+    hashed = docs.select("doc_id", "version", F.transform(lines(column), lambda x: F.struct(
+        F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), *([] if long_words is None else [(F.regexp_count(x, F.lit(_WORD)) >= long_words).alias("long")]),
+    )).alias("_h"))
 
-    def window(i: Column) -> Column:
-        part = F.slice("_h", i + 1, run)
+    def window(i: Column, size: int) -> Column:
+        part = F.slice("_h", i + 1, size)
         least = F.array_min(F.transform(part, lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("back"))))
-        return F.struct(i.alias("start"), least["h"].alias("fingerprint"), (i - least["back"]).alias("place"), F.struct(F.xxhash64(part.getField("h")).alias("a"), F.xxhash64(part.getField("g")).alias("b")).alias("key"))
+        return F.struct(
+            i.alias("start"), F.lit(size).alias("size"), least["h"].alias("fingerprint"), (i - least["back"]).alias("place"),
+            F.struct(F.xxhash64(part.getField("h")).alias("a"), F.xxhash64(part.getField("g")).alias("b")).alias("key"),
+        )
 
-    return hashed.filter(F.size("_h") >= run).select("doc_id", "version", F.explode(F.transform(starts, window)).alias("_w")).select("doc_id", "version", "_w.*")
+    starts = F.when(F.size("_h") >= run, F.sequence(F.lit(0), F.size("_h") - run)).otherwise(F.array().cast("array<int>"))
+    found = F.transform(starts, lambda i: window(i, run))
+    if long_words is not None and run > 1:
+        places = F.filter(F.transform("_h", lambda x, i: F.when(x["long"], i)), lambda i: i.isNotNull())
+        found = F.concat(found, F.transform(places, lambda i: window(i, 1)))
+    return hashed.select("doc_id", "version", F.explode(found).alias("_w")).select("doc_id", "version", "_w.*")
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, column: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = RUN, column: str = "text", long_words: int | None = LONG_WORDS) -> DataFrame:
     """(doc_id, version, runs): for each text the runs of lines that occur earlier, as (start, end), end exclusive."""
-    found = windows(docs, run, column)
+    found = windows(docs, run, column, long_words)
     places = found.groupBy("doc_id", "version", "fingerprint", "place").agg(F.count(F.lit(1)).alias("n"))
     shared = places.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint")
-    joined = found.join(shared, "fingerprint").select("key", "doc_id", "version", "start")
+    joined = found.join(shared, "fingerprint").select("key", "size", "doc_id", "version", "start")
     place = F.struct("doc_id", "start")
-    first = joined.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    late = joined.join(first, "key").filter(place > F.col("first")).select("doc_id", "version", "start").distinct()
+    first = joined.groupBy("key", "size").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    late = joined.join(first, ["key", "size"]).filter(place > F.col("first")).groupBy("doc_id", "version", "start").agg(
+        (F.col("start") + F.max("size")).alias("end")
+    )
     in_text = W.partitionBy("doc_id", "version").orderBy("start")
-    opened = late.withColumn("_new", (F.col("start") > F.coalesce(F.lag("start").over(in_text), F.lit(-(1 << 30))) + run).cast("int"))
+    reached = F.max("end").over(in_text.rowsBetween(W.unboundedPreceding, -1))
+    opened = late.withColumn("_new", (F.col("start") > F.coalesce(reached, F.lit(-1))).cast("int"))
     runs = opened.withColumn("_run", F.sum("_new").over(in_text)).groupBy("doc_id", "version", "_run").agg(
-        F.min("start").alias("start"), (F.max("start") + run).alias("end")
+        F.min("start").alias("start"), F.max("end").alias("end")
     )
     return runs.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def drop_repeated_lines(docs: DataFrame, run: int = RUN, column: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, run: int = RUN, column: str = "text", long_words: int | None = LONG_WORDS) -> DataFrame:
     """Documents with repeated runs deleted from the text, and with ``n_lines``, ``n_removed`` and ``runs`` added."""
     kept = docs.drop("n_lines", "n_removed", "runs", "_version")
     marked = kept.withColumn("_version", F.xxhash64(column))
     source = docs.select("doc_id", F.xxhash64(column).alias("version"), column)
-    runs = repeated_runs(source, run, column).select(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), "runs")
+    runs = repeated_runs(source, run, column, long_words).select(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), "runs")
     joined = marked.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left")
     parted = joined.withColumns({"_lines": lines(column), "runs": F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>"))})
     edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("runs"), F.array(F.struct(F.size("_lines").alias("start"), F.lit(0).alias("end"))))

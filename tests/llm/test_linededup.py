@@ -48,3 +48,13 @@ def test_empty_and_long(spark):
     assert got(spark, []) == []
     text = "\n".join(f"line {i}" for i in range(20_000))
     assert got(spark, [(1, text), (2, "head\n" + text)]) == [(20_000, 0, text), (20_001, 20_000, "head")]
+
+
+def test_single_long_lines_that_occur_earlier_go(spark):
+    long, other = " ".join(f"w{i}" for i in range(25)), " ".join(f"v{i}" for i in range(20))
+    wide, short = "水" * 40, " ".join(f"u{i}" for i in range(19))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd\n{short}\ne"), (3, other), (4, other), (5, wide), (6, f"f\n{wide}"), (7, f"g\n{long}\n{long}\nh"), (8, f"x\ny\n{other}\nz\ny"), (9, f"q\nx\ny\n{other}")]
+    assert [(n, t) for _, n, t in got(spark, rows)] == [
+        (0, rows[0][1]), (1, f"c\nd\n{short}\ne"), (0, other), (1, ""), (0, wide), (1, "f"), (2, "g\nh"), (1, "x\ny\nz\ny"), (3, "q"),
+    ]
+    assert [n for _, n, _ in got(spark, rows, long_words=None)] == [0, 0, 0, 0, 0, 0, 0, 0, 3]
