@@ -18,8 +18,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and those without a letter. The rest are clean as far as language goes."""
+    """Documents without a language go: null texts and those without a letter. Where no text has a label there is no
+    language to decide on, and every text with a letter stays."""
     model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), ~langid.held_out())
+    if not model.languages:
+        return docs.filter(langid.spoken("text")).select(*COLUMNS)
     return langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 

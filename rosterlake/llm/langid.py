@@ -216,10 +216,15 @@ def fit(
     return Model(path, languages, p)
 
 
+def spoken(column: str = "text") -> Column:
+    """The text has a letter."""
+    return F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``, the share of the likeliest language in the sum over all."""
     ship(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score", "_spoken").withColumn("_spoken", F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False)))
+    kept = docs.drop("lang_pred", "score", "_spoken").withColumn("_spoken", spoken(column))
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = kept.columns
 

@@ -71,3 +71,9 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.createDataFrame([], KINDS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_texts_stay_where_no_text_has_a_label(spark):
+    rows = [(1, "clean text", None, "s", 10), (2, "123", None, "s", 3), (3, None, None, "s", 0), (4, "mehr Text", None, "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 4]
