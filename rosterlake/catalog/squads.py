@@ -493,7 +493,8 @@ bnd as (select problem_id, min(b) as bound from (select problem_id, price_level,
 select problem_id, price_level, round(sp, 6) as squad_points, round(cost, 6) as squad_cost, round(objective, 6) as objective, formation_no,
   round(bound, 6) as bound_points, round(bound - sp, 6) as gap from best join bnd using (problem_id)""")
 def price_sweep_selection(spark, sf):
-    out = sq.select_squad(*problems(spark, sf), PRICES)
+    # the SQL has the problems with a squad only, and no status
+    out = sq.select_squad(*problems(spark, sf), PRICES).filter("status = 'selected'").drop("status")
     return rounded(out, "squad_points", "squad_cost", "objective", "bound_points", "gap")
 
 

@@ -480,7 +480,8 @@ def select_squad(
     candidates: DataFrame, budgets: DataFrame, prices: Sequence[float], problem: str = "problem_id"
 ) -> DataFrame:
     """The best swept squad per problem by line-up points + captain + 0.25 x bench, and its
-    distance from the bound."""
+    distance from the bound. Each row of ``budgets`` has a result: ``status`` is 'selected', or
+    'none found' where the sweep has no complete squad within budget."""
     swept = price_sweep(candidates, budgets, prices, problem)
     lineup = best_lineup(swept, [problem, "price_level"])
     starts = F.col("starting") == 1
@@ -500,9 +501,11 @@ def select_squad(
             F.struct(F.col("objective"), -F.col("price_level")),
         ).alias("_b")
     ).select(problem, "_b.*")
-    return best.join(sweep_bound(candidates, budgets, prices, problem), problem, "left").withColumn(
-        "gap", F.col("bound_points") - F.col("squad_points")
-    )
+    asked = budgets.select(problem).join(best, problem, "left")
+    return asked.join(sweep_bound(candidates, budgets, prices, problem), problem, "left").withColumns({
+        "gap": F.col("bound_points") - F.col("squad_points"),
+        "status": F.when(F.col("squad_points").isNull(), "none found").otherwise("selected"),
+    })
 
 
 def sweep_swaps(
@@ -511,45 +514,60 @@ def sweep_swaps(
 ) -> DataFrame:
     """Transition form of the sweep: keep an owned squad and make at most ``max_swaps``
     position-aligned swaps paid from bank plus sale values; each one beyond ``free`` costs a
-    hit. Newcomers come one per club, from clubs with a free place, so the result stays legal.
+    hit. A swap is taken when its newcomer's club has a free place after the swaps before it and
+    its own, so a club may send several newcomers, also to one position, and one that is full
+    may replace its own player; every prefix of the swaps stays legal.
 
     Returns the chosen swaps; a problem without a worthwhile swap, or without a complete
     squad, has no row.
     """
     owned = complete_squads(owned, [problem])
     lam = F.explode(F.array(*[F.lit(float(p)) for p in prices]))
-    outs = numbered(
-        owned.withColumn("price_level", lam).withColumn(
-            "_score", F.col("expected_points") - F.col("price_level") * F.col("sale_value")
-        ),
-        [problem, "price_level", "element_type"], ["_score", "player_id"], "_rank", hot=False,
-    )
-    crowded = owned.groupBy(problem, "team_id").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") >= MAX_PER_CLUB
+    keys = [problem, "price_level"]
+    outs = owned.withColumn("price_level", lam).withColumn(
+        "_score", F.col("expected_points") - F.col("price_level") * F.col("sale_value")
     )
+    in_club = owned.groupBy(problem, "team_id").agg(F.count(F.lit(1)).alias("_n"))
     new = (
         candidates.join(owned.select(problem, "player_id"), [problem, "player_id"], "left_anti")
-        .join(crowded.select(problem, "team_id"), [problem, "team_id"], "left_anti")
         .withColumn("price_level", lam)
         .withColumn("_score", F.col("expected_points") - F.col("price_level") * F.col("now_cost_millions"))
     )
-    one_per_club = top_rows(new, [problem, "price_level", "team_id"], ["-_score", "player_id"], 1)
+    # no club brings more than its limit into a position; a full squad has at most SQUAD_SIZE // MAX_PER_CLUB
+    # full clubs and each swap fills one more, so that many are passed over before the quota is reached
+    per_club = top_rows(new, [*keys, "element_type", "team_id"], ["-_score", "player_id"], MAX_PER_CLUB)
     ins = top_rows(
-        one_per_club, [problem, "price_level", "element_type"], ["-_score", "player_id"],
-        max(SQUAD_QUOTA.values()), "_rank",
+        per_club, [*keys, "element_type"], ["-_score", "player_id"],
+        max(SQUAD_QUOTA.values()) + MAX_PER_CLUB * (SQUAD_SIZE // MAX_PER_CLUB + max_swaps),
     )
-    keys = [problem, "price_level", "element_type", "_rank"]
+    n = F.coalesce(F.col("_n"), F.lit(0)).alias("owned_in_club")
     pairs = outs.select(
-        *keys, F.col("player_id").alias("out_id"), F.col("_score").alias("_out"),
+        *keys, "element_type", F.col("player_id").alias("out_id"), F.col("team_id").alias("out_club"), F.col("_score").alias("_out"),
         F.col("expected_points").alias("_out_ep"), "sale_value",
     ).join(
-        ins.select(
-            *keys, F.col("player_id").alias("in_id"), F.col("_score").alias("_in"),
+        ins.join(in_club.withColumnRenamed("team_id", "_club"), (F.col("team_id").eqNullSafe(F.col("_club"))) & (ins[problem] == in_club[problem]), "left").select(
+            *[ins[k] for k in keys], ins["element_type"], F.col("player_id").alias("in_id"), F.col("team_id").alias("in_club"), n, F.col("_score").alias("_in"),
             F.col("expected_points").alias("_in_ep"), F.col("now_cost_millions").alias("in_price"),
         ),
-        keys,
+        [*keys, "element_type"],
     ).withColumn("_value", F.col("_in") - F.col("_out")).filter(F.col("_value") > 0)
-    best = top_rows(pairs, [problem, "price_level"], ["-_value", "out_id"], max_swaps, "swap_no")
+    fields = ["out_id", "in_id", "out_club", "in_club", "owned_in_club", "_in_ep", "_out_ep", "sale_value", "in_price"]
+    listed = pairs.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("_value")).alias("_less"), *fields))).alias("_pairs")
+    )
+
+    def fits(pair: Column, taken: Column) -> Column:
+        same = lambda club: club.eqNullSafe(pair["in_club"])
+        count = (
+            pair["owned_in_club"] + F.size(F.filter(taken, lambda t: same(t["in_club"])))
+            - F.size(F.filter(taken, lambda t: same(t["out_club"]))) - same(pair["out_club"]).cast("int")
+        )
+        return (count < MAX_PER_CLUB) & ~F.exists(taken, lambda t: (t["out_id"] == pair["out_id"]) | (t["in_id"] == pair["in_id"]))
+
+    best = listed.withColumn("_taken", F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_swaps)), F.slice("_pairs", 1, 0),
+        lambda taken, _: F.concat(taken, F.slice(F.filter("_pairs", lambda p: fits(p, taken)), 1, 1)),
+    )).select(*keys, F.posexplode("_taken").alias("_k", "_t")).select(*keys, (F.col("_k") + 1).alias("swap_no"), "_t.*")
     upto = Window.partitionBy(problem, "price_level").orderBy("swap_no").rowsBetween(Window.unboundedPreceding, 0)
     totals = best.withColumns(
         {

@@ -132,6 +132,22 @@ def test_sweep_swaps_stay_legal(spark):
     assert sum(s["in_price"] - s["sale_value"] for s in swaps) <= 2.0 + 1e-6
 
 
+def test_sweep_swaps_take_several_newcomers_of_a_club(spark):
+    rows = pool(4, tuple(SQUAD_QUOTA.values()))
+    owned = spark.createDataFrame([(*r[:3], 50 + i, *r[4:]) for i, r in enumerate(rows)], POOL).withColumn("sale_value", F.lit(6.0))
+    extra = spark.createDataFrame([(0, 100 + i, p, 7, 6.0, 90.0 - i) for i, p in enumerate([3, 3, 2, 4])] + [(0, 200, 1, 8, 6.0, 70.0)], POOL)
+    banks = spark.createDataFrame([(0, 9.0)], "problem_id int, bank double")
+    came = {s["in_id"] for s in sq.sweep_swaps(owned, extra, banks, [0.0], 4, 4).collect()}
+    assert len(came) == 4 and 200 in came and len(came & {100, 101, 102, 103}) == 3
+
+
+def test_problems_without_a_squad_have_a_status(spark):
+    cand = spark.createDataFrame(pool(3, (12, 28, 32, 20), clubs=20), POOL)
+    budgets = spark.createDataFrame([(0, 105.0), (1, 105.0)], "problem_id int, budget double")
+    best = sq.select_squad(cand, budgets, [0.0, 0.2, 0.4, 0.6, 1.0])
+    assert {r.problem_id: r.status for r in best.collect()} == {0: "selected", 1: "none found"}
+
+
 def test_sale_value_halves_gains(spark):
     df = spark.createDataFrame([(55, 59), (55, 50), (55, 56)], "b int, c int")
     assert [r[0] for r in df.select(numbers.sale_value("b", "c")).collect()] == [57, 50, 55]
