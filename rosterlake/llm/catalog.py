@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import ann, bpe, decontam, langid, linededup, neardup, pii, secrets, substring, urls
+from rosterlake.llm import ann, bpe, decontam, fim, langid, linededup, neardup, pii, quality, resample, secrets, substring, urls
 from rosterlake.llm.runtime import sha_hex
 from rosterlake.llm.sql import SQL
 from rosterlake.session import prepare, scratch_path
@@ -118,6 +118,31 @@ def op10(spark, sf_dir):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op11_radix_importance_resampling")
+def op11(spark, sf_dir):
+    """Weight, score and rank of every document in a draw that leans to the benchmark."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    drawn = resample.resample(docs, table(spark, sf_dir, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_piece_table_fill_in_middle")
+def op12(spark, sf_dir):
+    """Every whole text cut in three and arranged, and the text that its output gives back."""
+    done = fim.transform(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "pieces")
+    back = fim.restore(done, texts=False)
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("op13_histogram_tree_quality")
+def op13(spark, sf_dir):
+    """Quality of every whole text; the labels of a quarter of the documents are held out of the fit."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    trees = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), ~quality.held_out())
+    scored = quality.predict(docs, trees).withColumn("held_out", quality.held_out())
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -165,3 +165,69 @@ select doc_id, len(w)::bigint as n_lines, (len(w) - coalesce(n, 0))::bigint as n
        sha256(case when len(w) > coalesce(n, 0) then coalesce(kept.t, '') else d.t end) as kept_sha256
 from d left join kept using (r)
 """
+
+#: CRC-32 by its rule: eight halvings of each byte make the table, every byte of a text takes one step.
+SQL["op11_radix_importance_resampling"] = f"""
+with byte as (
+  select list(v order by b) as t from (
+    select b, list_reduce(range(8), lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, b) as v from range(256) r(b))
+),
+dw as (select doc_id, row_number() over () as r, {_RUNS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),
+bw as (select {_RUNS.format(_LOWER.format("coalesce(text, '')"))} as w from benchmark),
+df as (
+  select r, array_to_string(w[i : i + n - 1], ' ') as f, count(*) as c
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, range(1, 4) g(n)) group by all
+),
+bf as (
+  select array_to_string(w[i : i + n - 1], ' ') as f, count(*) as c
+  from (select w, n, unnest(range(1, len(w) - n + 2)) as i from bw, range(1, 4) g(n)) group by all
+),
+bucket as (
+  select f, xor(list_reduce(
+    list_transform(range(1, strlen(f) + 1), lambda k: ('0x' || substr(h, 2 * k - 1, 2))::bigint),
+    lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as b
+  from (select f, hex(encode(f)) as h from (select f from df union select f from bf)), byte
+),
+s as (select b, sum(c) as n from df join bucket using (f) group by b),
+t as (select b, sum(c) as n from bf join bucket using (f) group by b),
+gain as (
+  select b, floor(1000 * ln(
+    (coalesce(t.n, 0) + 1)::double * (coalesce((select sum(n) from s), 0) + 10000)::double
+    / ((coalesce(s.n, 0) + 1)::double * (coalesce((select sum(n) from t), 0) + 10000)::double)))::bigint as g
+  from s full join t using (b)
+),
+weight as (select r, sum(c)::bigint as n, sum(c * g)::bigint as w from df join bucket using (f) join gain using (b) group by r),
+scored as (
+  select r, doc_id, len(dw.w) as n_words, coalesce(n, 0)::bigint as n_features, coalesce(weight.w, 0)::bigint as weight,
+         coalesce(weight.w, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as score
+  from dw left join weight using (r)
+),
+drawn as (
+  select r, row_number() over (order by score desc, doc_id nulls first, n_features) as rank from scored where n_words >= 20
+  qualify rank <= 5 * count(*) over () // 100
+)
+select doc_id, n_features, weight, score, rank from scored left join drawn using (r)
+"""
+
+SQL["op12_piece_table_fill_in_middle"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u
+  from documents
+),
+drawn as (
+  select doc_id, t, u, len(u) as n, ('0x' || substr(h, 1, 8))::bigint % (len(u) + 1) as c1, ('0x' || substr(h, 9, 8))::bigint % (len(u) + 1) as c2,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or ('0x' || substr(h, 17, 8))::bigint % 100 >= 50 then 'plain'
+              when ('0x' || substr(h, 25, 8))::bigint % 100 < 80 then 'spm' else 'psm' end as form
+  from d
+),
+cut as (
+  select doc_id, t, n, form, array_to_string(u[1 : least(c1, c2)], '') as p, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') as m,
+         array_to_string(u[greatest(c1, c2) + 1 :], '') as s
+  from drawn
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256
+from cut
+"""

@@ -20,6 +20,8 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 _U = np.uint64
+#: Bytes of text whose words are hashed at a time.
+_STRETCH = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,16 +100,19 @@ def split(texts: pa.Array, kind: np.ndarray = SPACED, lower: bool = False, seeds
     end[tails] = inside[tails]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     first = np.searchsorted(starts, offsets)
-    hashes = []
-    if len(starts):
-        at = np.flatnonzero(inside)
-        lengths = ends - starts
-        place = at - np.repeat(starts, lengths)
+    hashes = [np.zeros(len(starts), dtype=np.uint64) for _ in seeds]
+    begin = 0
+    while begin < len(starts) and seeds:  # a stretch of words at a time, so that a long text takes no more room than its words
+        end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + _STRETCH, side="right")))
+        lengths = ends[begin:end] - starts[begin:end]
         heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        value = raw[at].astype(np.uint64) + _U(1)
+        place = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
+        value = raw[np.repeat(starts[begin:end], lengths) + place].astype(np.uint64) + _U(1)
         longest = int(lengths.max())
-        hashes = [mix(np.add.reduceat(value * _weights(longest, s)[place], heads)) for s in seeds]
-    return Words(raw, starts, ends, first, hashes or [np.zeros(0, dtype=np.uint64) for _ in seeds])
+        for h, s in zip(hashes, seeds):
+            h[begin:end] = mix(np.add.reduceat(value * _weights(longest, s)[place], heads))
+        begin = end
+    return Words(raw, starts, ends, first, hashes)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
