@@ -55,10 +55,20 @@ def op2(spark, sf_dir):
     )
 
 
+@query("base_personal_data")
+def base_personal_data(spark, sf_dir):
+    """What op2 returns of the base patterns alone, which SQL can say."""
+    found = pii.scanned(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", *[F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE],
+        sha_hex(secrets.listed(F.col("base"))).alias("base_sha256"),
+    )
+
+
 @query("op3_winnowed_line_dedup")
 def op3(spark, sf_dir):
-    """Every whole text without runs of lines that occur earlier; single long lines stay, as the SQL has it."""
-    kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"), long_words=None)
+    """Every whole text without runs of lines, and single long lines, that occur earlier."""
+    kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", sha_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterlake.llm.linededup import RUN
+from rosterlake.llm.linededup import LONG_WORDS, RUN
 from rosterlake.llm.secrets import RULES as SECRETS
 from rosterlake.llm.urls import RULES, SOFT, SOFT_HITS, STRICT
 
@@ -144,6 +144,8 @@ select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(k, 0)::bigint as n_a
 from d left join listed using (r)
 """
 
+_SCRIPTS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+
 SQL["op3_winnowed_line_dedup"] = f"""
 with d as (
   select doc_id, row_number() over () as r, coalesce(text, '') as t,
@@ -151,12 +153,15 @@ with d as (
   from documents
 ),
 win as (
-  select r, doc_id, i, w[i : i + {RUN - 1}] as s
+  select r, doc_id, i, {RUN} as size, w[i : i + {RUN - 1}] as s
   from (select *, unnest(range(1, len(w) - {RUN - 2})) as i from d where len(w) >= {RUN})
+  union all
+  select r, doc_id, i, 1, [line] from (select r, doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as line from d)
+  where len(regexp_extract_all(line, '[{_SCRIPTS}]{{1,2}}|[^\\x20\\x09-\\x0D{_SCRIPTS}]+')) >= {LONG_WORDS}
 ),
 least as (select s, min(struct_pack(doc_id := doc_id, i := i)) as l from win group by s having count(*) > 1),
-late as (select r, i from win join least using (s) where struct_pack(doc_id := win.doc_id, i := win.i) > l),
-gone as (select distinct r, unnest(range(i, i + {RUN})) as k from late),
+late as (select r, i, size from win join least using (s) where struct_pack(doc_id := win.doc_id, i := win.i) > l),
+gone as (select distinct r, unnest(range(i, i + size)) as k from late),
 kept as (
   select r, string_agg(line, chr(10) order by k) as t, count(*) as n
   from (select r, unnest(range(1, len(w) + 1)) as k, unnest(w) as line from d) anti join gone using (r, k) group by r
@@ -166,6 +171,39 @@ select doc_id, len(w)::bigint as n_lines, (len(w) - coalesce(n, 0))::bigint as n
 from d left join kept using (r)
 """
 
+_PERSONAL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(hit, '.'), lambda p: p::hugeint > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", """len(digits) between 16 and 19 and list_sum(list_transform(range(1, len(digits) + 1), lambda i:
+        case when i % 2 = 1 then digits[len(digits) + 1 - i] when digits[len(digits) + 1 - i] > 4 then digits[len(digits) + 1 - i] * 2 - 9 else digits[len(digits) + 1 - i] * 2 end)) % 10 = 0"""),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(digits) between 8 and 15"),
+)
+
+
+def _personal_spans() -> str:
+    return " union all ".join(
+        f"""select r, '{kind}' as kind, {place} as place, start, start + length(hit) as stop from (
+          select r, hit, list_transform(regexp_extract_all(hit, '[0-9]'), lambda x: x::int) as digits,
+                 length(array_to_string(gaps[1 : i], '')) + length(array_to_string(hits[1 : i - 1], '')) as start
+          from (select r, hits, gaps, unnest(range(1, len(hits) + 1)) as i, unnest(hits) as hit
+                from (select r, regexp_extract_all(t, '{pattern}') as hits, string_split_regex(t, '{pattern}') as gaps from d)))
+        where {good}"""
+        for place, (kind, pattern, good) in enumerate(_PERSONAL)
+    )
+
+
+SQL["base_personal_data"] = f"""
+with d as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+span as ({_personal_spans()}),
+listed as (
+  select r, {", ".join(f"count(*) filter (where kind = '{k}') as {k}" for k, _, _ in _PERSONAL)},
+         string_agg(kind || ':' || start || ':' || stop, ',' order by place, start) as base
+  from span group by r
+)
+select doc_id, {", ".join(f"coalesce({k}, 0)::bigint as n_{k}" for k, _, _ in _PERSONAL)}, sha256(coalesce(base, '')) as base_sha256
+from d left join listed using (r)
+"""
+
 #: CRC-32 by its rule: eight halvings of each byte make the table, every byte of a text takes one step.
 SQL["op11_radix_importance_resampling"] = f"""
 with byte as (
