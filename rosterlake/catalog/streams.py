@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from rosterlake.catalog.base import query, rounded, table
 from rosterlake.streaming.ema import run_ema
 from rosterlake.streaming.form import RunningForm
-from rosterlake.streaming.ingest import FinalityGate, dedup
-from rosterlake.streaming.sinks import append_to, read_files, scratch
+from rosterlake.streaming.ingest import DedupIngest, FinalityGate
+from rosterlake.streaming.sinks import read_files, scratch
 
 
 def event_stream(spark, sf):
@@ -18,12 +18,26 @@ def event_stream(spark, sf):
 @query("stream_dedup", "select event_id, user_id, event_type, value from events")
 def stream_dedup(spark, sf):
     """Every event arrives twice and is kept once."""
-    twice = event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
-        "ts", F.col("ts").cast("timestamp")
-    )
-    path = scratch(spark, "dedup")
-    append_to(dedup(twice, "ts", ["event_id"], "1 day").select("event_id", "user_id", "event_type", "value"), path)
-    return spark.read.parquet(f"{path}/rows")
+    twice = event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    ingest = DedupIngest(spark, scratch(spark, "dedup"), "ts", ["event_id"], 86_400)
+    ingest.run(twice)
+    return ingest.rows().select("event_id", "user_id", "event_type", "value")
+
+
+@query("stream_dedup_late", """
+select event_id, user_id, event_type, value, first_value(day(ts)) over (order by ts desc, event_id) - day(ts) > 1 as behind from events""")
+def stream_dedup_late(spark, sf):
+    """Events landed in files of falling time, one file a batch: all that lies behind the watermark comes by the side table."""
+    path = scratch(spark, "dedup-falling")
+    day = F.dayofmonth("ts")
+    events = table(spark, sf, "events").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    newest = events.agg(F.max(day)).first()[0] or 0
+    ingest = DedupIngest(spark, path, "ts", ["event_id"], 86_400)
+    # three landings: the newest days, the middle ones, the oldest
+    for low, high in ((newest - 1, newest), (newest - 10, newest - 2), (0, newest - 11)):
+        events.filter(day.between(low, high)).write.mode("append").parquet(f"{path}/in")
+        ingest.run(read_files(spark, f"{path}/in", events.schema))
+    return ingest.rows().select("event_id", "user_id", "event_type", "value", F.col("late").alias("behind"))
 
 
 @query("finality_gate", """
@@ -35,13 +49,10 @@ def finality_gate(spark, sf):
         days = table(spark, sf, "events").select(F.dayofmonth("ts").alias("id")).distinct()
         return days.withColumns({"finished": F.col("id") <= 20, "data_checked": F.col("id") % 6 != 0})
 
-    path = scratch(spark, "gate")
-    gate = FinalityGate(spark, path, rows.schema, "gw", rounds)
+    gate = FinalityGate(spark, scratch(spark, "gate"), rows.schema, "gw", rounds)
     gate.run(rows)
-    released = gate.released.all().withColumn("state", F.lit("released"))
-    last = gate.waiting.all().agg(F.max("batch")).scalar()
-    waiting = gate.waiting.all().filter(F.col("batch") == last).withColumn("state", F.lit("waiting"))
-    return released.unionByName(waiting).groupBy("gw", "state").agg(F.count(F.lit(1)).alias("n"))
+    released = gate.released().withColumn("state", F.lit("released"))
+    return released.unionByName(gate.waiting().withColumn("state", F.lit("waiting"))).groupBy("gw", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_form", """
@@ -51,7 +62,7 @@ def stream_form(spark, sf):
     path = scratch(spark, "form")
     running = RunningForm(spark, path, rows.schema, ["user_id"], ["ts", "event_id"], "value")
     running.run(rows)
-    return rounded(running.rows.all().select("event_id", "value_ma5"), "value_ma5")
+    return rounded(running.rows().select("event_id", "value_ma5"), "value_ma5")
 
 
 @query("stream_ema", """

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterlake.session import scratch_path
@@ -25,15 +26,23 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_b
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def append_to(stream: DataFrame, path: str) -> None:
+def append_to(stream: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Run to the end of the available input into a Parquet table."""
     query = (
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_checkpoint")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_checkpoint").partitionBy(*partition_by)
         .trigger(availableNow=True).outputMode("append").start(f"{path}/rows")
     )
     query.awaitTermination()
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Processors with named states need a state store that keeps them apart."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def each_batch(
     stream: DataFrame, path: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
 ) -> None:
@@ -47,19 +56,25 @@ def each_batch(
 
 
 class BatchTable:
-    """A table with one folder per micro-batch; the newest one before ``batch`` is the state."""
+    """A table with one folder per micro-batch."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def write(self, df: DataFrame, batch: int, partition_by: Sequence[str] = ()) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(f"{self.path}/batch={batch}")
+
+    def of(self, batch: int) -> DataFrame:
+        return self.all().filter(F.col("batch") == batch)
 
-    def before(self, batch: int) -> DataFrame:
-        if batch <= 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch - 1}")
+    def upto(self, batch: int) -> DataFrame:
+        """What the batches up to ``batch`` have written; a later one may be there when a batch is repeated."""
+        return self.all().filter(F.col("batch") <= batch)
 
     def all(self) -> DataFrame:
         """Every batch, with its number in the column ``batch``."""
-        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path)
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)

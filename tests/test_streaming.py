@@ -9,8 +9,9 @@ from rosterlake.operators import panel
 from rosterlake.plans import state
 from rosterlake.streaming.ema import run_ema
 from rosterlake.streaming.form import RunningForm
-from rosterlake.streaming.ingest import FinalityGate, dedup
-from rosterlake.streaming.sinks import append_to, read_files, scratch
+from rosterlake.streaming.ema import round_sums
+from rosterlake.streaming.ingest import DedupIngest, FinalityGate
+from rosterlake.streaming.sinks import read_files, scratch
 
 SCHEMA = "season_name string, gw int, player_id long, element_type int, residual double"
 
@@ -58,14 +59,46 @@ def test_running_form_equals_the_batch(spark, tmp_path, limit):
         form.run(read_files(spark, str(tmp_path / "in"), rows.schema, 1))
     finally:
         spark.conf.unset(MAX_GROUP_ROWS)
-    got = {r["id"]: r["v_ma5"] for r in form.rows.all().collect()}
+    got = {r["id"]: r["v_ma5"] for r in form.rows().collect()}
     want = {r["id"]: r["v_ma5"] for r in panel.form(rows, ["k"], ["id"], ["v"], lags=False).collect()}
     assert got.keys() == want.keys()
     for i in want:
         assert got[i] == (None if want[i] is None else pytest.approx(want[i]))
+    # an entity leaves one row a batch for the state, and no batch writes entities that it does not hold
+    tails = form.tails.all()
+    assert tails.count() == tails.select("k", "batch").distinct().count() == 4 * 5
 
 
-def test_gate_releases_on_the_flip(spark, tmp_path):
+def test_running_form_with_nulls_and_a_second_run(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 2, None if i % 3 == 0 else float(i)) for i in range(24)], "id long, k int, v double")
+    form = RunningForm(spark, scratch(spark, "t-form"), rows.schema, ["k"], ["id"], "v", 3)
+    for i in range(3):
+        rows.filter((F.col("id") >= i * 8) & (F.col("id") < (i + 1) * 8)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        form.run(read_files(spark, str(tmp_path / "in"), rows.schema))
+    got = {r["id"]: r["v_ma3"] for r in form.rows().collect()}
+    want = {r["id"]: r["v_ma3"] for r in panel.form(rows, ["k"], ["id"], ["v"], (3,), lags=False).collect()}
+    assert got == {i: None if v is None else pytest.approx(v) for i, v in want.items()}
+
+
+def test_ema_does_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    rows = [("2024-25", gw, 1 if n % 3 else 2, 1, float(gw * n % 7)) for gw in range(1, 7) for n in range(6)]
+    biases = []
+    for name, order in (("rising", rows), ("falling", rows[::-1])):
+        for i in range(4):
+            spark.createDataFrame(order[i * 9 : (i + 1) * 9], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        out = run_ema(read_files(spark, str(tmp_path / name), spark.createDataFrame([], SCHEMA).schema, 1), scratch(spark, "t-ema"), files_per_batch=1)
+        biases.append({(r["kind"], r["key"]): pytest.approx(r["bias"]) for r in out.collect()})
+    assert biases[0] == biases[1] and len(biases[0]) == 3
+
+
+def test_a_hot_key_reaches_the_state_as_one_row_a_round(spark):
+    rows = spark.range(3_000).select(F.lit("2024-25").alias("season_name"), (F.col("id") % 2).cast("int").alias("gw"), (F.col("id") % 1_000).alias("player_id"), F.lit(4).alias("element_type"), F.lit(1.0).alias("residual"))
+    sums = round_sums(rows)
+    assert sums.filter("kind = 'position'").count() == 2
+    assert sums.filter("kind = 'position'").agg(F.sum("n")).first()[0] == 3_000
+
+
+def test_gate_releases_on_the_flip_and_writes_arrivals_once(spark, tmp_path):
     rows = spark.range(20).select("id", (F.col("id") % 2 + 1).cast("int").alias("gw"))
     flags = {"checked": False}
 
@@ -74,25 +107,53 @@ def test_gate_releases_on_the_flip(spark, tmp_path):
 
     gate = FinalityGate(spark, scratch(spark, "t-gate"), rows.schema, "gw", rounds)
     gate(rows.filter("id < 10"), 0)
-    assert gate.released.all().count() == 5
+    assert gate.released().count() == 5 and gate.waiting().count() == 5
     gate(rows.filter("id < 10"), 0)  # a repeated batch replaces itself
-    flags["checked"] = True
     gate(rows.filter("id >= 10"), 1)
-    assert sorted(r["id"] for r in gate.released.all().collect()) == list(range(20))
-    assert gate.waiting.all().filter("batch = 1").count() == 0
+    assert gate.log.of(1).count() == 10 and gate.released().count() == 10 and gate.released(1).count() == 5
+    flags["checked"] = True
+    gate(rows.limit(0), 2)
+    assert gate.log.of(2).count() == 0 and gate.log.all().count() == 20
+    assert sorted(r["id"] for r in gate.released().collect()) == list(range(20)) and gate.released(2).count() == 10
+    assert gate.waiting().count() == 0
+    gate(rows.limit(0), 2)  # and a repeated flip too
+    assert gate.markers.all().count() == 2
+    late = spark.createDataFrame([(20, 2), (21, None), (22, 3)], "id long, gw int")
+    gate(late, 3)
+    assert [r["id"] for r in gate.released(3).collect()] == [20] and gate.waiting().count() == 2
+
+
+def test_no_first_arrival_is_lost_in_falling_order(spark, tmp_path):
+    schema = "key long, ts timestamp, note string"
+    rows = spark.range(15).select(F.col("id").alias("key"), F.timestamp_seconds(F.col("id") * 7_200).alias("ts"), F.lit("x").alias("note"))
+    ingest = DedupIngest(spark, scratch(spark, "t-dedup"), "ts", ["key"], 3_600, buckets=4)
+    for low in (10, 5, 0):  # one file a batch, the newest first
+        rows.filter((F.col("key") >= low) & (F.col("key") < low + 5)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.run(read_files(spark, f"{tmp_path}/in", rows.schema, 1), 1)
+    out = ingest.rows().collect()
+    assert sorted(r["key"] for r in out) == list(range(15))
+    assert sorted(r["key"] for r in out if r["late"]) == list(range(10))
+    # copies of late rows, of forgotten ones and of new ones; a row without event time, twice
+    more = rows.union(rows.filter("key < 3")).union(spark.createDataFrame([(99, None, "y"), (99, None, "y")], schema))
+    more.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    ingest.run(read_files(spark, f"{tmp_path}/in", rows.schema, 1), 1)
+    assert sorted(r["key"] for r in ingest.rows().collect()) == [*range(15), 99]
+    counted = ingest.counts().agg(F.sum("n_on_time"), F.sum("n_late_new"), F.sum("n_late")).first()
+    assert counted[0] == 5 and counted[1] == 11 and counted[2] >= 11
 
 
 def test_dedup_keeps_one_row_per_key(spark, tmp_path):
     rows = spark.range(50).select((F.col("id") % 20).alias("key"), F.timestamp_seconds(F.col("id") * 10).alias("ts"))
     for _ in range(2):
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    path = scratch(spark, "t-dedup")
-    append_to(dedup(read_files(spark, str(tmp_path / "in"), rows.schema, 1), "ts", ["key"], "1 hour"), path)
-    out = spark.read.parquet(f"{path}/rows")
+    ingest = DedupIngest(spark, scratch(spark, "t-dedup"), "ts", ["key"], 3_600, buckets=4)
+    ingest.run(read_files(spark, str(tmp_path / "in"), rows.schema, 1), 1)
+    out = ingest.rows()
     assert out.count() == out.select("key").distinct().count() == 20
+    assert ingest.counts().agg(F.sum("n_late")).first()[0] == 0
 
 
-@pytest.mark.parametrize("name", ["stream_dedup", "finality_gate", "stream_form", "stream_ema"])
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_dedup_late", "finality_gate", "stream_form", "stream_ema"])
 def test_stream_queries_on_a_folder_of_files(spark, tmp_path, name):
     import __spark_entry__ as driver
     from tests.compare import canonical, differences, duck
