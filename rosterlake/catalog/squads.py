@@ -9,10 +9,12 @@ from rosterlake.catalog.base import (
 )
 from rosterlake.catalog.summaries import chip_column
 from rosterlake.functions.numbers import flag
-from rosterlake.functions.players import captain_score, compact_record, risk_issues
+from rosterlake.functions.players import captain_score
 from rosterlake.operators import ledger, squad as sq
 from rosterlake.operators.joins import pair_by_rank
 from rosterlake.operators.ordered import numbered, top_rows
+from rosterlake.operators.programme import best_squads
+from rosterlake.plans.analysis import analysis_context
 
 SQUAD = ["squad_id"]
 
@@ -491,61 +493,140 @@ bslot as (select * from priced qualify row_number() over (partition by problem_i
    <= case element_type when 1 then 2 when 2 then 5 when 3 then 5 else 3 end),
 bnd as (select problem_id, min(b) as bound from (select problem_id, price_level, sum(sc) + price_level * (100 + problem_id * 5) as b from bslot group by 1, 2) group by 1)
 select problem_id, price_level, round(sp, 6) as squad_points, round(cost, 6) as squad_cost, round(objective, 6) as objective, formation_no,
-  round(bound, 6) as bound_points, round(bound - sp, 6) as gap from best join bnd using (problem_id)""")
+  round(bound, 6) as bound_points, round(bound - sp, 6) as gap, case when sp is null then 'none found' else 'selected' end as status
+from (select distinct problem_id from cand) left join best using (problem_id) left join bnd using (problem_id)""")
 def price_sweep_selection(spark, sf):
-    # the SQL has the problems with a squad only, and no status
-    out = sq.select_squad(*problems(spark, sf), PRICES).filter("status = 'selected'").drop("status")
+    out = sq.select_squad(*problems(spark, sf), PRICES)
     return rounded(out, "squad_points", "squad_cost", "objective", "bound_points", "gap")
 
 
-@query("swap_sweep")
+# --- transition form: each complete squad against the best of every position and price band -----------------------
+
+IN_BAND = 10
+
+
+def newcomers(spark, sf, owned):
+    """For each squad the ten best parts of every position and whole million of price."""
+    banded = part_scores(spark, sf).withColumn("_band", F.floor("now_cost_millions"))
+    best = top_rows(banded, ["element_type", "_band"], ["-expected_points", "player_id"], IN_BAND).drop("_band")
+    return owned.select("problem_id", "element_type").distinct().join(best, "element_type")
+
+
+@query("swap_sweep", f"""with {SQUADS},
+own as (select squad_id as problem_id, *, now_cost_millions - 0.1 as sale_value from owned),
+best as (select * from part_scores qualify row_number() over (partition by element_type, floor(now_cost_millions) order by expected_points desc, player_id) <= {IN_BAND}),
+lam(price_level) as (select unnest({PRICES}::double[])),
+club as (select problem_id, team_id, count(*) as n from own group by 1, 2),
+pairs as (
+  select o.problem_id, price_level, o.player_id as out_id, o.team_id as out_club, i.player_id as in_id, i.team_id as in_club,
+         coalesce(c.n, 0) as n, o.sale_value, i.now_cost_millions as in_price, i.expected_points - o.expected_points as delta,
+         (i.expected_points - price_level * i.now_cost_millions) - (o.expected_points - price_level * o.sale_value) as v
+  from own o join best i using (element_type) cross join lam left join club c on c.problem_id = o.problem_id and c.team_id = i.team_id
+  where v > 0 and not exists (select 1 from own x where x.problem_id = o.problem_id and x.player_id = i.player_id)
+),
+first as (select * from pairs where n - (out_club = in_club)::int < 3 qualify row_number() over (partition by problem_id, price_level order by v desc, out_id, in_id) = 1),
+second as (
+  select p.* from pairs p join first f on f.problem_id = p.problem_id and f.price_level = p.price_level
+  where p.out_id <> f.out_id and p.in_id <> f.in_id
+    and p.n + (f.in_club = p.in_club)::int - (f.out_club = p.in_club)::int - (p.out_club = p.in_club)::int < 3
+  qualify row_number() over (partition by p.problem_id, p.price_level order by p.v desc, p.out_id, p.in_id) = 1
+),
+taken as (select *, 1 as swap_no from first union all select *, 2 from second),
+run as (select *, sum(in_price - sale_value) over w as spent, sum(delta) over w as gain from taken window w as (partition by problem_id, price_level order by swap_no)),
+pick as (
+  select problem_id, price_level, swap_no as swaps, gain - 4 * greatest(0, swap_no - 1) as net from run where spent <= 1.5 + 1e-6 and net > 0
+  qualify row_number() over (partition by problem_id order by round(net, 9) desc, swap_no, price_level) = 1
+),
+done as (select problem_id, price_level, swap_no, out_id, in_id, delta, net from pick join taken using (problem_id, price_level) where swap_no <= swaps)
+select problem_id, price_level, swap_no, out_id, in_id, round(delta, 6) as delta, round(net, 6) as net_gain, case when swap_no is null then 'none found' else 'selected' end as status
+from (select distinct problem_id from own) left join done using (problem_id)""")
 def swap_sweep(spark, sf):
-    """Transition form of the sweep: each complete squad may make two swaps."""
+    """Each complete squad may make two swaps."""
     owned = sq.complete_squads(squads(spark, sf), SQUAD).withColumns(
         {"problem_id": F.col("squad_id"), "sale_value": F.col("now_cost_millions") - 0.1}
     )
-    # a squad chooses among the parts that share its remainder: every part is in one pool
-    count = owned.agg(F.countDistinct("squad_id")).scalar()
-    pool = part_scores(spark, sf).withColumn("problem_id", F.col("player_id") % count)
     banks = owned.select("problem_id").distinct().withColumn("bank", F.lit(1.5))
-    return sq.sweep_swaps(owned, pool, banks, PRICES, 2, 1)
+    out = sq.sweep_swaps(owned, newcomers(spark, sf, owned), banks, PRICES, 2, 1)
+    return rounded(out.drop("sale_value", "in_price"), "delta", "net_gain")
+
+
+# --- the same by dynamic programme, on pools small enough for every squad to be listed in SQL ------------------------
+
+_LISTED = f"""
+quota(element_type, q) as (values (1, 2), (2, 5), (3, 5), (4, 3)),
+chosen as (
+  select problem_id, element_type, m, sum(new) as new, sum(price_tenths) as cost, list(expected_points order by expected_points desc) as eps, list(club) as clubs
+  from numbered join quota using (element_type) join range(1, 1024) masks(m) on bit_count(m) = q and (m >> (no - 1)) & 1 = 1
+  group by problem_id, element_type, m, q having count(*) = q and sum(new) <= 2
+),
+ends as (select g.problem_id, g.new + f.new as new, g.cost + f.cost as cost, g.eps as g, f.eps as f, g.clubs || f.clubs as clubs
+  from chosen g join chosen f on g.problem_id = f.problem_id and g.element_type = 1 and f.element_type = 4 and g.new + f.new <= 2),
+middle as (select d.problem_id, d.new + m.new as new, d.cost + m.cost as cost, d.eps as d, m.eps as m, d.clubs || m.clubs as clubs
+  from chosen d join chosen m on d.problem_id = m.problem_id and d.element_type = 2 and m.element_type = 3 and d.new + m.new <= 2),
+every as (
+  select problem_id, e.new + x.new as new, g, d, m, f from ends e join middle x using (problem_id) join asked using (problem_id)
+  where e.new + x.new <= 2 and e.cost + x.cost <= budget_tenths
+    and len(list_filter(range(7), lambda c: len(list_filter(e.clubs || x.clubs, lambda y: y = c)) > 3)) = 0
+),
+{FORMATION_ROWS.strip()},
+scored as (
+  select problem_id, list_sum(g[1:gk]) + list_sum(d[1:df]) + list_sum(m[1:md]) + list_sum(f[1:fw]) as xi, greatest(g[1], d[1], m[1], f[1]) as cap,
+         list_sum(g) + list_sum(d) + list_sum(m) + list_sum(f) as total, new from every, formations
+),
+top as (select problem_id, max(xi + cap + 0.25 * (total - xi) - 4 * greatest(0, new - free)) as objective from scored join asked using (problem_id) group by 1)
+select problem_id, case when objective is null then 'none' else 'best' end as status, round(objective, 6) as objective from asked left join top using (problem_id)"""
+
+
+def clubbed(df):
+    """Seven clubs, so that their limit binds in small pools."""
+    return df.withColumn("team_id", F.col("team_id") % 7)
+
+
+@query("squad_programme", f"""with {PARTS},
+dealt as (select *, (row_number() over (partition by element_type order by player_id) - 1) // case element_type when 1 then 3 when 4 then 4 else 6 end as problem_id from part_scores),
+numbered as (select *, team_id % 7 as club, 0 as new, row_number() over (partition by problem_id, element_type order by player_id) as no from dealt),
+asked as (select problem_id, 1200 + problem_id % 9 * 20 as budget_tenths, 0 as free from (select distinct problem_id from dealt)),{_LISTED}""")
+def squad_programme(spark, sf):
+    """The best squad out of every pool of 3/6/6/4 parts, or that there is none."""
+    size = F.element_at(F.array(F.lit(3), F.lit(6), F.lit(6), F.lit(4)), F.col("element_type").cast("int"))
+    dealt = numbered(part_scores(spark, sf), ["element_type"], ["player_id"], "_no").withColumn("problem_id", F.floor((F.col("_no") - 1) / size))
+    budgets = dealt.select("problem_id").distinct().withColumn("budget", F.lit(120.0) + F.col("problem_id") % 9 * 2)
+    return rounded(best_squads(clubbed(dealt), budgets).select("problem_id", "status", "objective"), "objective")
+
+
+@query("transfer_programme", f"""with {SQUADS},
+numbered as (
+  select *, row_number() over (partition by problem_id, element_type order by new, player_id) as no from (
+    select squad_id as problem_id, player_id, element_type, expected_points, price_tenths - 1 as price_tenths, team_id % 7 as club, 0 as new from owned union all
+    select o.squad_id - 1, player_id, element_type, expected_points, price_tenths, team_id % 7, 1 from owned o where squad_id - 1 in (select squad_id from whole))
+),
+asked as (select problem_id, sum(price_tenths) + 15 as budget_tenths, 1 as free from numbered where new = 0 group by 1),{_LISTED}""")
+def transfer_programme(spark, sf):
+    """The best that every squad can become with two transfers, one of them free, from the players of the next one."""
+    owned = clubbed(sq.complete_squads(squads(spark, sf), SQUAD)).withColumns({"problem_id": F.col("squad_id"), "sale_value": F.col("now_cost_millions") - 0.1})
+    budgets = owned.select("problem_id").distinct().withColumn("budget", F.lit(1.5))
+    pool = owned.withColumn("problem_id", F.col("squad_id") - 1)
+    out = best_squads(pool, budgets, owned=owned, max_transfers=2, free_transfers=1)
+    return rounded(out.select("problem_id", "status", "objective"), "objective")
 
 
 # --- one record per squad ----------------------------------------------------------------------------------------
 
-def squad_context_frame(spark, sf):
-    """Summary, line-up, captain options, gap, risks and transfer plan of each squad in one
-    nested record (L12)."""
-    lineup = captained(spark, sf)
-    starts = F.col("starting") == 1
-    fields = {
-        **{c: F.col(c) for c in ("player_id", "full_name", "team_name", "element_type", "expected_points", "now_cost_millions", "start_probability", "confidence_score")},
-        "confidence_level": F.when(F.col("confidence_score") <= 49.9, "Low").when(F.col("confidence_score") <= 74.9, "Medium").otherwise("High"),
-        "expected_points_lower_80": F.greatest(F.lit(0.0), F.col("expected_points") - 1.0),
-        "expected_points_upper_80": F.col("expected_points") + 1.0,
-    }
-    record = compact_record(fields)
-    body = lineup.groupBy("squad_id").agg(
-        F.round(F.sum("now_cost_millions"), 2).alias("total_cost_m"),
-        F.round(F.sum(F.when(starts, F.col("expected_points"))), 2).alias("projected_points"),
-        F.round(F.sum(F.when(~starts, F.col("expected_points"))), 2).alias("bench_points"),
-        F.max("captain_id").alias("captain_id"), F.max("formation_no").alias("formation_no"),
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("player_id").alias("k"), record.alias("r")))), lambda x: x["r"]).alias("players"),
-    )
-    options = top_rows(lineup, SQUAD, ["-expected_points", "player_id"], 3, "no").groupBy("squad_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("no", "player_id"))), lambda x: x["player_id"]).alias("captaincy_options")
-    )
-    risky = risk_issues(
-        F.when(F.col("player_id") % 9 == 0, "i").otherwise("a"), F.when(F.col("player_id") % 11 == 0, F.lit(75.0)), fields["confidence_level"]
-    )
-    risks = lineup.withColumn("_i", risky).filter(F.size("_i") > 0).groupBy("squad_id").agg(
-        F.array_sort(F.collect_list(F.struct("player_id", F.col("_i").alias("issues")))).alias("risk_flags")
-    )
-    plan = sq.transfer_report(squad_pairs(spark, sf), SQUAD).select(
-        "squad_id", F.struct("transfers", "paid_transfers", F.round("net_gain", 2).alias("net_gain"), "worth_it").alias("transfer_plan")
+def advised_squads(spark, sf):
+    """Line-ups with captains, and what the record says about each player."""
+    pid, score = F.col("player_id"), F.col("confidence_score")
+    return captained(spark, sf).withColumns({
+        "confidence_level": F.when(score <= 49.9, "Low").when(score <= 74.9, "Medium").otherwise("High"),
+        "expected_points_lower_80": F.greatest(F.lit(0.0), F.col("expected_points") - 1.0), "expected_points_upper_80": F.col("expected_points") + 1.0,
+        "status": F.when(pid % 9 == 0, "i").otherwise("a"), "chance_of_playing_next_round": F.when(pid % 11 == 0, F.lit(75.0)),
+    })
+
+
+def squad_context_frame(spark, sf, optimum=None):
+    """The nested record of each squad (L12): rounds 1 to 3 of the horizon are there, round 40 is not."""
+    return analysis_context(
+        advised_squads(spark, sf), part_rounds(spark, sf), part_scores(spark, sf), [1, 2, 3, 40], squad_pairs(spark, sf), optimum
     )
-    joined = body.join(options, SQUAD, "left").join(risks, SQUAD, "left").join(plan, SQUAD, "left")
-    return joined.select("squad_id", F.struct(*[c for c in joined.columns if c != "squad_id"]).alias("context"))
 
 
 @query("squad_context", f"""with {_CAP},
@@ -561,7 +642,43 @@ def squad_context(spark, sf):
     schema = c.schema["context"].dataType
     r = text.select("squad_id", F.from_json("j", schema).alias("c"))
     return r.select(
-        "squad_id", F.size("c.players").alias("players"), "c.captain_id", "c.formation_no",
-        F.array_join(F.transform("c.captaincy_options", lambda x: x.cast("string")), ",").alias("captaincy_options"),
+        "squad_id", F.size("c.user_squad.players").alias("players"), F.col("c.user_squad.current_captain").alias("captain_id"), "c.lineup_advice.formation_no",
+        F.array_join(F.transform("c.captaincy_options", lambda x: x["player_id"].cast("string")), ",").alias("captaincy_options"),
         F.coalesce(F.size("c.risk_flags"), F.lit(0)).alias("risks"),
     )
+
+
+@query("analysis_record", f"""with {_CAP}, {ROUNDS},
+lead as (select player_id, sum(expected_points) as h from part_rounds where gameweek in (1, 2, 3) group by 1 order by h desc, player_id limit 10),
+scope as (select string_agg(cast(g as varchar), ',' order by g) as horizon, min(g) as first from (select distinct gameweek as g from part_rounds where gameweek in (1, 2, 3, 40))),
+o as (select squad_id, element_type, player_id, expected_points as e, price_tenths - 1 as sale, row_number() over (partition by squad_id, element_type order by expected_points, player_id) as rn from owned),
+i as (select squad_id - 1 as squad_id, element_type, player_id, expected_points as e, price_tenths as price, row_number() over (partition by squad_id, element_type order by expected_points desc, player_id) as rn from owned),
+plan as (select o.squad_id, count(*) as transfers, sum(i.e - o.e) as gross from o join i using (squad_id, element_type, rn) where i.e > o.e group by 1)
+select c.squad_id, round(sum(now_cost_millions), 2) as total_cost_m, round(max(xi_points), 2) as xi_points, round(sum(case when starting = 0 then expected_points end), 2) as bench_expected_points,
+  round(sum(case when starting = 1 then expected_points end) + max(case when crank = 1 then expected_points end), 2) as projected_points_with_captain,
+  string_agg(case when starting = 0 then cast(player_id as varchar) end, ',' order by bench_order) as bench,
+  (select horizon from scope) as horizon, (select first from scope) as current_gameweek, '40' as missing,
+  (select string_agg(cast(player_id as varchar), ',' order by h desc, player_id) from lead) as targets,
+  max(p.transfers) as transfers, round(max(p.gross) - 4 * greatest(0, max(p.transfers) - 1), 2) as net_gain
+from cranked c left join plan p on p.squad_id = c.squad_id group by 1""")
+def analysis_record(spark, sf):
+    """What the record says beside its snapshots: scope, points, bench, plan and targets."""
+    c = squad_context_frame(spark, sf)
+    joined = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    user, scope = "context.user_squad", "context.analysis_scope"
+    return c.select(
+        "squad_id", F.col(f"{user}.total_cost_m"), F.col("context.lineup_advice.xi_points"), F.col(f"{user}.bench_expected_points"), F.col(f"{user}.projected_points_with_captain"),
+        joined(F.col("context.lineup_advice.bench")).alias("bench"), joined(F.col(f"{scope}.horizon_gameweeks")).alias("horizon"), F.col(f"{scope}.current_gameweek"),
+        joined(F.col(f"{scope}.missing_prediction_gameweeks")).alias("missing"), joined(F.transform("context.horizon_top_targets", lambda t: t["player_id"])).alias("targets"),
+        F.col("context.transfer_plan.transfers"), F.col("context.transfer_plan.net_gain"),
+    )
+
+
+@query("optimal_comparison")
+def optimal_comparison(spark, sf):
+    """How far each squad is from the best one for its money out of its own players and those of the next squad."""
+    owned = sq.complete_squads(squads(spark, sf), SQUAD).withColumn("problem_id", F.col("squad_id"))
+    budgets = owned.groupBy("problem_id").agg(F.sum(F.col("price_tenths")).alias("_t")).select("problem_id", (F.col("_t") / 10.0).alias("budget"))
+    pool = owned.unionByName(owned.withColumn("problem_id", F.col("squad_id") - 1))
+    best = best_squads(pool, budgets).withColumnRenamed("problem_id", "squad_id")
+    return squad_context_frame(spark, sf, best).select("squad_id", "context.optimal_comparison.*")

@@ -518,8 +518,8 @@ def sweep_swaps(
     its own, so a club may send several newcomers, also to one position, and one that is full
     may replace its own player; every prefix of the swaps stays legal.
 
-    Returns the chosen swaps; a problem without a worthwhile swap, or without a complete
-    squad, has no row.
+    Returns the chosen swaps, and for each row of ``banks`` without a worthwhile swap, or without a complete squad, one row
+    with the ``status`` 'none found' in place of 'selected'.
     """
     owned = complete_squads(owned, [problem])
     lam = F.explode(F.array(*[F.lit(float(p)) for p in prices]))
@@ -585,7 +585,10 @@ def sweep_swaps(
             F.struct(F.col("_net"), -F.col("swap_no"), -F.col("price_level")),
         ).alias("_p")
     ).select(problem, "_p.*")
-    return best.join(pick, [problem, "price_level"]).filter(F.col("swap_no") <= F.col("swaps")).select(
+    swaps = best.join(pick, [problem, "price_level"]).filter(F.col("swap_no") <= F.col("swaps")).select(
         problem, "price_level", "swap_no", "out_id", "in_id",
         (F.col("_in_ep") - F.col("_out_ep")).alias("delta"), "sale_value", "in_price", "net_gain",
     )
+    return banks.select(problem).join(swaps, problem, "left").withColumn(
+        "status", F.when(F.col("swap_no").isNull(), "none found").otherwise("selected")
+    )
