@@ -8,6 +8,7 @@ from rosterlake.catalog.base import PARTS, ROUNDS, day, orders_panel, part_round
 from rosterlake.functions import text as tx
 from rosterlake.functions.numbers import flag
 from rosterlake.operators import joins, quality
+from rosterlake.operators.mentions import mentions
 from rosterlake.constants import CURRENT_INFO_WORDS
 from rosterlake.session import spread
 
@@ -257,11 +258,15 @@ def squad_enrich(spark, sf):
 
 
 @query("membership_missing", """
-select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)""")
+with o as (select o_custkey as c_custkey, count(*) as n from orders where o_orderpriority = '1-URGENT' and year(o_orderdate) >= 1999 group by 1)
+select c_custkey, coalesce(n, 0) as n, case when n is null then 1 else 0 end as missing from customer left join o using (c_custkey)""")
 def membership_missing(spark, sf):
+    """The urgent orders of the last years of each customer, and the customers without any."""
     wanted = table(spark, sf, "customer").select("c_custkey")
-    present = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return joins.split_members(wanted, present, "c_custkey")[1]
+    urgent = table(spark, sf, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") >= 1999))
+    found, missing = joins.split_members(wanted, urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    counted = found.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n")).withColumn("missing", F.lit(0))
+    return counted.unionByName(missing.withColumns({"n": F.lit(0).cast("long"), "missing": F.lit(1)}))
 
 
 _PTS = "select o_custkey, year(o_orderdate) as season, sum(cast(o_totalprice as decimal(18,2))) as d from orders group by 1, 2"
@@ -428,17 +433,19 @@ def rule_drift(spark, sf):
 
 
 @query("map_drift", """
-with a as (select event_type as path, user_id % 4 as position, max(cast(json_extract_string(props, '$.k') as integer)) as value from events group by 1, 2),
-e as (select event_type as path, user_id % 4 as position, max(cast(json_extract_string(props, '$.k') as integer)) as value from events where event_id % 4 <> 0 group by 1, 2)
-select a.path, cast(a.position as varchar) as position, a.value as actual, e.value as expected from a full join e on a.path = e.path and a.position = e.position
-where a.value is distinct from e.value""")
+with e as (select event_type, user_id, event_id, cast(json_extract_string(props, '$.k') as integer) as k from events),
+a as (select event_type as path, user_id as position, max(k) as value from e group by 1, 2),
+x as (select event_type as path, user_id as position, max(k) as value from e where event_id % 4 <> 0 group by 1, 2)
+select coalesce(a.path, x.path) as path, cast(coalesce(a.position, x.position) as varchar) as position, a.value as actual, x.value as expected
+from a full join x on a.path = x.path and a.position = x.position where a.value is distinct from x.value""")
 def map_drift(spark, sf):
+    """The largest value by event type and user, against what three in four events say: some differ, some are missing."""
     e = table(spark, sf, "events").select(
-        F.col("event_type").alias("path"), (F.col("user_id") % 4).cast("string").alias("position"),
+        F.col("event_type").alias("path"), F.col("user_id").cast("string").alias("position"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), "event_id",
     )
-    total = lambda d: d.groupBy("path", "position").agg(F.max("k").alias("value"))
-    return quality.rule_drift(total(e), total(e.filter("event_id % 4 <> 0")))
+    largest = lambda d: d.groupBy("path", "position").agg(F.max("k").alias("value"))
+    return quality.rule_drift(largest(e), largest(e.filter("event_id % 4 <> 0")))
 
 
 @query("ledger_continuity", """
@@ -553,7 +560,7 @@ select doc_id, name from documents, (select distinct regexp_extract(text, '^\\S+
 where name <> '' and contains(lower(text), lower(name))""")
 def mention_join(spark, sf):
     names = table(spark, sf, "benchmark").select(F.regexp_extract("text", r"^\S+ \S+", 0).alias("name"))
-    return tx.mentions(table(spark, sf, "documents"), names, "doc_id", "text", "name")
+    return mentions(table(spark, sf, "documents"), names, "doc_id", "text", "name")
 
 
 @query("mention_join_many", """
@@ -561,7 +568,7 @@ select doc_id, name from documents, (select distinct regexp_extract(text, '^\\S+
 where name <> '' and contains(lower(text), lower(name))""")
 def mention_join_many(spark, sf):
     names = table(spark, sf, "conversations").select(F.regexp_extract("text", r"^\S+ \S+", 0).alias("name"))
-    return tx.mentions(table(spark, sf, "documents"), names, "doc_id", "text", "name", inline_names=20)
+    return mentions(table(spark, sf, "documents"), names, "doc_id", "text", "name")
 
 
 @query("json_explode", """

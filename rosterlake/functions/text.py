@@ -1,27 +1,53 @@
-"""Text helpers and the mention join."""
+"""Text helpers."""
 
 from __future__ import annotations
 
+import json
+import re
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.constants import CURRENT_INFO_WORDS
 from rosterlake.functions.numbers import as_column
-from rosterlake.session import spread
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-# Entities of the HTML core set; the ampersand itself comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&")]
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _named_entities() -> Column:
+    """The published names of HTML 5, from the standard library's table, as one constant."""
+    names = {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def _entity(e: Column) -> Column:
+    """What a character reference stands for; one that stands for nothing stays. By the HTML rule the numbers 128 to 159 are
+    read as Windows-1252, and 0, surrogates and what lies beyond Unicode as the replacement character."""
+    digits = F.substring(e, F.lit(3), F.length(e) - 3)
+    number = F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.substring(digits, F.lit(2), F.length(digits)), 16, 10)).otherwise(digits).try_cast("int")
+    no_character = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    code = F.when(no_character, 0xFFFD).otherwise(number)
+    windows = F.get(F.array(*[F.lit(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(128, 160)]), number - 128)
+    character = F.when(number.between(128, 159), windows).otherwise(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
+    return F.coalesce(F.when(F.substring(e, 2, 1) == "#", character).otherwise(F.try_element_at(_named_entities(), e)), e)
+
+
+def decode_entities(text: Column | str) -> Column:
+    """Named and numeric character references that end with a semicolon, each decoded once."""
+    whole = as_column(text)
+    found = F.transform(F.array_distinct(F.regexp_extract_all(whole, F.lit(_ENTITY), F.lit(0))), lambda e: F.struct(e.alias("e"), _entity(e).alias("to")))
+    # ampersands come last, so that what they make is not decoded again
+    last = F.concat(F.filter(found, lambda x: x["to"] != "&"), F.filter(found, lambda x: x["to"] == "&"))
+    decoded = F.aggregate(last, whole, lambda done, x: F.replace(done, x["e"], x["to"]))
+    return F.when(whole.contains("&"), decoded).otherwise(whole)
 
 
 def collapse_text(text: Column | str) -> Column:
-    """Decode core entities, drop control characters, collapse whitespace, trim."""
-    out = as_column(text)
-    for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    out = F.regexp_replace(out, CONTROL, " ")
+    """Decode character references, drop control characters, collapse whitespace, trim."""
+    out = F.regexp_replace(decode_entities(text), CONTROL, " ")
     return F.trim(F.regexp_replace(out, SPACES, " "))
 
 
@@ -35,7 +61,7 @@ def keyword_flag(text: Column | str, words: list[str] = CURRENT_INFO_WORDS) -> C
     """Whether a single word matches as a word, or a phrase as a substring; case-insensitive."""
     lowered = F.lower(as_column(text))
     single = [w for w in words if " " not in w]
-    hit = lowered.rlike(r"\b(" + "|".join(single) + r")\b") if single else F.lit(False)
+    hit = lowered.rlike(r"\b(" + "|".join(map(re.escape, single)) + r")\b") if single else F.lit(False)
     for phrase in words:
         if " " in phrase:
             hit = hit | lowered.contains(phrase)
@@ -72,99 +98,3 @@ def parse_round_counts(text: Column | str) -> Column:
 def round_count_errors(df: DataFrame, column: str) -> DataFrame:
     """The strict form: rows whose entry list cannot be read."""
     return df.filter(F.col(column).isNotNull() & parse_round_counts(column).isNull())
-
-
-def mentions(
-    texts: DataFrame,
-    names: DataFrame,
-    text_id: str,
-    text: str,
-    name: str,
-    anchor: int = 12,
-    inline_names: int = 64,
-) -> DataFrame:
-    """Pairs (text, name) where the whole text contains the name, ignoring case.
-
-    Up to ``inline_names`` names are tested inside the scan of the texts. Beyond that the rarest
-    word of a name leads. A name's first word must end a word of the text, its last one begin one,
-    those between be whole words, and a single word lie inside one. The vocabulary of the texts
-    (each distinct word once, with the number of texts that hold it) is joined to these anchors;
-    the anchor that the fewest texts can hold is kept for each name, its words lead back to the
-    texts, and every candidate is verified against its whole text. The text x name product is
-    never formed, also not where many names share a common word.
-    """
-    texts = spread(texts.select(text_id, text))
-    wanted = (
-        names.select(F.col(name).alias("_name"))
-        .filter(F.length(F.trim("_name")) > 0)
-        .distinct()
-        .withColumn("_lower", F.lower("_name"))
-    )
-    few = wanted.limit(inline_names + 1).collect()
-    if not few:
-        return texts.select(text_id, F.lit(None).cast("string").alias(name)).filter(F.lit(False))
-    if len(few) <= inline_names:
-        listed = F.array(
-            *[F.struct(F.lit(r["_name"]).alias("name"), F.lit(r["_lower"]).alias("lower")) for r in few]
-        )
-        # the one-element array lowers each text once, not once per name
-        found = F.transform(
-            F.array(F.lower(text)),
-            lambda t: F.filter(listed, lambda n: F.contains(t, n["lower"])),
-        )
-        return texts.select(text_id, F.explode(F.flatten(found)).alias("_hit")).select(
-            text_id, F.col("_hit.name").alias(name)
-        )
-
-    tokens = F.filter(F.split("_lower", r"\s+"), lambda t: t != "")
-    count = F.size("_tokens")
-
-    def anchored(t: Column, i: Column) -> Column:
-        kind = F.when(count == 1, "inside").when(i == 0, "ends").when(i == count - 1, "begins").otherwise("whole")
-        key = F.when(kind == "ends", F.right(t, F.lit(anchor))).when(kind == "whole", t).otherwise(F.left(t, F.lit(anchor)))
-        return F.struct(kind.alias("kind"), key.alias("key"))
-
-    anchors = wanted.withColumn("_tokens", tokens).select("_name", "_lower", F.explode(F.transform("_tokens", anchored)).alias("_a")).select(
-        "_name", "_lower", F.col("_a.kind").alias("_kind"), F.col("_a.key").alias("_key")
-    ).distinct()
-    widths: dict[str, list[int]] = {"ends": [], "begins": [], "inside": []}
-    for r in anchors.filter("_kind <> 'whole'").select("_kind", F.length("_key").alias("w")).distinct().orderBy("w").collect():
-        widths[r["_kind"]].append(r["w"])  # at most ``anchor`` for each kind
-
-    words = texts.select(
-        text_id, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("_word")
-    ).filter(F.col("_word") != "")
-    chars = F.split("_word", "")
-
-    def windows(width: int) -> Column:
-        last = F.size(chars) - width + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.array_join(F.slice(chars, at, width), ""))
-
-    def keyed(kind: str, keys: Column) -> Column:
-        return F.transform(keys, lambda key: F.struct(F.lit(kind).alias("_kind"), key.alias("_key")))
-
-    options = [keyed("whole", F.array("_word"))]
-    options += [keyed("ends", F.array(F.right("_word", F.lit(w)))) for w in widths["ends"]]
-    options += [keyed("begins", F.array(F.left("_word", F.lit(w)))) for w in widths["begins"]]
-    options += [keyed("inside", windows(w)) for w in widths["inside"]]
-    vocabulary = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_texts"))
-    hits = (
-        vocabulary.select("_word", "_texts", F.explode(F.array_distinct(F.flatten(F.array(*options)))).alias("_o"))
-        .select("_word", "_texts", "_o.*")
-        .join(anchors.select("_kind", "_key").distinct(), ["_kind", "_key"])
-    )
-    frequency = hits.groupBy("_kind", "_key").agg(F.sum("_texts").alias("_texts"))
-    rarest = (
-        anchors.join(frequency, ["_kind", "_key"], "left")
-        .groupBy("_name", "_lower")
-        .agg(F.min_by(F.struct("_kind", "_key"), F.struct(F.coalesce("_texts", F.lit(0)), "_kind", "_key")).alias("_a"))
-        .select("_name", "_lower", "_a.*")
-    )
-    leads = hits.join(rarest, ["_kind", "_key"]).select("_word", "_name", "_lower").distinct()
-    candidates = words.join(leads, "_word").select(text_id, "_name", "_lower").distinct()
-    return (
-        candidates.join(texts.select(text_id, F.lower(text).alias("_text")), text_id)
-        .filter(F.contains("_text", "_lower"))
-        .select(text_id, F.col("_name").alias(name))
-    )

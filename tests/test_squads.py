@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.constants import FORMATIONS, SQUAD_QUOTA
-from rosterlake.functions import numbers, text
+from rosterlake.functions import numbers
 from rosterlake.functions.players import risk_issues, role_label
-from rosterlake.operators import joins, ledger, quality, squad as sq
+from rosterlake.operators import joins, ledger, mentions as module, quality, squad as sq
+from rosterlake.operators.mentions import mentions
 
 POOL = "problem_id int, player_id long, element_type int, team_id int, now_cost_millions double, expected_points double"
 
@@ -210,17 +211,29 @@ def test_mentions_agree_with_brute_force(spark):
     names = [("Van Dijk",), ("an",), ("bob de",), ("De  ",), ("nna van",), ("o'neil an",)]
     df = spark.createDataFrame(texts, "id int, body string")
     want = sorted((i, n) for i, t in texts for (n,) in names if n.lower() in t.lower())
-    for inline in (64, 2):
-        got = text.mentions(df, spark.createDataFrame(names, "name string"), "id", "body", "name", inline_names=inline, anchor=3)
-        assert sorted(map(tuple, got.collect())) == want
+    got = mentions(df, spark.createDataFrame(names, "name string"), "id", "body", "name")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_mentions_over_cuts_scripts_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(module, "STRETCH", 7)
+    rows = [("a", "Zoë Ångström met O'Neil"), ("b", None), ("c", ""), ("d", "水野 太郎 and 水"), ("e", "xx" * 40 + "ab"), ("a", "again zoë ångström"), (None, "Ab")]
+    names = [("ZOË ångström",), ("水野 太郎",), ("水",), ("ab",), ("",), ("  ",), (None,), ("x" * 81,), ("x" * 80 + "ab",), ("nowhere at all",), ("zoë ångström",)]
+    df = spark.createDataFrame(rows, "id string, body string")
+    got = mentions(df.repartition(3), spark.createDataFrame(names, "name string"), "id", "body", "name")
+    want = {(i, n) for i, t in rows for (n,) in names if n and n.strip() and n.lower() in (t or "").lower()}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert mentions(df, spark.createDataFrame([], "name string"), "id", "body", "name").collect() == []
+    assert mentions(df.limit(0), spark.createDataFrame(names, "name string"), "id", "body", "name").collect() == []
 
 
 def test_mentions_of_names_that_share_a_common_word(spark):
-    """The rarest word leads, so 2,000 names "the thing N" don't meet every text that holds "the"."""
+    """The rarest gram leads, so 2,000 names "the thing N" don't meet every text that holds "the"."""
     names = [(f"the thing x{i}",) for i in range(2_000)]
     texts = [(i, f"over the thing y{i} the end" if i % 50 else f"and The Thing x{i} is") for i in range(400)]
     df = spark.createDataFrame(texts, "id long, body string")
-    got = text.mentions(df, spark.createDataFrame(names, "name string"), "id", "body", "name")
+    got = mentions(df, spark.createDataFrame(names, "name string"), "id", "body", "name")
     assert sorted((r.id, r.name) for r in got.collect()) == sorted((i, n) for i, b in texts for (n,) in names if n in b.lower())
 
 
@@ -231,3 +244,28 @@ def test_pairs_of_many_squads_with_limit_and_without_a_position(spark):
     got = joins.pair_by_rank(outs, ins, "pos", "player_id", "ep", squad=["squad"]).orderBy("squad", "pair_no").collect()
     assert [(r.squad, r.pair_no, r["pass"], r.out_id, r.in_id) for r in got] == [(1, 1, 1, 10, 30), (1, 2, 2, 12, 32), (1, 3, 2, 11, 31), (2, 1, 2, 20, 40)]
     assert joins.pair_by_rank(outs, ins, "pos", "player_id", "ep", limit=1, squad=["squad"]).count() == 2
+
+
+def test_analysis_record_of_every_squad(spark):
+    from rosterlake.plans.analysis import analysis_context
+
+    schema = "squad_id int, player_id long, element_type int, team_id int, now_cost_millions double, expected_points double"
+    rows = [(k, *r[1:]) for k in (1, 2) for r in pool(20 + k, tuple(SQUAD_QUOTA.values()), k)] + [(3, 900, 1, 1, 5.0, 2.0)]
+    squads = spark.createDataFrame(rows, schema).withColumns({
+        "player_id": F.col("squad_id") * 1000 + F.col("player_id"), "full_name": F.lit("x"), "starting": F.lit(None).cast("int"), "bench": F.lit(None).cast("int"), "captain": F.lit(0),
+        "status": F.when(F.col("squad_id") == 2, "i").otherwise("a"),
+    })
+    forecasts = squads.select("player_id", F.explode(F.array(F.lit(4), F.lit(6))).alias("gameweek"), "expected_points")
+    pairs = spark.createDataFrame([(1, 5.0, 50, 60), (1, 1.0, 40, 40)], "squad_id int, delta double, out_sale_tenths int, in_price_tenths int")
+    optimum = spark.createDataFrame([(1, 200.0, [1001, 7])], "squad_id int, objective double, players array<long>")
+    got = {r.squad_id: r.context for r in analysis_context(squads, forecasts, squads, [4, 5, 6], pairs, optimum).collect()}
+    assert set(got) == {1, 2, 3}
+    one, two, three = got[1], got[2], got[3]
+    assert tuple(one.analysis_scope) == (4, [4, 6], [5]) == tuple(three.analysis_scope)
+    assert len(one.user_squad.players) == 15 and len(one.captaincy_options) == 3 and len(one.horizon_top_targets) == 10
+    assert (one.transfer_plan.transfers, one.transfer_plan.net_gain) == (2, 2.0) and two.transfer_plan is None
+    assert one.optimal_comparison.optimal_points == 200.0 and one.optimal_comparison.shared == 1 and one.optimal_comparison.points_gap > 0 and two.optimal_comparison is None
+    assert len(one.lineup_advice.starting) == 11 and len(one.lineup_advice.bench) == 4 and three.lineup_advice is None
+    assert one.risk_flags == [] and len(two.risk_flags) == 15 and two.risk_flags[0].issues == ["status=i"]
+    totals = {r[0] * 1000 + r[1]: 2 * r[5] for r in rows}
+    assert [t.player_id for t in one.horizon_top_targets] == sorted(totals, key=lambda i: (-totals[i], i))[:10]
