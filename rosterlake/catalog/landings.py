@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.catalog.base import query, table
+from rosterlake.operators.quality import rule_drift
 from rosterlake.sources import landed
 from rosterlake.streaming.sinks import scratch
 
 
 def land(df: DataFrame, path: str) -> None:
-    """Columns ``doc`` and ``value``: one text line in the folder ``doc=<name>``."""
-    df.repartition("doc").write.partitionBy("doc").text(path)
+    """Columns ``doc`` and ``value``: a part file for each row in the folder ``doc=<name>``."""
+    df.repartition("doc").write.option("maxRecordsPerFile", 1).partitionBy("doc").text(path)
 
 
 def chunks(df: DataFrame, key: str, item, size: int = 500) -> DataFrame:
@@ -25,14 +26,15 @@ select l_suppkey as player_id, cast(l_orderkey as integer) as fixture, month(l_s
   case when l_linenumber = 2 then null else l_discount end as expected_goals, case when l_linenumber = 1 then '1999-00' else '2025-26' end as season_name
 from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal > 0)""")
 def landed_histories(spark: SparkSession, sf: str):
-    """A document per supplier, and one that is none; suppliers in debt are off the roster."""
+    """Documents of bounded size, one or several a supplier, and one of nobody's; suppliers in debt are off the roster."""
     row = F.struct(
         F.col("l_orderkey").cast("int").alias("fixture"), F.month("l_shipdate").alias("round"), F.col("l_quantity").alias("total_points"),
         F.when(F.col("l_linenumber") == 2, "none").otherwise(F.col("l_discount").cast("string")).alias("expected_goals"),
         F.when(F.col("l_linenumber") == 1, "1999-00").alias("season_name"),
     )
     lines = table(spark, sf, "lineitem")
-    per = lines.groupBy("l_suppkey").agg(F.collect_list(row).alias("history"))
+    # neighbouring orders of a supplier share a document, however many lines it has in all
+    per = lines.groupBy("l_suppkey", F.floor(F.col("l_orderkey") / 100_000).alias("_chunk")).agg(F.collect_list(row).alias("history"))
     docs = per.select(F.format_string("player_%d.json", "l_suppkey").alias("doc"), F.to_json(F.struct("history")).alias("value"))
     path = scratch(spark, "histories")
     land(docs.unionByName(docs.limit(1).withColumn("doc", F.lit("player_invalid.json"))), path)
@@ -42,23 +44,57 @@ def landed_histories(spark: SparkSession, sf: str):
 
 
 @query("landed_roster", """
-select cast(n_nationkey as bigint) as player_id, case when n_nationkey % 5 <> 0 then n_name || ' ' || r_name end as full_name,
-  (n_nationkey * 5 + 40) / 10.0::double as now_cost_millions, r_name as club from nation join region on n_regionkey = r_regionkey""")
+with n as (select count(*) as n from supplier)
+select p_partkey as player_id, case when p_partkey % 5 <> 0 then p_name || ' ' || p_brand end as full_name,
+  (p_size * 5 + 40) / 10.0::double as now_cost_millions, s_name as club from part, n join supplier on s_suppkey = p_partkey % n.n + 1""")
 def landed_roster(spark: SparkSession, sf: str):
-    """The roster document: nations as players, regions as clubs (both tables have a fixed size)."""
-    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """Roster documents with some hundred players each, and documents of clubs: parts and suppliers."""
+    clubs = table(spark, sf, "supplier")
+    club = F.col("p_partkey") % clubs.agg(F.count(F.lit(1)).alias("n")).scalar() + 1
     element = F.struct(
-        F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("first_name"), F.when(F.col("n_nationkey") % 5 != 0, F.col("r_name")).alias("second_name"),
-        F.col("n_regionkey").alias("team"), (F.col("n_nationkey") * 5 + 40).alias("now_cost"),
-    )
-    document = nations.agg(
-        F.collect_list(element).alias("elements"), F.collect_set(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))).alias("teams")
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("first_name"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).alias("second_name"),
+        club.alias("team"), (F.col("p_size") * 5 + 40).alias("now_cost"),
     )
+    players = chunks(table(spark, sf, "part"), "p_partkey", element).select(F.to_json(F.struct(F.col("items").alias("elements"))).alias("value"))
+    team = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    teams = chunks(clubs, "s_suppkey", team).select(F.to_json(F.struct(F.col("items").alias("teams"))).alias("value"))
     path = scratch(spark, "roster")
-    document.select(F.to_json(F.struct("elements", "teams")).alias("value")).write.text(path)
+    players.unionByName(teams).write.option("maxRecordsPerFile", 1).text(path)
     found = landed.Bootstrap(spark, path)
-    clubs = found.teams.select("team_id", F.col("name").alias("club"))
-    return found.elements.join(clubs, "team_id").select("player_id", "full_name", "now_cost_millions", "club")
+    names = found.teams.select("team_id", F.col("name").alias("club"))
+    return found.elements.join(names, "team_id").select("player_id", "full_name", "now_cost_millions", "club")
+
+
+@query("landed_rule_drift", """
+with t as (select 'M' || substr(p_brand, 7, 1) || '/scoring.' || p_type as path, p_brand as position, p_type like '%COPPER' as plain, p_size, p_partkey from part),
+a as (select path, position, count(*) as value from t where not plain group by 1, 2 union all select path, null, count(*) from t where plain group by 1),
+e as (select path, position, count(*) filter (where p_partkey % 7 <> 0) + 1 as value from t where not plain and p_size > 3 group by 1, 2
+  union all select path, null, count(*) filter (where p_partkey % 7 <> 0) from t where plain group by 1)
+select coalesce(a.path, e.path) as path, coalesce(a.position, e.position) as position, cast(a.value as integer) as actual, cast(e.value as integer) as expected
+from a full join e on a.path = e.path and a.position is not distinct from e.position where a.value is distinct from e.value""")
+def landed_rule_drift(spark: SparkSession, sf: str):
+    """Rule documents as they are landed, whose rules are numbers or maps by position, against what is expected of them."""
+    p = table(spark, sf, "part").withColumns({"plain": F.col("p_type").endswith("COPPER"), "p_mfgr": F.concat(F.lit("M"), F.substring("p_brand", 7, 1))})
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('":'))
+    by_brand = p.groupBy("p_mfgr", "p_type", "plain", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    rule = by_brand.groupBy("p_mfgr", "p_type").agg(
+        F.when(F.max("plain"), F.sum("n").cast("string"))
+        .otherwise(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(quoted(F.col("p_brand")), F.col("n").cast("string"))), ","), F.lit("}"))).alias("rule")
+    )
+    scoring = rule.groupBy("p_mfgr").agg(F.array_join(F.collect_list(F.concat(quoted(F.col("p_type")), F.col("rule"))), ",").alias("s"))
+    path = scratch(spark, "rules")
+    document = F.concat(F.lit('{"game_config":{"scoring":{'), "s", F.lit("}}}"))
+    land(scoring.select(F.concat(F.col("p_mfgr"), F.lit(".json")).alias("doc"), document.alias("value")), path)
+    found = landed.Bootstrap(spark, path).document.select(
+        F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"doc=(.*)\.json/", 1).alias("of"), F.col("game_config.scoring").alias("scoring")
+    )
+    whole = lambda df: df.withColumn("path", F.concat_ws("/", "of", "path")).drop("of")
+    actual = whole(landed.scoring_rows(found, "scoring", "of"))
+    kept = F.count_if(F.col("p_partkey") % 7 != 0).cast("int")
+    named = p.select(F.col("p_mfgr").alias("of"), F.concat(F.lit("scoring."), "p_type").alias("path"), F.col("p_brand").alias("position"), "plain", "p_size", "p_partkey")
+    maps = named.filter(~F.col("plain") & (F.col("p_size") > 3)).groupBy("of", "path", "position").agg((kept + 1).alias("value"))
+    plain = named.filter("plain").groupBy("of", "path").agg(kept.alias("value")).withColumn("position", F.lit(None).cast("string"))
+    return rule_drift(actual, whole(maps.unionByName(plain)))
 
 
 @query("landed_fixtures", """
@@ -117,7 +153,7 @@ select o_custkey as player_id, o_custkey + 1000000 as player_code, {_SEASON} as
 from orders join supplier on s_suppkey = o_custkey % (select count(*) from supplier) + 1""")
 def landed_archive(spark: SparkSession, sf: str):
     """A season tree of CSV files: two round files a season with their columns in another order, club, code and fixture tables;
-    one season asked for is not there."""
+    one season asked for is not there. Each kind of file is written for all seasons at once and moved into the tree."""
     s = table(spark, sf, "supplier")
     clubs = s.agg(F.count(F.lit(1)).alias("n_clubs"))
     o = table(spark, sf, "orders")
@@ -140,10 +176,16 @@ def landed_archive(spark: SparkSession, sf: str):
         "fixtures.csv": rows.select("season", F.col("fixture").alias("id"), "team_a_difficulty", "team_h_difficulty"),
     }
     seasons = [f"{y}-{(y + 1) % 100:02d}" for y in years]
-    for season in seasons:
-        for name, df in files.items():
-            part = df.filter(F.col("season") == season).drop("season") if "season" in df.columns else df
-            part.write.option("header", True).csv(f"{root}/{season}/{name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    tree = place(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, df in files.items():
+        of_all = df if "season" in df.columns else df.withColumn("season", F.explode(F.array(*map(F.lit, seasons))))
+        flat = f"{root}-flat/{name}"
+        of_all.repartition("season").write.option("header", True).partitionBy("season").csv(flat)
+        for season in seasons:
+            to = place(f"{root}/{season}/{name}")
+            tree.mkdirs(to.getParent())
+            tree.rename(place(f"{flat}/season={season}"), to)
     out = landed.archive_histories(spark, root, [*seasons, "1901-02"])
     return out.select(
         "player_id", "player_code", "season_name", "round", "fixture", "element_type", "team", "total_points", "was_home", "fixture_difficulty", "tackles",

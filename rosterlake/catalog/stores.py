@@ -8,6 +8,7 @@ from rosterlake.catalog.base import PARTS, ROUNDS, orders_panel, part_rounds, pa
 from rosterlake.functions.seasons import season_code
 from rosterlake.operators.ordered import numbered
 from rosterlake.sources import predictions as store
+from rosterlake.sources.archive import RoundArchive, migrate
 from rosterlake.sources.landed import standings
 from rosterlake.streaming.sinks import scratch
 
@@ -120,13 +121,40 @@ def archived_round(spark, sf):
     rows = p.drop("expected_points").join(
         part_rounds(spark, sf).filter("gameweek = 2").select("player_id", "expected_points"), "player_id"
     )
-    path = scratch(spark, "archive")
-    for _ in range(2):  # repeating the archive leaves one copy
-        store.archive_round(rows, roster, path, "2025-26", 2)
-    back = store.read_predictions(spark, f"{path}/predictions", "2025-26", 2, 2)
+    archive = RoundArchive(spark, scratch(spark, "archive"))
+    for _ in range(2):  # repeating the archive leaves one published copy
+        archive.write(rows, roster, "2025-26", 2)
+    back = archive.predictions("2025-26", 2, 2).join(archive.rosters("2025-26", 2, 2).select("player_id", "gameweek"), ["player_id", "gameweek"])
     return back.select("player_id", "full_name", "expected_points", "season_name", "gameweek")
 
 
+@query("migrated_round", f"""with {PARTS}, {ROUNDS}
+select gameweek, count(*) as players, max(r.expected_points) as best, cast(sum(case when t.team_name is not null then 1 else 0 end) as bigint) as on_roster
+from (select r.player_id, r.gameweek, r.expected_points from part_rounds r where r.gameweek in (1, 3)) r join part_scores t using (player_id) group by 1""")
+def migrated_round(spark, sf):
+    """Untagged rows of two rounds, brought into the archive with the roster that they match."""
+    p = part_scores(spark, sf)
+    roster = p.select("player_id", "full_name", "team_name", "team_id")
+    archive = RoundArchive(spark, scratch(spark, "migrated"))
+    for gameweek in (1, 3):
+        legacy = p.drop("expected_points").join(part_rounds(spark, sf).filter(F.col("gameweek") == gameweek).select("player_id", "expected_points"), "player_id")
+        migrate(archive, legacy, roster, "2025-26", gameweek)
+    back = archive.predictions("2025-26").join(archive.rosters("2025-26").select("player_id", "gameweek", F.lit(1).alias("_on")), ["player_id", "gameweek"], "left")
+    return back.groupBy("gameweek").agg(
+        F.count(F.lit(1)).alias("players"), F.max("expected_points").alias("best"), F.coalesce(F.sum("_on"), F.lit(0)).cast("long").alias("on_roster")
+    )
+
+
+@query("strict_load", f"""with m as ({_MONTHS})
+select gameweek, count(*) as n, max(expected_points) as best from m where season = 1997 group by 1""")
+def strict_load(spark, sf):
+    """All rounds of a season, whose rows carry the tags that the strict read asks for."""
+    path = scratch(spark, "strict")
+    tagged = monthly(spark, sf).withColumns({"season_tag": F.col("season_name"), "stated_gameweek": F.col("gameweek")})
+    store.write_predictions(tagged, path)
+    return store.load_predictions(spark, path, "1997-98").groupBy("gameweek").agg(F.count(F.lit(1)).alias("n"), F.max("expected_points").alias("best"))
+
+
 @query("season_pages", """
 select league_id, entry, total from (select c_nationkey as league_id, c_custkey as entry, cast(floor(c_acctbal) as bigint) as total from customer)""")
 def season_pages(spark, sf):

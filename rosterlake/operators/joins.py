@@ -75,10 +75,11 @@ def remap_by_code(archive: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def side_value(df: DataFrame, fixtures: DataFrame, home: Column, home_value: str, away_value: str,
-               name: str, key: str = "fixture") -> DataFrame:
+               name: str, key: str | list[str] = "fixture") -> DataFrame:
     """Pick the home or the away rating of a fixture (J7); a value already there wins."""
+    keys = [key] if isinstance(key, str) else key
     joined = df.join(
-        fixtures.select(key, F.col(home_value).alias("_h"), F.col(away_value).alias("_a")), key, "left"
+        fixtures.select(*keys, F.col(home_value).alias("_h"), F.col(away_value).alias("_a")), keys, "left"
     )
     picked = F.when(home, F.col("_h")).otherwise(F.col("_a"))
     value = F.coalesce(F.col(name), picked) if name in df.columns else picked

@@ -52,8 +52,8 @@ RULES = _struct(
 BOOTSTRAP = _struct(
     elements=T.ArrayType(ELEMENT), teams=T.ArrayType(TEAM), events=T.ArrayType(EVENT),
     element_types=T.ArrayType(ELEMENT_TYPE), chips=T.ArrayType(CHIP),
-    # scoring mixes numbers and maps: values are kept as JSON text and split by the rule reader
-    game_config=_struct(rules=RULES, scoring=T.MapType(S, S)),
+    # scoring mixes numbers and maps of any keys, so it is read as it is
+    game_config=_struct(rules=RULES, scoring=T.VariantType()),
 )
 
 FIXTURE = _struct(

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import csv
 import warnings
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rosterlake import schemas
 from rosterlake.constants import ARCHIVE_DEFAULTS, BASE_STATS, CHIP_NAMES, EXPECTED_SCORING, POSITION_CODES
@@ -140,19 +137,28 @@ def rule_rows(document: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("start") > first_stop, F.col("n")).otherwise(0)).cast("int").alias("chips_second_half"),
         F.min("start").alias("chip_first_round"), F.min("stop").alias("chip_first_half_end"),
     ).unpivot("position", ["chips_first_half", "chips_second_half", "chip_first_round", "chip_first_half_end"], "path", "value")
-    entries = document.select(F.explode("game_config.scoring").alias("action", "text"))
-    per_position = F.from_json("text", "map<string,int>")
-    scoring = entries.select(
-        F.concat(F.lit("scoring."), "action").alias("path"),
-        F.when(F.col("text").startswith("{"), per_position)
-        .otherwise(F.create_map(F.lit("ALL"), F.col("text").try_cast("int"))).alias("m"),
-    ).select("path", F.explode("m").alias("position", "value")).withColumn(
-        "position", F.nullif(F.col("position"), F.lit("ALL"))
-    )
+    scoring = scoring_rows(document.select(F.col("game_config.scoring").alias("scoring")), "scoring")
     order = ["path", "position", "value"]
     return r.select(order).unionByName(types.select(order)).unionByName(chips.select(order)).unionByName(scoring.select(order))
 
 
+def scoring_rows(documents: DataFrame, column: str, *ids: str) -> DataFrame:
+    """A variant document of scoring rules as (ids, path, position, value): a rule is a whole number, or a map of them by
+    position. Anything else in it is null; documents that are no object have no rows."""
+    def fields(df: DataFrame, held: str, *kept: Column | str) -> DataFrame:
+        """One row a field of an object."""
+        each = df.sparkSession.tvf.variant_explode(F.col(held).outer()).alias("_f")
+        objects = df.filter(F.schema_of_variant(held).startswith("OBJECT"))
+        return objects.lateralJoin(each).select(*kept, F.col("_f.key").alias("_key"), F.col("_f.value").alias("_value"))
+
+    rules = fields(documents.select(*ids, F.col(column).alias("_document")), "_document", *ids).withColumn("path", F.concat(F.lit("scoring."), "_key"))
+    nested = F.schema_of_variant("_value").startswith("OBJECT")
+    number = lambda c: F.try_variant_get(c, "$", "int")
+    single = rules.filter(~nested).select(*ids, "path", F.lit(None).cast("string").alias("position"), number("_value").alias("value"))
+    by_position = fields(rules.filter(nested).select(*ids, "path", F.col("_value").alias("_rule")), "_rule", *ids, "path")
+    return single.unionByName(by_position.select(*ids, "path", F.col("_key").alias("position"), number("_value").alias("value")))
+
+
 def expected_rules(spark: SparkSession, first_half_end: int = 19) -> DataFrame:
     """The rule table the library is built for, in the same long form."""
     rows: list[tuple[str, str | None, int]] = [
@@ -236,53 +242,82 @@ def team_csv(spark: SparkSession, path: str) -> DataFrame:
 
 # --- season archives ---------------------------------------------------------------------------------
 
-def _dimension(spark: SparkSession, path: str, types: dict[str, str], key: str) -> DataFrame:
-    """Column-pruned CSV dimension, first row per key."""
-    raw = spark.read.option("header", True).csv(path)
-    typed = raw.select(*[F.col(c).try_cast(t).alias(c) for c, t in types.items()]).filter(F.col(key).isNotNull())
-    return first_row(typed, [key], list(types))
+_FIELD = r'(?:^|,)("[^"\\]*(?:(?:\\.|"")[^"\\]*)*"|[^,]*)'
 
 
-def season_teams(spark: SparkSession, root: str, season: str) -> DataFrame:
-    return _dimension(spark, f"{root}/{season}/teams.csv", {"name": "string", "id": "int"}, "name")
+def _fields(line: Column) -> Column:
+    """The fields of a CSV line, quotes taken off; empty ones are null."""
+    plain = lambda x: F.when(
+        x.startswith('"'), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r'\\(.)|"(")', "$1$2")
+    ).otherwise(x)
+    return F.transform(F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1)), lambda x: F.nullif(plain(x), F.lit("")))
 
 
-def season_codes(spark: SparkSession, root: str, season: str) -> DataFrame:
-    return _dimension(spark, f"{root}/{season}/players_raw.csv", {"id": "bigint", "code": "bigint"}, "id")
+def headed_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, season, names, fields) of every line but the headers of CSV files, whatever the headers: each line meets its
+    file's header in the executors. ``names`` come from the first line that is not blank; a later line equal to it is no data."""
+    text = spark.read.text(list(paths)).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at")
+    ).filter(F.length(F.trim("line")) > 0)
+    heads = text.filter("_at = 0").withColumn("_no", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("line", "_no").alias("_head"))
+    trimmed = F.transform(_fields(F.col("_head")), F.trim)
+    season = F.url_decode(F.regexp_extract("file", _SEASON_FOLDER, 1))
+    return text.join(heads.withColumns({"names": trimmed, "season": season}), "file").filter(F.col("line") != F.col("_head")).select(
+        "file", "season", "names", _fields(F.col("line")).alias("fields")
+    )
 
 
-def season_fixtures(spark: SparkSession, root: str, season: str) -> DataFrame:
-    return _dimension(
-        spark, f"{root}/{season}/fixtures.csv",
-        {"id": "int", "team_h_difficulty": "double", "team_a_difficulty": "double"}, "id",
-    ).withColumnRenamed("id", "fixture")
+def value_of(name: str) -> Column:
+    """The field under a header's name; null where the file has no such column or the line is shorter."""
+    return F.get("fields", F.nullif(F.array_position("names", name), F.lit(0)).cast("int") - 1)
+
+
+_SEASON_FOLDER = r"/([^/]+)/(?:gws/)?[^/]+\.csv(?:/[^/]*)?$"
+
+
+def _existing(spark: SparkSession, root: str, seasons: Sequence[str], name: str) -> dict[str, str]:
+    """The seasons that have files of this name, with the path that finds them: one look at the file system a season."""
+    out = {}
+    for season in seasons:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{season}/{name}")
+        if spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)):
+            out[season] = f"{root}/{season}/{name}"
+    return out
 
 
-def _heads(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header): the first line of every file."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    placed = text.filter(F.col("at") == 0).withColumn("line", F.monotonically_increasing_id())
-    first = placed.groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    return first.filter(F.length(F.trim("header")) > 0)
+def _dimension(spark: SparkSession, root: str, seasons: Sequence[str], name: str, types: dict[str, str], key: str) -> DataFrame:
+    """Columns of a season's CSV dimension, first row per season and key."""
+    paths = _existing(spark, root, seasons, name)
+    if set(paths) != set(seasons):
+        raise ValueError(f"no {name} in seasons {sorted(set(seasons) - set(paths))} under {root}")
+    typed = headed_lines(spark, list(paths.values())).select("season", *[value_of(c).try_cast(t).alias(c) for c, t in types.items()])
+    return first_row(typed.filter(F.col(key).isNotNull()), ["season", key], list(types))
 
 
-def _columns(header: str) -> list[str]:
-    """The names of a header line, read as CSV."""
-    return [c.strip().lstrip("\ufeff") for c in next(csv.reader([header]))]
+def season_teams(spark: SparkSession, root: str, seasons: Sequence[str]) -> DataFrame:
+    return _dimension(spark, root, seasons, "teams.csv", {"name": "string", "id": "int"}, "name")
 
 
-def season_rounds(spark: SparkSession, root: str, season: str) -> DataFrame:
-    """All ``gws/gw*.csv`` of a season as text columns (A5). CSV binds a header by position, so
-    files are read per distinct header and united by name. A file that cannot be read is an error."""
-    folder = f"{root}/{season}/gws/gw*.csv"
-    heads = _heads(spark, folder)
-    parts = []
-    for row in heads.groupBy("header").agg(F.collect_set("file").alias("files")).orderBy("header").collect():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in _columns(row.header)])
-        parts.append(spark.read.option("header", True).schema(schema).csv(row.files))
-    if not parts:
-        raise ValueError(f"no readable round file under {folder}")
-    return union_by_name(*parts).withColumn("season_name", F.lit(season))
+def season_codes(spark: SparkSession, root: str, seasons: Sequence[str]) -> DataFrame:
+    return _dimension(spark, root, seasons, "players_raw.csv", {"id": "bigint", "code": "bigint"}, "id")
+
+
+def season_fixtures(spark: SparkSession, root: str, seasons: Sequence[str]) -> DataFrame:
+    types = {"id": "int", "team_h_difficulty": "double", "team_a_difficulty": "double"}
+    return _dimension(spark, root, seasons, "fixtures.csv", types, "id").withColumnRenamed("id", "fixture")
+
+
+def season_rounds(spark: SparkSession, root: str, seasons: Sequence[str]) -> DataFrame:
+    """All ``gws/gw*.csv`` of the seasons as text columns (A5), united by name, with ``_has``: the columns that the season's
+    files have between them. The distinct headers reach the driver, which needs their names for the table's columns."""
+    lines = headed_lines(spark, seasons)
+    headers = lines.select("season", "names").distinct().collect()
+    of_season: dict[str, set[str]] = {}
+    for r in headers:
+        of_season.setdefault(r.season, set()).update(n for n in r.names if n)
+    names = sorted(set().union(*of_season.values())) if of_season else []
+    has = F.element_at(F.create_map(*[F.lit(x) for s, n in sorted(of_season.items()) for x in (s, ",".join(sorted(n)))]), F.col("season"))
+    return lines.select(F.col("season").alias("season_name"), *[value_of(n).alias(n) for n in names], F.split(has, ",").alias("_has"))
 
 
 def parse_flag(c: Column) -> Column:
@@ -291,12 +326,20 @@ def parse_flag(c: Column) -> Column:
     return F.when(text.isin("true", "1", "1.0"), True).when(text.isin("false", "0", "0.0"), False)
 
 
-def normalise_archive(
-    raw: DataFrame, teams: DataFrame, fixture_ratings: DataFrame | None = None
-) -> DataFrame:
-    """Archive rows in the panel's names and types (P15): numbers coerced, position text to
-    code, club name to id, forecast kept as an audit column, missing statistics filled."""
-    df = raw.withColumnRenamed("element", "player_id") if "player_id" not in raw.columns else raw
+def normalise_archive(raw: DataFrame, teams: DataFrame, fixture_ratings: DataFrame | None = None) -> DataFrame:
+    """Archive rows in the panel's names and types (P15): numbers coerced, position text to code, club name to id, forecast
+    kept as an audit column, missing statistics filled. What a season's files lack is judged season by season (``_has``)."""
+    def has(name: str) -> Column:
+        return F.array_contains("_has", name)
+
+    def lacking(name: str, other: str, filler: Column | None = None) -> dict[str, Column]:
+        """``name``, and in seasons without it what ``other`` says."""
+        if other not in raw.columns:
+            return {}
+        own = F.col(name) if name in raw.columns else F.lit(None)
+        return {name: F.when(has(name), own).when(has(other), F.col(other) if filler is None else filler)}
+
+    df = raw.withColumns({**lacking("player_id", "element"), **lacking("official_expected_points", "xP"), **lacking("fixture_difficulty", "difficulty")})
     numeric = [
         "player_id", "fixture", "opponent_team", "round", "team_h_score", "team_a_score", "xP",
         "difficulty", "fixture_difficulty", "element_type", "official_expected_points", *BASE_STATS,
@@ -305,41 +348,41 @@ def normalise_archive(
     integers = {"player_id": "bigint", "fixture": "int", "opponent_team": "int", "team_h_score": "int", "team_a_score": "int"}
     df = df.withColumns({c: F.col(c).cast(t) for c, t in integers.items() if c in df.columns})
     if "round" in df.columns:
-        df = df.withColumn("round", F.coalesce("round", F.lit(0)).cast("int"))
+        df = df.withColumn("round", F.when(has("round"), F.coalesce("round", F.lit(0))).cast("int"))
     df = df.withColumns({c: parse_flag(F.col(c)) for c in ("was_home", "modified") if c in df.columns})
-    if "element_type" not in df.columns and "position" in df.columns:
-        df = df.withColumn("element_type", lookup(POSITION_CODES, F.upper("position")))
-    if "official_expected_points" not in df.columns and "xP" in df.columns:
-        df = df.withColumn("official_expected_points", F.col("xP"))
-    if "fixture_difficulty" not in df.columns and "difficulty" in df.columns:
-        df = df.withColumn("fixture_difficulty", F.col("difficulty"))
+    if "position" in df.columns:
+        code = lookup(POSITION_CODES, F.upper("position"))
+        own = F.col("element_type") if "element_type" in df.columns else F.lit(None)
+        df = df.withColumn("element_type", F.when(has("element_type"), own.cast("int")).when(has("position"), code))
     if fixture_ratings is not None and {"fixture", "was_home"} <= set(df.columns):
-        df = side_value(
-            df, fixture_ratings, F.col("was_home"), "team_h_difficulty", "team_a_difficulty", "fixture_difficulty"
+        rated = side_value(
+            df, fixture_ratings.withColumnRenamed("season", "season_name"), F.col("was_home"), "team_h_difficulty", "team_a_difficulty", "_rating",
+            key=["season_name", "fixture"],
         )
+        both = has("fixture") & has("was_home")
+        own = F.col("fixture_difficulty") if "fixture_difficulty" in df.columns else F.lit(None).cast("double")
+        df = rated.withColumn("fixture_difficulty", F.when(both, F.coalesce(own, F.col("_rating"))).otherwise(own)).drop("_rating")
     if "team" in df.columns:
-        ids = teams.select(F.col("name").alias("team"), F.col("id").alias("_team_id"))
-        df = df.join(ids, "team", "left").drop("team").withColumnRenamed("_team_id", "team")
-    return df.withColumns({c: F.lit(v) for c, v in ARCHIVE_DEFAULTS.items() if c not in df.columns})
+        ids = teams.select(F.col("season").alias("season_name"), F.col("name").alias("team"), F.col("id").alias("_team_id"))
+        df = df.join(ids, ["season_name", "team"], "left").drop("team").withColumnRenamed("_team_id", "team")
+    return df.withColumns({
+        c: F.when(has(c), F.col(c)).otherwise(F.lit(v)) if c in df.columns else F.lit(v) for c, v in ARCHIVE_DEFAULTS.items()
+    }).drop("_has")
 
 
 def archive_histories(spark: SparkSession, root: str, seasons: Sequence[str], strict: bool = False) -> DataFrame:
-    """Seasons of the archive with stable player codes, ready for the code remap (A5, J6). A season
+    """Seasons of the archive with stable player codes, ready for the code remap (A5, J6), in one plan for all of them. A season
     without round files is passed over with a warning, unless ``strict``; none at all is an error."""
-    parts = []
-    for season in seasons:
-        try:
-            rounds = season_rounds(spark, root, season)
-        except AnalysisException as missing:
-            if strict or missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            warnings.warn(f"season {season} has no round files: {missing}", stacklevel=2)
-            continue
-        rows = normalise_archive(rounds, season_teams(spark, root, season), season_fixtures(spark, root, season))
-        codes = season_codes(spark, root, season).select(
-            F.col("id").alias("player_id"), F.col("code").alias("player_code")
-        )
-        parts.append(rows.join(codes, "player_id"))
-    if not parts:
-        raise ValueError(f"no season of {list(seasons)} has round files under {root}")
-    return union_by_name(*parts)
+    found = _existing(spark, root, seasons, "gws/gw*.csv")
+    missing = [s for s in seasons if s not in found]
+    if not found or (missing and strict):
+        raise ValueError(f"no round files of seasons {missing} under {root}")
+    if missing:
+        warnings.warn(f"seasons {missing} have no round files", stacklevel=2)
+    known = list(found)
+    rounds = season_rounds(spark, root, list(found.values()))
+    rows = normalise_archive(rounds, season_teams(spark, root, known), season_fixtures(spark, root, known))
+    codes = season_codes(spark, root, known).select(
+        F.col("season").alias("season_name"), F.col("id").alias("player_id"), F.col("code").alias("player_code")
+    )
+    return rows.join(codes, ["season_name", "player_id"])

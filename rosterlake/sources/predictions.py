@@ -1,4 +1,4 @@
-"""The prediction store: one table partitioned by (season_name, gameweek)."""
+"""The prediction store: one table partitioned by (season_name, gameweek)."""
 
 from __future__ import annotations
 
@@ -75,13 +75,13 @@ def read_predictions(
 def load_predictions(
     spark: SparkSession, path: str, season: str, first: int | None = None, last: int | None = None
 ) -> DataFrame:
-    """The strict read (A7): an error when no round is found, and when rows carry tags
-    (``season_tag``, ``stated_gameweek``) that are missing or name another season or round."""
+    """The strict read (A7): an error when no round is found, when the table has no tags (``season_tag``,
+    ``stated_gameweek``), and when tags are missing in a row or name another season or round."""
     df = read_predictions(spark, path, season, first, last)
+    require_columns(df, ["season_tag", "stated_gameweek"])
     if df.isEmpty():
         raise ValueError(f"no predictions of {season} in rounds {first} to {last} under {path}")
-    if {"season_tag", "stated_gameweek"} <= set(df.columns):
-        raise_if_any(tag_problems(df, season), f"tags of {season} do not match their rounds")
+    raise_if_any(tag_problems(df, season), f"tags of {season} do not match their rounds")
     return df
 
 
@@ -111,23 +111,6 @@ def available_horizon(df: DataFrame, start: int, length: int) -> DataFrame:
     return rounds.orderBy("gameweek").limit(max(1, length))
 
 
-def archive_round(
-    predictions: DataFrame, roster: DataFrame, path: str, season: str, gameweek: int
-) -> None:
-    """Validated, repeatable replacement of one round together with its roster snapshot."""
-    raise_if_any(
-        identity_mismatches(predictions, roster, "player_id", ["full_name", "team_name", "team_id"]),
-        f"round {gameweek} does not match the roster",
-    )
-    tagged = tag_rows(predictions, season, gameweek)
-    # the snapshot comes first: a round that can be read always has its roster
-    snapshot = roster.withColumns({"season_name": F.lit(season), "gameweek": F.lit(gameweek)})
-    snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(
-        f"{path}/roster_snapshot"
-    )
-    write_predictions(tagged, f"{path}/predictions")
-
-
 def tag_rows(df: DataFrame, season: str, gameweek: int, roster: DataFrame | None = None) -> DataFrame:
     """Season and round on untagged rows; rows tagged otherwise stop the migration (A16), and so do
     players that are not the roster's, where one is given."""

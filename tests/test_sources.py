@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake.constants import CHIP_NAMES, EXPECTED_SCORING
 from rosterlake.operators import quality
 from rosterlake.sources import history, landed, predictions as store
+from rosterlake.sources.archive import RoundArchive, migrate
 
 
 def write(path, value):
@@ -76,6 +77,40 @@ def test_archive_season_with_two_headers(spark, tmp_path):
     assert two["was_home"] is None and two["tackles"] == 4.0 and two["total_points"] == 2.0
 
 
+def test_archive_seasons_with_their_own_columns(spark, tmp_path):
+    """Quotes, a byte order mark, blank and short lines, a season that lacks what another has, one that is not there."""
+    for season, head, lines in (
+        ("2023-24", "\ufeffelement,name,position,team,round,fixture,total_points,was_home,xP",
+         ['7,"Last, First",MID,"Alpha ""A""",1,5,6,True,3.5', "", '8,"Back\\"slash",gk,Beta,,5,,no,']),
+        ("2024-25", "player_id,round,fixture,total_points,was_home,element_type,fixture_difficulty,tackles,starts",
+         ["7,2,5,4,False,4,1.5,9,1", "9,3,6,1,maybe,2"]),
+    ):
+        s = tmp_path / season
+        write(s / "teams.csv", 'name,id\n"Alpha ""A""",1\nBeta,2\n' if season == "2023-24" else "id,code,name\n3,1,Beta\n")
+        write(s / "players_raw.csv", "id,code\n7,1007\n8,1008\n9,1009\n7,9999\n")
+        write(s / "fixtures.csv", "id,team_a_difficulty,team_h_difficulty\n5,4,2\n6,,5\n")
+        write(s / "gws/gw1.csv", "\n".join([head, *lines, head]) + "\n")
+    with pytest.warns(UserWarning, match="1901-02"):
+        rows = landed.archive_histories(spark, str(tmp_path), ["2023-24", "2024-25", "1901-02"]).collect()
+    got = {(r.season_name, r.player_id): r for r in rows}
+    a, b, c, d = (got[k] for k in (("2023-24", 7), ("2023-24", 8), ("2024-25", 7), ("2024-25", 9)))
+    assert len(rows) == 4 and {r.player_code for r in rows} == {1007, 1008, 1009}
+    assert (a["name"], a.team, a.element_type, a.official_expected_points, a.fixture_difficulty, a.tackles) == ("Last, First", 1, 3, 3.5, 2.0, 0.0)
+    assert (b["name"], b.team, b.element_type, b["round"], b.total_points, b.was_home) == ('Back"slash', 2, 1, 0, None, None)
+    assert (c.element_type, c.fixture_difficulty, c.tackles, c.starts, c.official_expected_points, c.team) == (4, 1.5, 9.0, 1.0, None, None)
+    assert (d.element_type, d.tackles, d.starts, d.recoveries, d.fixture_difficulty) == (2, None, None, 0.0, None)
+    with pytest.raises(ValueError, match="1901-02"):
+        landed.archive_histories(spark, str(tmp_path), ["2023-24", "1901-02"], strict=True)
+
+
+def test_scoring_of_any_shape(spark):
+    docs = spark.createDataFrame([(1, '{"a": 3, "b": {"GK": 1, "DEF": -2, "X": null}, "c": "text", "d": [1], "e": 2.0, "f": {}}'), (2, "[1]"), (3, None), (4, "{}")], "id int, j string")
+    rows = landed.scoring_rows(docs.select("id", F.try_parse_json("j").alias("v")), "v", "id").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([
+        (1, "scoring.a", None, 3), (1, "scoring.b", "GK", 1), (1, "scoring.b", "DEF", -2), (1, "scoring.b", "X", None), (1, "scoring.c", None, None),
+        (1, "scoring.d", None, None), (1, "scoring.e", None, 2)], key=str)
+
+
 def test_live_rows_win_over_the_archive(spark):
     schema = "player_id long, fixture int, round int, season_name string, total_points double"
     live = spark.createDataFrame([(1, 1, 1, "2025-26", 5.0)], schema)
@@ -118,13 +153,58 @@ def predictions_frame(spark):
 def test_archive_round_is_checked_and_repeatable(spark, tmp_path):
     p = predictions_frame(spark)
     roster = p.select("player_id", "full_name", "team_name", "team_id")
-    for _ in range(2):
-        store.archive_round(p, roster, str(tmp_path), "2025-26", 5)
-    assert store.read_predictions(spark, f"{tmp_path}/predictions", "2025-26", 5, 5).count() == 2
+    archive = RoundArchive(spark, str(tmp_path))
+    versions = [archive.write(p, roster, "2025-26", 5) for _ in range(2)]
+    assert archive.predictions("2025-26", 5, 5).count() == 2 and [r.version for r in archive.rounds("2025-26").collect()] == versions[1:]
     with pytest.raises(ValueError, match="roster"):
-        store.archive_round(p.withColumn("team_name", F.lit("Other")), roster, str(tmp_path), "2025-26", 6)
+        archive.write(p.withColumn("team_name", F.lit("Other")), roster, "2025-26", 6)
     with pytest.raises(ValueError, match="season_name"):
-        store.tag_rows(p.withColumn("season_name", F.lit("2024-25")), "2025-26", 5)
+        archive.write(p.withColumn("season_name", F.lit("2024-25")), roster, "2025-26", 5)
+    with pytest.raises(ValueError, match="no round"):
+        archive.predictions("2025-26", 6)
+    assert archive.vacuum("2025-26") == 1 and archive.predictions("2025-26").count() == 2
+
+
+@pytest.mark.parametrize("part", ["predictions", "roster"])
+def test_a_failure_between_the_writes_leaves_the_old_pair(spark, tmp_path, part):
+    class Faulty(RoundArchive):
+        def _write(self, df, path):
+            if path.endswith(part):
+                raise OSError("lost")
+            super()._write(df, path)
+
+    p = predictions_frame(spark)
+    roster = p.select("player_id", "full_name", "team_name", "team_id")
+    good = RoundArchive(spark, str(tmp_path))
+    good.write(p, roster, "2025-26", 5)
+    newer = p.withColumn("team_name", F.lit("New")).withColumn("expected_points", F.lit(9.0))
+    with pytest.raises(OSError):
+        Faulty(spark, str(tmp_path)).write(newer, newer.select(*roster.columns), "2025-26", 5)
+    assert {r.team_name for r in good.rosters("2025-26").collect()} == {"Arsenal"} and good.predictions("2025-26").agg(F.max("expected_points")).first()[0] == 5.25
+    good.write(newer, newer.select(*roster.columns), "2025-26", 5)
+    assert {r.team_name for r in good.rosters("2025-26").collect()} == {"New"} and {r.expected_points for r in good.predictions("2025-26").collect()} == {9.0}
+
+
+def test_a_writer_that_comes_second_has_to_write_again(spark, tmp_path):
+    archive = RoundArchive(spark, str(tmp_path))
+    archive.publish("a", {1: "x"})
+    known = archive._manifest("a")
+    archive.publish("a", {2: "y"})
+    late = RoundArchive(spark, str(tmp_path))
+    late._manifest = lambda season: known
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.publish("a", {3: "z"})
+    assert {r.gameweek: r.version for r in archive.rounds("a").collect()} == {1: "x", 2: "y"}
+
+
+def test_migration_tags_and_checks(spark, tmp_path):
+    p = predictions_frame(spark)
+    roster = p.select("player_id", "full_name", "team_name", "team_id")
+    archive = RoundArchive(spark, str(tmp_path))
+    migrate(archive, p.withColumn("season_name", F.lit(None).cast("string")), roster, "2025-26", 3)
+    assert {(r.season_name, r.gameweek) for r in archive.predictions("2025-26").collect()} == {("2025-26", 3)}
+    with pytest.raises(ValueError):
+        migrate(archive, p.withColumn("season_name", F.lit("1999-00")), roster, "2025-26", 3)
 
 
 def test_only_the_wanted_partitions_are_read(spark, tmp_path):
@@ -174,5 +254,8 @@ def test_strict_load_and_identity_of_tagged_rows(spark, tmp_path):
     store.write_predictions(store.tag_rows(p, "2025-26", 6).withColumns(tags("2024-25", 6)), str(tmp_path))
     with pytest.raises(ValueError, match="do not match"):
         store.load_predictions(spark, str(tmp_path), "2025-26")
+    store.write_predictions(store.tag_rows(p, "2025-26", 5), f"{tmp_path}-plain")
+    with pytest.raises(ValueError):
+        store.load_predictions(spark, f"{tmp_path}-plain", "2025-26")
     with pytest.raises(ValueError, match="roster"):
         store.tag_rows(p.withColumn("team_id", F.lit(9)), "2025-26", 5, p)
