@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["form", "relations", "summaries", "squads", "scoring", "forecasts", "stores", "streams", "landings"]
+_MODULES = ["form", "relations", "summaries", "squads", "scoring", "frames", "forecasts", "stores", "streams", "landings"]
 
 
 def load():

@@ -84,6 +84,42 @@ def expected_value(spark, sf):
     return p.select("player_id", *[F.round(c, 9).alias(n) for n, c in made.items()])
 
 
+@query("published_scores", f"""with {PARTS},
+who as (select player_id, element_type, case when player_id % 7 <> 0 then player_id % 5 / 4.0 end as nxt, case when player_id % 4 = 0 then 0.5 end as this, player_id % 3 / 2.0 as status,
+  player_id % 6 as matches, case when player_id % 3 <> 0 then confidence_score / 10.0 - 5 end as outside, start_probability as p, expected_points as h from part_scores),
+pb as (select s_suppkey as player_id, round(s_acctbal / 10000.0, 6) as pb from supplier),
+qb as (select element_type, count(*) % 7 / 10.0 - 0.3 as qb, case when element_type <> 2 then 1 + element_type * 0.25 end as cameo from part_scores group by 1),
+m as (select w.*, m, p * (1 - m * 0.1) as ps, p * 0.5 + 0.3 as pa, h * (1 + m * 0.1) as pts, coalesce(pb, 0) + coalesce(qb, 0) as bias, cameo,
+    greatest(0.0, least(1.0, coalesce(nxt, this, status, 1.0))) as av from who w cross join generate_series(0, 2) g(m) left join pb using (player_id) left join qb using (element_type)
+  where not (player_id % 9 = 0 and m = 1)),
+e as (select *, (ps * pts + greatest(0.0, least(1.0, greatest(pa, ps) - ps)) * coalesce(cameo, 1.0)) * av as raw, greatest(pa, ps) as appear from m),
+x as (select player_id, avg(raw) as raw, greatest(0.0, avg(greatest(0.0, raw + bias * ps * av))) as ep, greatest(0.0, least(1.0, avg(ps))) as start, greatest(0.0, least(1.0, avg(appear))) as appear,
+    coalesce(stddev_pop(greatest(0.0, raw + bias * ps * av)), 0.0) as sd, count(*) as n from e group by 1),
+b as (select x.*, w.*, x.ep as model_ep, greatest(0.0, case when outside is null then ep else 0.65 * ep + 0.35 * greatest(0.0, outside) end) as blended, least(1.0, matches / 3.0) as rel from x join who w using (player_id)),
+c as (select *, greatest(0.0, least(1.0, 0.35 * rel + 0.25 * greatest(0.0, least(1.0, coalesce(nxt, status, 1.0))) + 0.25 / (1 + sd) + 0.15 * least(1.0, abs(start - 0.5) * 2))) as conf from b),
+s as (select *, greatest(0.05, sd + (1 - conf) * (0.40 + 0.20 * blended) + case when n <= 1 then 0.35 else 0 end) as sigma from c)
+select player_id, round(raw, 6) as expected_points_raw, round(model_ep, 6) as model_expected_points, round(blended, 6) as expected_points, round(start, 6) as start_probability, round(appear, 6) as appearance_probability,
+  round(sd, 6) as expected_points_std, n as model_count, round(conf * 100, 6) as confidence_score,
+  round(greatest(0.0, blended - 1.2815515655446004 * sigma), 6) as expected_points_lower_80, round(blended + 1.2815515655446004 * sigma, 6) as expected_points_upper_80 from s""")
+def published_scores(spark, sf):
+    """From the outputs of three models, with gaps, to points with bias, cameo, blend and bands, for every part."""
+    p = part_scores(spark, sf)
+    pid, ps, m = F.col("player_id"), F.col("start_probability"), F.col("m")
+    who = p.select(
+        "player_id", "element_type", F.when(pid % 7 != 0, pid % 5 / 4.0).alias("availability_next_round"), F.when(pid % 4 == 0, 0.5).alias("availability_this_round"),
+        (pid % 3 / 2.0).alias("status_availability"), (pid % 6).alias("history_match_count"), F.when(pid % 3 != 0, F.col("confidence_score") / 10.0 - 5).alias("official_ep_next"),
+    )
+    scores = p.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter(~((pid % 9 == 0) & (m == 1))).select(
+        "player_id", m.alias("model"), (ps * (1 - m * 0.1)).alias("p_start"), (ps * 0.5 + 0.3).alias("p_appear"), (F.col("expected_points") * (1 + m * 0.1)).alias("points_hat")
+    )
+    of_player = table(spark, sf, "supplier").select(F.lit("player").alias("kind"), F.col("s_suppkey").cast("string").alias("key"), F.round(F.col("s_acctbal") / 10000.0, 6).alias("bias"))
+    of_position = p.groupBy("element_type").agg((F.count(F.lit(1)) % 7 / 10.0 - 0.3).alias("bias"))
+    biases = of_player.unionByName(of_position.select(F.lit("position").alias("kind"), F.col("element_type").cast("string").alias("key"), "bias"))
+    cameo = of_position.select("element_type", F.when(F.col("element_type") != 2, F.col("element_type") * 0.25 + 1).alias("cameo_points"))
+    cols = ["expected_points_raw", "model_expected_points", "expected_points", "start_probability", "appearance_probability", "expected_points_std", "confidence_score", "expected_points_lower_80", "expected_points_upper_80"]
+    return rounded(scoring.publish(scores, who, biases, cameo, exact=True), *cols).select("player_id", *cols, "model_count")
+
+
 @query("residuals", f"""with {PARTS}, {ROUNDS}
 select r.player_id, p.element_type, round(p.start_probability * p.expected_points + greatest(0.0, 0.8 - p.start_probability) * 1.5, 9) as predicted_points,
   round(r.expected_points - (p.start_probability * p.expected_points + greatest(0.0, 0.8 - p.start_probability) * 1.5), 9) as residual, 3 as gw
@@ -115,21 +151,29 @@ def ema_bias_replay(spark, sf):
 
 
 @query("ema_update", """
-with e as (select cast(user_id as varchar) as u, event_type as t, day(ts) as gw, round(value - 10, 6) as residual from events where day(ts) = 20),
-m as (select 'player' as kind, u as key, avg(residual) as m from e group by 1, 2 union all select 'position', t, avg(residual) from e group by 1, 2),
-o as (select 'player' as kind, cast(c_custkey as varchar) as key, round(c_acctbal / 10000.0, 6) as b, 19 as g from customer where c_custkey % 10 < 7)
-select coalesce(o.kind, m.kind) as kind, coalesce(o.key, m.key) as key, round(case when m.m is null then b else 0.85 * coalesce(b, 0) + 0.15 * m.m end, 9) as bias,
-  20 as last_gw from o full join m on o.kind = m.kind and o.key = m.key""")
+with e as (select cast(user_id as varchar) as u, event_type as t, day(ts) as gw, round(value - 10, 6) as residual from events),
+m as (select 'player' as kind, u as key, gw, avg(residual) as m from e group by 1, 2, 3 union all select 'position', t, gw, avg(residual) from e group by 1, 2, 3),
+r as (select kind, key, sum(0.15 * power(0.85, n - 1) * m) as b from (
+  select *, row_number() over (partition by kind, key order by gw desc) as n from m where gw < (select max(gw) from m)) group by 1, 2),
+o as (select coalesce(r.kind, c.kind) as kind, coalesce(r.key, c.key) as key, coalesce(r.b, c.b) as b
+  from r full join (select 'player' as kind, cast(c_custkey as varchar) as key, round(c_acctbal / 10000.0, 6) as b from customer) c on r.kind = c.kind and r.key = c.key),
+l as (select * from m where gw = (select max(gw) from m))
+select coalesce(o.kind, l.kind) as kind, coalesce(o.key, l.key) as key, round(case when l.m is null then b else 0.85 * coalesce(b, 0) + 0.15 * l.m end, 9) as bias,
+  (select max(gw) from m) as last_gw from o full join l on o.kind = l.kind and o.key = l.key""")
 def ema_update(spark, sf):
-    found = table(spark, sf, "events").filter(F.dayofmonth("ts") == 20).select(
-        F.col("user_id").alias("player_id"), F.col("event_type").alias("element_type"),
+    """The last day's residuals folded into the state that all earlier days have left; customers without events bring one of their own."""
+    e = table(spark, sf, "events").select(
+        F.lit("2025-26").alias("season_name"), F.col("user_id").alias("player_id"), F.col("event_type").alias("element_type"),
         F.dayofmonth("ts").alias("gw"), F.round(F.col("value") - 10, 6).alias("residual"),
     )
-    old = table(spark, sf, "customer").filter("c_custkey % 10 < 7").select(
+    last = e.agg(F.max("gw")).scalar()
+    replayed = state.replay_state(e.filter(F.col("gw") < last)).drop("rounds")
+    opening = table(spark, sf, "customer").select(
         F.lit("2025-26").alias("season_name"), F.lit("player").alias("kind"), F.col("c_custkey").cast("string").alias("key"),
-        F.round(F.col("c_acctbal") / 10000.0, 6).alias("bias"), F.lit(19).alias("last_gw"),
+        F.round(F.col("c_acctbal") / 10000.0, 6).alias("bias"), F.lit(0).alias("last_gw"),
     )
-    out = state.update_state(old, found, "2025-26")
+    old = replayed.unionByName(opening.join(replayed, ["season_name", "kind", "key"], "left_anti"))
+    out = state.update_state(old, e.filter(F.col("gw") == last), "2025-26")
     return out.select("kind", "key", F.round("bias", 9).alias("bias"), "last_gw")
 
 
@@ -237,6 +281,45 @@ def fit_score_coverage(spark, sf):
     return gbt_fit_score(spark, sf).select("o_orderkey", "model", inside.cast("int").alias("probabilities"), F.col("points_hat").isNotNull().cast("int").alias("has_points"))
 
 
+_PANEL_FOLDS = """
+with o as (select o_orderkey, year(o_orderdate) as season, month(o_orderdate) as round, row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey) as rn from orders),
+p as (select season, round, row_number() over (order by season, round) - 1 as i, count(*) over () as n from (select distinct season, round from o where rn > 1))
+"""
+
+
+@query("neural_folds", f"""{_PANEL_FOLDS}
+select o_orderkey, cast((i - (n - 2 * (n // 3))) // greatest(n // 3, 1) + 1 as integer) as fold, 1 as predicted from o join p using (season, round) where rn > 1 and i >= n - 2 * (n // 3)""")
+def neural_folds(spark, sf):
+    """Standardised features into a neural classifier on resampled classes, fold after fold: every row of a test fold is predicted once."""
+    rows = stored_rows(spark, training_rows(spark, sf), "training")
+    found = ml.fold_predictions(rows, ml.neural(hidden=(8,), maxIter=20), "classifier", _MODEL_FEATURES, "starts", ["season", "round"], folds=2)
+    return found.select("o_orderkey", "fold", F.col("prediction").isin(0.0, 1.0).cast("int").alias("predicted"))
+
+
+@query("stored_model", f"""{_PANEL_FOLDS} select o_orderkey, 1 as same from o where rn > 1""")
+def stored_model(spark, sf):
+    """Models written to shared storage and read again give every row the prediction that they gave before."""
+    rows = stored_rows(spark, training_rows(spark, sf), "training")
+    small = ml.Candidate("gbt", lambda p: ml.GBTClassifier(maxDepth=3, maxIter=3, seed=42), None)
+    fitted = ml.search(rows, small, "classifier", _MODEL_FEATURES, "starts", ["season", "round"], tune=False, folds=1)
+    path = scratch(spark, "models")
+    ml.save_models([fitted], path)
+    again = ml.load_model(path, "gbt", "starts")
+    before = fitted.model.transform(rows).select("o_orderkey", F.col("prediction").alias("before"))
+    return before.join(again.transform(rows).select("o_orderkey", "prediction"), "o_orderkey").select(
+        "o_orderkey", (F.col("before") == F.col("prediction")).cast("int").alias("same")
+    )
+
+
+@query("top_features")
+def top_features(spark, sf):
+    """The features that weigh most in the boosted start model of the orders."""
+    rows = stored_rows(spark, training_rows(spark, sf), "training")
+    small = ml.Candidate("gbt", lambda p: ml.GBTClassifier(maxDepth=3, maxIter=5, seed=42), None)
+    fitted = ml.search(rows, small, "classifier", _MODEL_FEATURES, "starts", ["season", "round"], tune=False, folds=1)
+    return spark.createDataFrame(ml.feature_importance(fitted.model, 5), "feature string, importance double")
+
+
 @query("tuned_selection")
 def tuned_selection(spark, sf):
     """Two candidate families, seeded draws, forward folds; the metric table of the selection."""
@@ -354,21 +437,3 @@ def stored_rows(spark, rows, name):
     path = scratch(spark, name)
     rows.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-@query("feature_build")
-def feature_build(spark, sf):
-    """The whole training frame: lags, rolling means, team and opponent context, targets."""
-    hist, elements, _, _ = domain_tables(spark, sf)
-    hist, elements = stored(spark, hist), stored_rows(spark, elements, "elements")
-    prepared = features.prepare_history(hist, elements)
-    return features.training_frame(prepared, 12, windows=(5,))
-
-
-@query("frame_assembly")
-def frame_assembly(spark, sf):
-    """One row per player with the features of the next round."""
-    hist, elements, teams, fx = domain_tables(spark, sf)
-    hist, elements = stored(spark, hist), stored_rows(spark, elements, "elements")
-    prepared = features.prepare_history(hist, elements)
-    return features.target_frame(prepared, elements, teams, fx, 7, 6)

@@ -92,8 +92,7 @@ def _carried(
 ) -> DataFrame:
     """What the earlier pieces of a group hand to each later piece.
 
-    A cut falls inside at most one group, so there are fewer rows here than pieces: the
-    result is always small enough to broadcast, whatever the data.
+    A cut falls inside at most one group, so there are fewer rows here than pieces.
     """
     stats = placed.groupBy(*keys, PIECE).agg(*[c.alias(n) for n, c in totals.items()])
     partition = [F.col(k) for k in keys] or [F.lit(0)]
@@ -120,7 +119,7 @@ def _attach(placed: DataFrame, carry: DataFrame, keys: Sequence[str], names: Seq
     condition = F.col(PIECE) == F.col("_c_piece")
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    return placed.join(F.broadcast(renamed), condition, "left").drop(
+    return placed.join(renamed, condition, "left").drop(
         "_c_piece", *[f"_c_{k}" for k in keys]
     )
 
@@ -234,7 +233,7 @@ def lookback(
         .drop("_from_end")
     )
     if keys:
-        tails = tails.join(F.broadcast(split), same_group, "left_semi")
+        tails = tails.join(split, same_group, "left_semi")
     target = carry.select(
         *[F.col(k).alias(f"_t_{k}") for k in keys],
         F.col(PIECE).alias("_t_piece"),
@@ -247,7 +246,7 @@ def lookback(
     index = F.coalesce(F.col("_index"), F.lit(1))
     halo = (
         tails.withColumn("_next", F.explode(F.sequence(index + 1, index + before)))
-        .join(F.broadcast(target), reach)
+        .join(target, reach)
         .filter(F.col("_rank") > F.col("_t_before") - before)
         .withColumn(PIECE, F.col("_t_piece"))
     )

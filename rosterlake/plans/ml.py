@@ -161,16 +161,74 @@ FOREST = Candidate(
 )
 
 
-def neural(inputs: int) -> Candidate:
-    """Classifier only: Spark ML has no neural regressor, and no row weights here. The layer
-    sizes start with the number of features kept by the screen."""
-    return Candidate(
-        "neural",
-        lambda p: MultilayerPerceptronClassifier(
-            **{"layers": [inputs, 64, 32, 2], "maxIter": 100, "seed": 42, **p}
-        ),
-        None, {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.03, 0.1]}, weighted=False, scaled=True,
-    )
+class Perceptron(MultilayerPerceptronClassifier):
+    """A perceptron whose first layer has as many nodes as the features that it is fitted on, and whose last has two."""
+
+    hidden: tuple[int, ...] = (64, 32)
+
+    def _fit(self, dataset: DataFrame):
+        inputs = dataset.select(F.size(vector_to_array(self.getFeaturesCol()))).first()
+        sized = self.copy()
+        sized.setLayers([inputs[0] if inputs else 1, *self.hidden, 2])
+        return super(Perceptron, sized)._fit(dataset)
+
+
+def neural(hidden: tuple[int, ...] = (64, 32), **defaults) -> Candidate:
+    """Classifier only (Spark ML has no neural regressor). It takes no row weights: the classes are balanced by resampling."""
+    def build(params: dict) -> Perceptron:
+        out = Perceptron(**{"maxIter": 100, "seed": 42, **defaults, **params})
+        out.hidden = hidden
+        return out
+
+    return Candidate("neural", build, None, {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.03, 0.1]}, weighted=False, scaled=True)
+
+
+def resampled(df: DataFrame, label: str, weight: str | None = None, seed: int = 42) -> DataFrame:
+    """Rows repeated so that every class weighs as much as the largest one, and inside a class each row by its ``weight``: by
+    whole copies, and one more where a hash of the row falls below the rest. No row of the largest class goes missing without
+    a weight; with one, a row of weight w stays with probability w over the largest weight. The hash makes it repeatable."""
+    w = F.lit(1.0) if weight is None else F.greatest(F.col(weight).cast("double"), F.lit(0.0))
+    totals = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.sum(w).alias("n"), F.max(w).alias("w")).collect()  # one row a class
+    top_weight, most = max((r.w for r in totals), default=1.0) or 1.0, max((r.n for r in totals), default=0.0)
+    rates = {r[label]: most / r.n / top_weight for r in totals if r.n}
+    rate = F.lit(0.0)
+    for value, times in rates.items():
+        rate = F.when(F.col(label) == F.lit(value), w * times).otherwise(rate)
+    if weight is None and rates:
+        rate = F.greatest(rate, F.when(F.col(label).isNotNull(), F.lit(1.0)).otherwise(0.0))
+    part = F.pmod(F.xxhash64(F.lit(seed), *[c for c in df.columns]), F.lit(1 << 30)) / float(1 << 30)
+    copies = (F.floor(F.col("_rate")) + (part < F.col("_rate") - F.floor(F.col("_rate"))).cast("int")).cast("int")
+    return df.withColumn("_rate", rate).withColumn("_copies", copies).filter("_copies > 0").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    ).drop("_rate", "_copies", "_copy")
+
+
+def fit_candidate(
+    train: DataFrame, candidate: Candidate, kind: str, features: Sequence[str], label: str, params: dict | None = None, weight: str | None = None,
+) -> PipelineModel:
+    """The candidate's pipeline fitted on ``train``: with row weights where it takes them, else on resampled classes."""
+    if kind == "classifier" and not candidate.weighted:
+        train = resampled(train, label, weight)
+    return model_pipeline(candidate, kind, features, label, params, weight).fit(train)
+
+
+def fold_predictions(
+    df: DataFrame, candidate: Candidate, kind: str, features: Sequence[str], label: str, period: Sequence[str],
+    params: dict | None = None, weight: str | None = None, folds: int = 3,
+) -> DataFrame:
+    """Every row of the test folds with the prediction of the model fitted on all earlier folds, and its ``fold``: what the
+    metrics of the search are made of. A fold whose past has one class only, or no row, has no predictions."""
+    placed = df.join(forward_folds(df, period, folds), list(period), "left").withColumn("fold", F.coalesce("fold", F.lit(0)))
+    classes = {r.fold: r.classes for r in placed.groupBy("fold").agg(F.countDistinct(label).alias("classes")).collect()}  # one row a fold
+    out = None
+    for fold in range(1, folds + 1):
+        known = [c for f, c in classes.items() if f < fold]
+        if not known or (kind == "classifier" and max(known) < 2):
+            continue
+        model = fit_candidate(placed.filter(F.col("fold") < fold), candidate, kind, features, label, params, weight)
+        part = model.transform(placed.filter(F.col("fold") == fold)).select(*df.columns, "fold", "prediction")
+        out = part if out is None else out.unionByName(part)
+    return placed.select(*df.columns, "fold", F.lit(None).cast("double").alias("prediction")).limit(0) if out is None else out
 
 
 def model_pipeline(
@@ -231,7 +289,7 @@ def cross_validate(
         train, test = df.filter(F.col("fold") < fold), df.filter(F.col("fold") == fold)
         if kind == "classifier" and max(classes for _, classes in earlier) < 2:
             continue
-        fitted = model_pipeline(candidate, kind, features, label, params, weight).fit(train)
+        fitted = fit_candidate(train, candidate, kind, features, label, params, weight)
         scored = fitted.transform(test)
         metric = balanced_accuracy(scored, label) if kind == "classifier" else mean_absolute_error(scored, label)
         value = metric.first()[0]
@@ -303,7 +361,7 @@ def search(
         _, params, scores = best or (0.0, {}, [])
     finally:
         with_folds.unpersist()
-    model = model_pipeline(candidate, kind, features, label, params, weight).fit(df)
+    model = fit_candidate(df, candidate, kind, features, label, params, weight)
     return Fitted(candidate.name, kind, label, model, params, scores)
 
 

@@ -93,6 +93,25 @@ def blend_outside(df: DataFrame, weight: float = OUTSIDE_FORECAST_WEIGHT, column
     )
 
 
+def publish(
+    scores: DataFrame, entities: DataFrame, biases: DataFrame, cameo: DataFrame, weight: float = OUTSIDE_FORECAST_WEIGHT, exact: bool = False,
+) -> DataFrame:
+    """From the long scores of any number of models to the published table: availability, bias and cameo points per model, mean
+    and spread over the models, the outside forecast blended in, confidence and range. One row for each entity that a model
+    has scored, with the entity's own columns."""
+    scored = score_rows(scores, entities.select(*[c for c in entities.columns if c in _SCORED]), biases, cameo)
+    means = ensemble(scored, ["player_id"])
+    matches = F.col("history_match_count") if "history_match_count" in entities.columns else None
+    minutes = F.col("season_minutes") if "season_minutes" in entities.columns else None
+    whole = entities.withColumn("reliability_weight", reliability(matches, minutes)).join(means, "player_id")
+    return add_confidence(blend_outside(whole, weight), exact)
+
+
+_SCORED = (
+    "player_id", "element_type", "availability_next_round", "availability_this_round", "status_availability", "history_match_count", "season_minutes",
+)
+
+
 def add_confidence(df: DataFrame, exact: bool = False) -> DataFrame:
     """Confidence score, level and 80 % range (P22). ``exact`` leaves the numbers unrounded.
 

@@ -75,3 +75,35 @@ def test_metrics(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (0, 0)], "label int, prediction int")
     assert ml.balanced_accuracy(df).first()[0] == pytest.approx((2 / 3 + 1) / 2)
     assert ml.mean_absolute_error(df).first()[0] == 0.25
+
+
+def test_resampling_balances_the_classes(spark):
+    df = spark.createDataFrame([(i, 1 if i % 10 == 0 else 0, 1.0 if i < 500 else 0.5) for i in range(1_000)] + [(5_000, None, 1.0)], "id int, y int, w double")
+    plain = {r.y: r.n for r in ml.resampled(df, "y").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert plain == {0: 900, 1: 900}
+    weighted = ml.resampled(df, "y", "w")
+    n = {(r.y, r.late): r.n for r in weighted.groupBy("y", (F.col("id") >= 500).alias("late")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n[(0, False)] == 450 and 180 < n[(0, True)] < 270 and abs(n[(1, False)] + n[(1, True)] - 675) < 120
+    assert ml.resampled(df.limit(0), "y").count() == 0
+    assert sorted(r.id for r in weighted.collect()) == sorted(r.id for r in ml.resampled(df.repartition(3), "y", "w").collect())
+
+
+def test_neural_folds_and_their_metric_in_sql(rows, tmp_path):
+    import duckdb
+
+    candidate = ml.neural(hidden=(6,), maxIter=30)
+    found = ml.search(rows, candidate, "classifier", FEATURES, "starts", ["season_name", "round"], "season_weight", folds=2, tune=False)
+    assert found.mean > 0.75 and len(found.scores) == 2
+    stages = [type(s).__name__ for s in found.model.stages]
+    assert stages == ["FeatureScreenModel", "StandardScalerModel", "MultilayerPerceptronClassificationModel"]
+    path = str(tmp_path / "predictions")
+    ml.fold_predictions(rows, candidate, "classifier", FEATURES, "starts", ["season_name", "round"], None, "season_weight", folds=2).select("id", "fold", "starts", "prediction").write.parquet(path)
+    sql = f"""select fold, avg(r) from (select fold, starts, avg((prediction = starts)::int) as r from '{path}/*.parquet' group by 1, 2) group by 1 order by 1"""
+    again = duckdb.sql(sql).fetchall()
+    assert [f for f, _ in again] == [1, 2] and [r for _, r in again] == pytest.approx(found.scores, abs=0.02)
+    standard = found.model.stages[1].transform(found.model.stages[0].transform(rows)).select(ml.vector_to_array("features").alias("f"))
+    means = standard.agg(F.avg(F.col("f")[0]), F.stddev_samp(F.col("f")[0])).first()
+    assert means[0] == pytest.approx(0.0, abs=1e-9) and means[1] == pytest.approx(1.0)
+    ml.save_models([found], str(tmp_path))
+    again = ml.load_model(str(tmp_path), "neural", "starts")
+    assert again.transform(rows).agg(F.sum("prediction")).first()[0] == found.model.transform(rows).agg(F.sum("prediction")).first()[0]
