@@ -196,9 +196,16 @@ def search(
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     def found(asked: DataFrame, again: bool) -> DataFrame:
-        asked = asked.mapInArrow(lambda batches: probe(batches, again), f"query_id long, query {kind}, limit double, group int")
-        asked = asked.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        return data.groupBy("group", "piece").cogroup(asked.groupBy("group", "piece")).applyInArrow(
+        asked = written(asked.mapInArrow(lambda batches: probe(batches, again), f"query_id long, query {kind}, limit double, group int"), "asked")
+        counts = {r["group"]: r.n for r in asked.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a centroid
+        if not counts:
+            return spark.createDataFrame([], "query_id long, vec_id long, score double")
+        # the queries of a group are cut into pieces too: a task holds one piece of either side
+        asks = F.element_at(F.create_map(*[F.lit(x) for g in groups for x in (g["group"], max(1, -(-counts.get(g["group"], 0) // piece_rows)))]), F.col("group"))
+        side = asked.withColumn("ask", F.pmod(F.xxhash64("query_id"), asks).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        wanted = data.filter(F.col("group").isin(*counts)).withColumn("ask", F.explode(F.sequence(F.lit(0), asks - 1)))
+        keys = ["group", "piece", "ask"]
+        return wanted.groupBy(*keys).cogroup(side.groupBy(*keys)).applyInArrow(
             lambda left, right: find(left, right), "query_id long, vec_id long, score double"
         )
 

@@ -5,7 +5,10 @@ Every language has a probability for each piece. A word's probability is the sum
 Piece probabilities are fitted by expectation-maximisation (forward-backward) on a bounded sample of labelled texts.
 
 A null text, and one without a letter, gets ``und`` with score 0; so does every text when nothing labelled is there to
-learn from. Words longer than ``LONGEST`` bytes are cut every ``LONGEST`` bytes, so long texts are read whole. Ties go to
+learn from. ``in_language`` says whether the text reads like any of the languages at all: its log probability may lie below that of
+the least likely text of the sample, byte for byte, by no more than ``SLACK``; noise of letters falls far below, and short texts
+are given the benefit of the doubt. It is false where ``lang_pred`` is ``und``, and true for all others where nothing has been
+learned. Words longer than ``LONGEST`` bytes are cut every ``LONGEST`` bytes, so long texts are read whole. Ties go to
 the language that sorts first. Repeated rows are judged each on their own.
 """
 
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.runtime import extended, ship
+from rosterlake.llm.runtime import extended, ship, written
 from rosterlake.llm.words import slices
 
 UNKNOWN = "und"
@@ -29,6 +32,8 @@ SAMPLE_ROWS = 2_000
 ROUNDS = 3
 #: Added to every expected count, so that no piece is impossible.
 SMOOTHING = 0.1
+#: How far (in nats) a text's log probability may lie below the floor of the sample.
+SLACK = 100.0
 LONGEST = 48
 REMEMBERED = 200_000
 _U = np.uint64
@@ -137,10 +142,11 @@ def vocabulary(path: str) -> Pieces:
 
 
 class Model:
-    """Languages and their piece probabilities (piece, then language; a last row of zeros for what is no piece)."""
+    """Languages and their piece probabilities (piece, then language; a last row of zeros for what is no piece), and the
+    least log probability a byte that a text of the sample has in its likeliest language."""
 
-    def __init__(self, path: str, languages: list[str], p: np.ndarray):
-        self.path, self.languages, self.p = path, languages, p
+    def __init__(self, path: str, languages: list[str], p: np.ndarray, floor: float = -np.inf):
+        self.path, self.languages, self.p, self.floor = path, languages, p, floor
 
     def scorer(self) -> "Scorer":
         return Scorer(self)
@@ -154,8 +160,8 @@ class Scorer:
         self.row: dict[bytes, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        """Log probability of every text in every language."""
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of every text in every language, and the bytes of its words."""
         split = [cut(t) if t else [] for t in texts]
         new = list({w for words in split for w in words if w not in self.row})
         if len(self.row) + len(new) > REMEMBERED:
@@ -165,7 +171,8 @@ class Scorer:
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
             self.logs = np.concatenate((self.logs, self.pieces.log_words(new, self.model.p)))
         row = self.row
-        return np.array([self.logs[[row[w] for w in words]].sum(axis=0) for words in split]).reshape(len(texts), -1)
+        logs = np.array([self.logs[[row[w] for w in words]].sum(axis=0) for words in split]).reshape(len(texts), -1)
+        return logs, np.array([sum(map(len, words)) for words in split], dtype=float)
 
 
 def fit(
@@ -187,7 +194,7 @@ def fit(
         return Model(path, [], p)
     scale = 1 << 30
     limit = F.element_at(F.create_map(*[F.lit(x) for n in languages for x in (n, min(1.0, sample_rows / counts[n]) * scale)]), F.col("label"))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < limit)
+    sample = written(rows.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < limit), "language-sample")
 
     def uses(batches: Iterator[pa.RecordBatch], p: np.ndarray) -> Iterator[pa.RecordBatch]:
         known, total = vocabulary(path), {}
@@ -213,7 +220,18 @@ def fit(
             got[r.piece, r.k] = r.uses
         got[:-1] += SMOOTHING
         p = got / got.sum(axis=0)
-    return Model(path, languages, p)
+    model = spark.sparkContext.broadcast(Model(path, languages, p))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.value.scorer()
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                logs, size = score(part["text"].to_pylist())
+                a_byte = (logs.max(axis=1) / np.maximum(size, 1.0))[size > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([a_byte.min()] if len(a_byte) else [], pa.float64())], names=["least"])
+
+    floor = sample.filter(spoken("text")).mapInArrow(least, "least double").agg(F.min("least")).first()[0]
+    return Model(path, languages, p, -np.inf if floor is None else float(floor))
 
 
 def spoken(column: str = "text") -> Column:
@@ -222,9 +240,9 @@ def spoken(column: str = "text") -> Column:
 
 
 def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``, the share of the likeliest language in the sum over all."""
+    """Add ``lang_pred``, ``score``, the share of the likeliest language in the sum over all, and ``in_language``."""
     ship(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score", "_spoken").withColumn("_spoken", spoken(column))
+    kept = docs.drop("lang_pred", "score", "in_language", "_spoken").withColumn("_spoken", spoken(column))
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = kept.columns
 
@@ -233,16 +251,18 @@ def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, column, 4 << 20):
                 spoken = part["_spoken"].to_pylist()
-                label, share = [UNKNOWN] * len(spoken), [0.0] * len(spoken)
+                label, share, like = [UNKNOWN] * len(spoken), [0.0] * len(spoken), spoken
                 if languages:
-                    logs = score([t if s else None for t, s in zip(part[column].to_pylist(), spoken)])
+                    logs, size = score([t if s else None for t, s in zip(part[column].to_pylist(), spoken)])
                     best = logs.argmax(axis=1)
                     odds = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                     label = [languages[b] if s else UNKNOWN for b, s in zip(best, spoken)]
                     share = np.where(spoken, odds, 0.0)
-                yield pa.RecordBatch.from_arrays(part.columns + [pa.array(label, pa.string()), pa.array(share, pa.float64())], names=[*names, "lang_pred", "score"])
+                    like = np.array(spoken) & (logs.max(axis=1) >= held.value.floor * size - SLACK)
+                new = [pa.array(label, pa.string()), pa.array(share, pa.float64()), pa.array(like, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(part.columns + new, names=[*names, "lang_pred", "score", "in_language"])
 
-    return kept.mapInArrow(run, extended(kept, "lang_pred string, score double")).drop("_spoken")
+    return kept.mapInArrow(run, extended(kept, "lang_pred string, score double, in_language boolean")).drop("_spoken")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -2,12 +2,14 @@
 
 Documents are dealt into blocks by id. Every block counts its windows into its own sketch, cell by cell, and the sketches
 are merged per range of cells. A window whose estimate (the least of its cells) is one occurs once, so only the others
-go on; the sketch never underestimates, so none is lost. The second pass groups those by a 128-bit hash of their words
-and tells each block which of them it holds first. The sketch has as many cells as the input needs, spread over the
-cluster in ranges; nothing is broadcast or collected but one count of bytes.
+go on; the sketch never underestimates, so none is lost. The second pass groups those by a hash of their words, of 128 bits
+between blocks and of 64 inside one (some million windows), and tells each block which of them it holds first. The sketch has as many cells as the input needs, spread over the
+cluster in ranges; nothing is broadcast or collected but one count of bytes. A block sends a message to every range that it
+has cells in, so the number of messages (not their bytes) grows with the square of the input until each holds few cells:
+for inputs of terabytes raise ``block_bytes``.
 
 A window is ``window`` consecutive words of one document. Each word is removed that a window covers whose words also
-start earlier: in a smaller doc_id, or earlier in the same document. A null doc_id comes before all others. Rows of the
+start earlier: in a smaller doc_id, or earlier in the same document. A null doc_id comes before all others. Ids are whole numbers. Rows of the
 same doc_id count as one document with several texts: the same start is not earlier, so exact repeats of a whole row
 leave each other alone. Null and empty texts have no words; a text shorter than a window keeps all of its words.
 """

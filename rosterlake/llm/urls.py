@@ -16,11 +16,23 @@ from pyspark.sql import functions as F
 
 from rosterlake.llm.runtime import extended, ship
 
-STRICT = ("porn", "pornstar", "xxx", "hentai", "nsfw", "camgirl", "camgirls", "escort", "escorts", "milf", "bdsm")
-SOFT = (
-    "adult", "bet", "betting", "bingo", "casino", "crack", "dating", "erotic", "jackpot", "keygen", "loan", "lottery",
-    "nude", "payday", "pills", "poker", "replica", "sex", "slots", "torrent", "viagra", "warez", "webcam",
+# Terms by the category that public block lists file them under, in English, German, French and Spanish.
+#: One of these rejects.
+STRICT = (
+    "porn", "porno", "pornhub", "pornstar", "xxx", "xvideos", "xnxx", "hentai", "nsfw", "camgirl", "camgirls", "sexcam", "sexcams",
+    "escort", "escorts", "milf", "bdsm", "gangbang", "blowjob",
 )
+#: Several of these, all different, reject; each alone is found in honest addresses too.
+SOFT_BY_CATEGORY = {
+    "adult": ("adult", "adults", "dating", "erotic", "erotik", "erotique", "erotico", "fetish", "nude", "nackt", "desnuda", "sex", "sexe", "sexo", "sexy", "singles", "webcam", "webcams"),
+    "gambling": ("apuestas", "bet", "bets", "betting", "bingo", "casino", "casinos", "gambling", "gewinnspiel", "jackpot", "loteria", "loterie", "lottery", "lotto", "odds", "poker", "roulette", "ruleta", "slots", "wager", "wetten", "win", "winner", "winners"),
+    "offers": ("billig", "bonus", "cheap", "free", "giveaway", "gratis", "gratuit", "kostenlos", "prize", "prizes", "promo"),
+    "finance": ("forex", "kredit", "loan", "loans", "payday", "prestamo", "prestamos"),
+    "pharmacy": ("cialis", "levitra", "pills", "tramadol", "viagra", "xanax"),
+    "piracy": ("crack", "cracked", "keygen", "nulled", "serials", "torrent", "torrents", "warez"),
+    "spam": ("backlinks", "clickbait", "doorway", "farm", "replica", "replicas", "seo", "spam"),
+}
+SOFT = tuple(term for terms in SOFT_BY_CATEGORY.values() for term in terms)
 SOFT_HITS = 2
 #: (host, path prefix, verdict)
 RULES = (

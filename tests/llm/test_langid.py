@@ -80,3 +80,52 @@ def test_accuracy_on_the_held_out_third(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     got = catalog.queries()["op7_segmentation_marginalised_language"](spark, sf).filter("held_out").join(truth, "doc_id").collect()
     assert len(got) > 30 and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
+def plain_forward(word, probabilities):
+    """Probability of a word summed over all cuts into pieces, piece by piece."""
+    reach = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - langid.LONGEST), j):
+            reach[j] += reach[i] * probabilities.get(word[i:j], 0.0)
+    return reach[-1]
+
+
+def test_whole_texts_equal_brute_force(spark, model):
+    """Label and score of whole texts, from the piece probabilities alone."""
+    pieces = langid.vocabulary(PATH)
+    tables = [{piece: float(model.p[i, k]) for i, piece in enumerate(pieces.pieces)} for k in range(len(model.languages))]
+    long = "straße " + "überallhin" * 30 + " the house"
+    texts = [t for _, t, _ in corpus(7, 8)] + [long, "12 34", None, "", "a", "\t water\n\nof ", "日本 wasser", "é", "the " * 3_000]
+    want = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            want.append(("und", 0.0))
+            continue
+        logs = []
+        for table in tables:
+            total, known = 0.0, {}
+            for word in text.split():
+                raw = b" " + word.encode()
+                for part in [raw[i : i + langid.LONGEST] for i in range(0, len(raw), langid.LONGEST)]:
+                    if part not in known:
+                        known[part] = math.log(max(plain_forward(part, table), 1e-300))
+                    total += known[part]
+            logs.append(total)
+        top = max(logs)
+        want.append((model.languages[logs.index(top)], 1.0 / sum(math.exp(x - top) for x in logs)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.lang_pred, r.score) for r in langid.predict(docs, model).orderBy("doc_id").collect()]
+    assert [g for g, _ in got] == [w for w, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-9)
+
+
+def test_noise_of_letters_is_in_no_language(spark, model):
+    rng = random.Random(9)
+    noise = lambda n: " ".join("".join(rng.choice("qxzjkvwy") for _ in range(9)) for _ in range(n))
+    texts = [t for _, t, _ in corpus(8, 20)] + ["ok", "a", "Zrx"] + [noise(60), noise(400)] + ["123", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.in_language for r in langid.predict(docs, model).orderBy("doc_id").collect()]
+    assert got == [True] * 63 + [False] * 4
+    nothing = langid.Model(PATH, [], np.zeros((1, 0)))
+    assert [r.in_language for r in langid.predict(docs, nothing).orderBy("doc_id").collect()] == [True] * 65 + [False] * 2

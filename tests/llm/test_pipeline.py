@@ -33,6 +33,10 @@ def folder(spark, tmp_path_factory):
         if i % 10 == 3:
             text += "\n" + items[0][1]
         rows.append((i, text, lang))
+    noise = " ".join("".join(rng.choice("qxzjkvwy") for _ in range(9)) for _ in range(300))
+    long = " ".join(rng.choice(words["de"]) for _ in range(30))  # one line that is a passage of its own
+    rows += [(210, noise, None), (211, "ende\n" + long, "de"), (212, "anfang\n" + long + "\nschluss", "de"), (213, "\n".join(line("en") for _ in range(4_000)), "en")]
+    rows += [(214, rows[7][1], "de"), (214, rows[7][1], "de")]
     rows += [(100 + i, rows[5][1] + " End", "en") for i in range(5)] + [(200, None, "en"), (201, "123", None), (202, "", "de"), (None, line("de"), None)]
     path = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame([(i, t, lang, "s", len(t or ""), "x") for i, t, lang in rows], KINDS).write.parquet(f"{path}/documents.parquet")
@@ -46,7 +50,7 @@ def test_stages_call_operators_in_order():
 
 def test_whole_pipeline_equals_plain_versions(spark, folder):
     path, rows, items = folder
-    docs = [(i, t) for i, t, _ in rows if t and any(c.isalpha() for c in t)]
+    docs = [(i, t) for i, t, _ in rows if t and any(c.isalpha() for c in t) and i != 210]
     docs = [(i, out[2]) for (i, _), out in zip(docs, brute_lines(docs, 2))]
     near = {(d, kept) for d, _, _, kept in brute_near(docs, 5) if d is not None}
     docs = [(i, t) for i, t in docs if i is None or (i, True) in near]

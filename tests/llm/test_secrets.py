@@ -58,3 +58,12 @@ def test_only_unseen_pairs_are_scanned(spark, path):
 
 def test_empty(spark, path):
     assert secrets.find(spark.createDataFrame([], "doc_id long, text string"), path).collect() == []
+
+
+def test_pairs_that_were_appended_twice_count_once(spark, path):
+    docs = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
+    secrets.find(docs, path).collect()
+    book = spark.read.schema(secrets.LEDGER).parquet(path).collect()
+    spark.createDataFrame(book, secrets.LEDGER).write.mode("append").parquet(path)
+    assert secrets.ledger(spark, path).count() == len(secrets.RULES)
+    assert [len(r.spans) for r in secrets.find(docs, path).collect()] == [1]

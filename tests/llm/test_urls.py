@@ -37,3 +37,22 @@ def test_very_long_repeated_and_empty(spark):
 def test_touching_characters(term):
     assert sum(map(len, urls.hits(f"a.{term}.b", urls.STRICT, urls.SOFT))) == 1
     assert not any(urls.hits(f"a{term}.b{term}9", urls.STRICT, urls.SOFT))
+
+
+def test_vocabulary_is_a_set_of_plain_terms():
+    terms = urls.STRICT + urls.SOFT
+    assert len(set(terms)) == len(terms) and all(t.isascii() and t.isalpha() and t == t.lower() for t in terms)
+
+
+@pytest.mark.parametrize("url, verdict", [
+    ("https://m.casino-win.example.net/en/1", "block"), ("http://free-bets.example.net/de/2", "block"), ("http://www.spam-farm.example.net/x", "block"),
+    ("https://farm.example.net/win", "block"), ("https://farm.example.net/en/1?ref=x", "allow"), ("https://free.example.net/free/free", "allow"), ("https://winfree.example.net", "allow"),
+])
+def test_distinct_soft_hits(spark, url, verdict):
+    assert judged(spark, [(1, url, None)])[1].verdict == verdict
+
+
+def test_columns_of_other_names_stay(spark):
+    pages = spark.createDataFrame([(1, "http://s.net/a", 2, "h", 3)], "page_id long, url string, _by_rule int, host string, extra int")
+    found = urls.judge(pages)
+    assert set(found.columns) >= {"page_id", "url", "host", "path", "rule", "verdict", "extra"} and found.first().host == "s.net"
