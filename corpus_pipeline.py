@@ -18,12 +18,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and those without a letter. Where no text has a label there is no
-    language to decide on, and every text with a letter stays."""
+    """Documents that read like no language of the corpus go: null texts, those without a letter, and noise of letters far less
+    likely than any labelled text. Where no text has a label there is nothing to compare with, and every text with a letter stays."""
     model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), ~langid.held_out())
-    if not model.languages:
-        return docs.filter(langid.spoken("text")).select(*COLUMNS)
-    return langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    return langid.predict(docs, model).filter("in_language").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id."""
+    """One document of each component stays, the one with the smallest id. Rows that share a doc_id stay or go together."""
     gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
