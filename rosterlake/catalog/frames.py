@@ -96,7 +96,7 @@ def feature_build(spark, sf):
     """The whole training frame: lags, rolling means, team and opponent context, targets; the rows and a sum of each column."""
     hist, elements, _, _ = domain_tables(spark, sf)
     hist, elements = stored(spark, hist), stored_rows(spark, elements, "elements")
-    prepared = features.prepare_history(hist, elements)
+    prepared = features.laid_out(features.prepare_history(hist, elements))
     return checksums(features.training_frame(prepared, 12, windows=(_MA,)), _TRAINED)
 
 
@@ -127,5 +127,5 @@ def frame_assembly(spark, sf):
     """One row per player with the features of the next round; the rows and a sum of each column."""
     hist, elements, teams, fx = domain_tables(spark, sf)
     hist, elements = stored(spark, hist), stored_rows(spark, elements, "elements")
-    prepared = features.prepare_history(hist, elements)
+    prepared = features.laid_out(features.prepare_history(hist, elements))
     return checksums(features.target_frame(prepared, elements, teams, fx, 7, 6), _TARGETED)

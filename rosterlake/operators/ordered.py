@@ -61,6 +61,8 @@ def _hot(df: DataFrame, keys: Sequence[str], hot: bool | None) -> tuple[bool, in
     if hot is False:
         return False, 0
     limit = setting(df.sparkSession, MAX_GROUP_ROWS)
+    if not hot and df.count() <= limit:  # no group is larger than the table, whose rows are often counted from file footers
+        return False, 0
     total, largest = group_sizes(df, keys)
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     pieces = max(shuffles, math.ceil(total / max(1, limit)), 2)
@@ -72,6 +74,8 @@ def is_hot(df: DataFrame, keys: Sequence[str], distinct: str | None = None) -> b
     ask once and pass the answer on. With ``distinct``, groups are counted after removing
     duplicates of that column; an estimate is enough, as both plans give the same rows."""
     limit = setting(df.sparkSession, MAX_GROUP_ROWS)
+    if df.count() <= limit:
+        return False
     if distinct is None:
         return group_sizes(df, keys)[1] > limit
     estimate = df.groupBy(*keys).agg(F.approx_count_distinct(distinct).alias("n")).agg(F.max("n")).first()[0]

@@ -14,6 +14,7 @@ from rosterlake.functions.seasons import season_start_year
 from rosterlake.operators.joins import fill_from, team_views
 from rosterlake.operators.ordered import first_row, is_hot, last_row, lookback, top_rows
 from rosterlake.operators.panel import form, prior_count, tail_mean
+from rosterlake.session import stored
 
 HISTORY_ORDER = ["season_sort", "round", "kickoff_sort", "fixture"]
 MATCH_KEY = ["player_id", "fixture", "round", "season_name"]
@@ -121,7 +122,8 @@ def add_team_context(
         .join(opposing, ["season_name", "fixture", "opponent_team"], "left")
         .withColumn("_rival", rival).drop("opponent_team")
     )
-    return hist.withColumn("_rival", rival).join(pairs, match, "left").drop("_rival")
+    # two rows a match are few beside its players' rows: hashed in each partition, they spare the wide panel a sort
+    return hist.withColumn("_rival", rival).join(pairs.hint("shuffle_hash"), match, "left").drop("_rival")
 
 
 def prepare_history(
@@ -158,6 +160,19 @@ def prepare_history(
     )
 
 
+def laid_out(prepared: DataFrame) -> DataFrame:
+    """The prepared panel as a table in shared storage. Form, team context, counts and prices each read the few columns that
+    they need from it, and none prepares the history again. The projection is too long for one method that the JVM would compile,
+    so Spark is asked to split it while the table is written."""
+    spark, limit = prepared.sparkSession, "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "8000")
+    try:
+        return stored(prepared, "panel")
+    finally:
+        spark.conf.set(limit, before)
+
+
 def stat_names(prepared: DataFrame) -> list[str]:
     derived = [c for c in match_measures(BASE_STATS) if c in prepared.columns]
     return [s for s in BASE_STATS if s in prepared.columns] + derived
