@@ -98,9 +98,9 @@ x as (select player_id, avg(raw) as raw, greatest(0.0, avg(greatest(0.0, raw + b
 b as (select x.*, w.*, x.ep as model_ep, greatest(0.0, case when outside is null then ep else 0.65 * ep + 0.35 * greatest(0.0, outside) end) as blended, least(1.0, matches / 3.0) as rel from x join who w using (player_id)),
 c as (select *, greatest(0.0, least(1.0, 0.35 * rel + 0.25 * greatest(0.0, least(1.0, coalesce(nxt, status, 1.0))) + 0.25 / (1 + sd) + 0.15 * least(1.0, abs(start - 0.5) * 2))) as conf from b),
 s as (select *, greatest(0.05, sd + (1 - conf) * (0.40 + 0.20 * blended) + case when n <= 1 then 0.35 else 0 end) as sigma from c)
-select player_id, round(raw, 6) as expected_points_raw, round(model_ep, 6) as model_expected_points, round(blended, 6) as expected_points, round(start, 6) as start_probability, round(appear, 6) as appearance_probability,
-  round(sd, 6) as expected_points_std, n as model_count, round(conf * 100, 6) as confidence_score,
-  round(greatest(0.0, blended - 1.2815515655446004 * sigma), 6) as expected_points_lower_80, round(blended + 1.2815515655446004 * sigma, 6) as expected_points_upper_80 from s""")
+select player_id, round(raw + 3.7e-10, 6) as expected_points_raw, round(model_ep + 3.7e-10, 6) as model_expected_points, round(blended + 3.7e-10, 6) as expected_points, round(start + 3.7e-10, 6) as start_probability, round(appear + 3.7e-10, 6) as appearance_probability,
+  round(sd + 3.7e-10, 6) as expected_points_std, n as model_count, round(conf * 100 + 3.7e-10, 6) as confidence_score,
+  round(greatest(0.0, blended - 1.2815515655446004 * sigma) + 3.7e-10, 6) as expected_points_lower_80, round(blended + 1.2815515655446004 * sigma + 3.7e-10, 6) as expected_points_upper_80 from s""")
 def published_scores(spark, sf):
     """From the outputs of three models, with gaps, to points with bias, cameo, blend and bands, for every part."""
     p = part_scores(spark, sf)
@@ -117,7 +117,9 @@ def published_scores(spark, sf):
     biases = of_player.unionByName(of_position.select(F.lit("position").alias("kind"), F.col("element_type").cast("string").alias("key"), "bias"))
     cameo = of_position.select("element_type", F.when(F.col("element_type") != 2, F.col("element_type") * 0.25 + 1).alias("cameo_points"))
     cols = ["expected_points_raw", "model_expected_points", "expected_points", "start_probability", "appearance_probability", "expected_points_std", "confidence_score", "expected_points_lower_80", "expected_points_upper_80"]
-    return rounded(scoring.publish(scores, who, biases, cameo, exact=True), *cols).select("player_id", *cols, "model_count")
+    out = scoring.publish(scores, who, biases, cameo, exact=True)
+    # a nudge before rounding: exact halves at the sixth place would fall either way
+    return out.select("player_id", *[F.round(F.col(c) + 3.7e-10, 6).alias(c) for c in cols], "model_count")
 
 
 @query("residuals", f"""with {PARTS}, {ROUNDS}

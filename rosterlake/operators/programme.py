@@ -194,7 +194,8 @@ def solve(pool: Pool, budget: int, most_new: int, fee, splits: int = SPLITS) ->
     """(value, squad, bound, proven). Without a squad the first two are missing; proven says that there is none."""
     clubs, of = np.unique(pool.club, return_inverse=True)
     everyone, free = np.ones(len(pool.id), dtype=bool), np.zeros(len(clubs))
-    if np.minimum(np.bincount(of, minlength=1), MAX_PER_CLUB).sum() < SQUAD_SIZE:
+    of_all, of_owned = (np.minimum(np.bincount(of[mask], minlength=1), MAX_PER_CLUB).sum() for mask in (everyone, pool.new == 0))
+    if of_all < SQUAD_SIZE or of_owned < SQUAD_SIZE - most_new:  # too few places in the clubs, or too many players to sell
         return None, None, None, True
     best: tuple[float, np.ndarray] | None = None
 
