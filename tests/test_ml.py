@@ -101,7 +101,8 @@ def test_neural_folds_and_their_metric_in_sql(rows, tmp_path):
     sql = f"""select fold, avg(r) from (select fold, starts, avg((prediction = starts)::int) as r from '{path}/*.parquet' group by 1, 2) group by 1 order by 1"""
     again = duckdb.sql(sql).fetchall()
     assert [f for f, _ in again] == [1, 2] and [r for _, r in again] == pytest.approx(found.scores, abs=0.02)
-    standard = found.model.stages[1].transform(found.model.stages[0].transform(rows)).select(ml.vector_to_array("features").alias("f"))
+    learned_from = ml.resampled(rows, "starts", "season_weight")
+    standard = found.model.stages[1].transform(found.model.stages[0].transform(learned_from)).select(ml.vector_to_array("features").alias("f"))
     means = standard.agg(F.avg(F.col("f")[0]), F.stddev_samp(F.col("f")[0])).first()
     assert means[0] == pytest.approx(0.0, abs=1e-9) and means[1] == pytest.approx(1.0)
     ml.save_models([found], str(tmp_path))
