@@ -9,12 +9,15 @@ A position's candidates are taken in falling order of points, so that the first
 keeps, for each number of chosen players, of newcomers and each price, the best value. Positions are joined over all
 formations and captains. The club limit is left out of the programme: prices on clubs (Lagrange multipliers) move the bound
 down and give first squads, then problems in which a club has too many are split by leaving one of four of its players out,
-best bound first, until the bound is reached.
+best bound first, until the bound is reached. Where a problem has no more than ``LISTED`` squads, they are all listed instead.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+import math
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -33,6 +36,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Problems split off at most before the best squad so far is returned with its distance from the bound.
 SPLITS = 200
+#: Positions with at most so many choices of their quota have them listed, instead of counted up price by price.
+CHOICES = 1_000
+#: Problems with at most so many squads are solved by listing them.
+LISTED = 20_000
 _ROUNDS = 30
 _EPS = 1e-9
 _FULL_CLUBS = (SQUAD_SIZE - 1) // MAX_PER_CLUB
@@ -83,6 +90,13 @@ class Pool:
         return keep
 
 
+@functools.lru_cache(maxsize=256)
+def _choices(n: int, quota: int) -> np.ndarray:
+    """All choices of ``quota`` out of n, those without the last ones first."""
+    rows = np.array(sorted(itertools.combinations(range(n), quota), key=lambda c: c[::-1]), dtype=np.int64)
+    return rows.reshape(len(rows), quota)
+
+
 class Position:
     """The best value of every choice of a position's quota, by newcomers (axis 0), variant and most money spent (last axis).
     A variant is (starters, whether the captain is among them); the k-th best of a choice counts ``weights[k]`` times."""
@@ -92,6 +106,10 @@ class Position:
         self.variants = [(n, captain) for n in starters for captain in (False, True)]
         weights = np.array([[1.0] * n + [BENCH_WEIGHT] * (quota - n) for n, _ in self.variants])
         weights[:, 0] += [captain for _, captain in self.variants]
+        self.rows = _choices(len(at), quota) if math.comb(len(at), quota) <= CHOICES and np.isfinite(pool.points[at]).all() else None
+        if self.rows is not None:
+            self._list(weights, budget, most_new, charge)
+            return
         held = np.full((quota + 1, most_new + 1, len(self.variants), budget + 1), -np.inf)
         held[0, 0] = 0.0
         self.taken = np.zeros((len(at), *held.shape), dtype=bool)
@@ -108,11 +126,26 @@ class Position:
                 self.taken[row, k + 1, n:, :, price:] = better
         self.best = held[quota]
 
+    def _list(self, weights: np.ndarray, budget: int, most_new: int, charge: np.ndarray) -> None:
+        players = self.at[self.rows]
+        self.cost, self.new = self.pool.price[players].sum(axis=1), self.pool.new[players].sum(axis=1)
+        self.gain = self.pool.points[players] @ weights.T - charge[players].sum(axis=1)[:, None]
+        self.best = np.full((most_new + 1, len(weights), budget + 1), -np.inf)
+        for n in range(most_new + 1):
+            rising = np.flatnonzero(self.new == n)
+            rising = rising[np.argsort(self.cost[rising], kind="stable")]
+            upto = np.vstack((np.full(len(weights), -np.inf), np.maximum.accumulate(self.gain[rising], axis=0)))
+            self.best[n] = upto.T[:, np.searchsorted(self.cost[rising], np.arange(budget + 1), side="right")]
+
     def values(self, starters: int, captain: bool) -> np.ndarray:
         return self.best[:, self.variants.index((starters, captain))]
 
     def picks(self, starters: int, captain: bool, new: int, money: int) -> list[int]:
         out, k, v = [], self.quota, self.variants.index((starters, captain))
+        if self.rows is not None:
+            open_to = (self.new == new) & (self.cost <= money)
+            row = np.flatnonzero(open_to & (self.gain[:, v] >= self.best[new, v, money] - _EPS))[0]
+            return self.at[self.rows[row]][::-1].tolist()
         for row in range(len(self.at) - 1, -1, -1):
             if k and self.taken[row, k, new, v, money]:
                 i = int(self.at[row])
@@ -190,8 +223,64 @@ def value_of(pool: Pool, squad: np.ndarray) -> tuple[float, int]:
     return value, -number
 
 
-def solve(pool: Pool, budget: int, most_new: int, fee, splits: int = SPLITS) -> tuple[float | None, np.ndarray | None, float | None, bool]:
+def _crossed(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Every choice of the first with every choice of the second, by their newcomers."""
+    out: list[list[np.ndarray]] = [[] for _ in a]
+    for s, x in enumerate(a):
+        for t, y in enumerate(b[: len(a) - s]):
+            if len(x) and len(y):
+                out[s + t].append(np.hstack((np.repeat(x, len(y), axis=0), np.tile(y, (len(x), 1)))))
+    width = a[0].shape[1] + b[0].shape[1]
+    return [np.vstack(rows) if rows else np.empty((0, width), dtype=np.int64) for rows in out]
+
+
+def squads_of(pool: Pool, most_new: int, limit: int) -> list[np.ndarray] | None:
+    """All choices that fill the quota, by their newcomers, a position's players in falling order of points; none if there
+    are more than ``limit``."""
+    old, new = ([np.flatnonzero((pool.position == p) & (pool.new == n)) for p in SQUAD_QUOTA] for n in (0, 1))
+    most_new = min(most_new, int(pool.new.sum()))
+    ways = np.ones(1)
+    for quota, a, b in zip(SQUAD_QUOTA.values(), old, new):
+        of_position = [float(math.comb(len(b), s) * math.comb(len(a), quota - s)) for s in range(min(quota, most_new) + 1)]
+        ways = np.convolve(ways, of_position)[: most_new + 1]
+        if ways.sum() > limit:
+            return None
+    made = None
+    for quota, a, b in zip(SQUAD_QUOTA.values(), old, new):
+        choices = []
+        for s in range(most_new + 1):
+            rows = [x + y for x in itertools.combinations(a.tolist(), quota - s) for y in itertools.combinations(b.tolist(), s)] if s <= quota else []
+            choices.append(np.sort(np.array(rows, dtype=np.int64).reshape(len(rows), quota), axis=1))
+        made = choices if made is None else _crossed(made, choices)
+    return made
+
+
+def best_listed(pool: Pool, squads: list[np.ndarray], budget: int, fee) -> tuple[float, np.ndarray] | None:
+    """The best of these squads within budget and club limit."""
+    best = None
+    for new, rows in enumerate(squads):
+        rows = rows[pool.price[rows].sum(axis=1) <= budget]
+        clubs = np.sort(pool.club[rows], axis=1)
+        rows = rows[(clubs[:, MAX_PER_CLUB:] != clubs[:, :-MAX_PER_CLUB]).all(axis=1)]
+        if not len(rows):
+            continue
+        points = np.split(pool.points[rows], np.cumsum(list(SQUAD_QUOTA.values()))[:-1], axis=1)
+        upto = [np.cumsum(p, axis=1) for p in points]
+        eleven = np.max([sum(u[:, n - 1] for u, n in zip(upto, f)) for f in FORMATIONS], axis=0)
+        captain = np.max([p[:, 0] for p in points], axis=0)
+        values = eleven + captain + BENCH_WEIGHT * (sum(u[:, -1] for u in upto) - eleven) - fee(new)
+        top = int(values.argmax())
+        if best is None or values[top] > best[0] + _EPS:
+            best = float(values[top]), rows[top]
+    return best
+
+
+def solve(pool: Pool, budget: int, most_new: int, fee, splits: int = SPLITS, listed: int = LISTED) -> tuple[float | None, np.ndarray | None, float | None, bool]:
     """(value, squad, bound, proven). Without a squad the first two are missing; proven says that there is none."""
+    squads = squads_of(pool, most_new, listed) if np.isfinite(pool.points).all() and budget >= 0 and most_new >= 0 else None
+    if squads is not None:
+        found = best_listed(pool, squads, budget, fee)
+        return (*found, found[0], True) if found else (None, None, None, True)
     clubs, of = np.unique(pool.club, return_inverse=True)
     everyone, free = np.ones(len(pool.id), dtype=bool), np.zeros(len(clubs))
     of_all, of_owned = (np.minimum(np.bincount(of[mask], minlength=1), MAX_PER_CLUB).sum() for mask in (everyone, pool.new == 0))

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations, product
 
+import numpy as np
 import pytest
 
 from rosterlake.constants import FORMATIONS, MAX_PER_CLUB, SQUAD_QUOTA
@@ -114,3 +115,41 @@ def test_every_problem_has_a_row(spark):
     found = best_of(spark, rows, [(0, 130.0), (1, 100.0), (2, 100.0), (3, None)])
     assert {k: r.status for k, r in found.items()} == {0: "best", 1: "none", 2: "none", 3: "none"}
     assert best_of(spark, [], []) == {}
+
+
+def small_pool(seed: int, newcomers: int) -> programme.Pool:
+    rng = np.random.default_rng(seed)
+    position = np.repeat([1, 2, 3, 4], [2, 5, 5, 3])
+    position = np.concatenate((position, position))
+    new = np.repeat([0, newcomers], 15)
+    points = np.round(rng.uniform(1, 9, 30), 6)
+    order = np.lexsort((np.arange(30), -points, position))
+    pool = programme.Pool(np.arange(30), position, rng.integers(0, 7, 30), rng.integers(40, 140, 30), points, new)
+    return pool.take(order)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_small_problems_are_listed(monkeypatch, seed):
+    pool = small_pool(seed, 1)
+    fee = lambda n: 4.0 * max(0, n - 1)
+    budget = int(pool.price[pool.new == 0].sum()) + 15
+    by_price = programme.solve(pool, budget, 2, fee, listed=0)
+
+    def never(*_):
+        raise AssertionError("two transfers of fifteen players give some 1,600 squads at most")
+
+    monkeypatch.setattr(programme, "relaxed", never)
+    value, squad, bound, proven = programme.solve(pool, budget, 2, fee)
+    assert proven and by_price[3] and (value is None) == (by_price[0] is None)
+    if value is not None:
+        assert value == pytest.approx(by_price[0]) and set(squad) == set(by_price[1]) and bound == value
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_listed_positions_agree_with_the_count_by_price(monkeypatch, seed):
+    pool = small_pool(seed, 0)
+    budget = int(pool.price[:15].sum())
+    listed = programme.solve(pool, budget, 15, lambda n: 0.0)
+    monkeypatch.setattr(programme, "CHOICES", -1)
+    by_price = programme.solve(pool, budget, 15, lambda n: 0.0)
+    assert listed[3] and by_price[3] and listed[0] == pytest.approx(by_price[0]) and set(listed[1]) == set(by_price[1])
