@@ -24,7 +24,7 @@ HISTORY_ROW = _struct(
     **{s: (S if s in _TEXT_STATS else D) for s in BASE_STATS if s not in ("total_points",)},
 )
 HISTORY_DOCUMENT = _struct(
-    history=T.ArrayType(HISTORY_ROW), _fetched_ts=L, _history_season_codes=T.ArrayType(S), _history_seasons=I,
+    doc=S, history=T.ArrayType(HISTORY_ROW), _fetched_ts=L, _history_season_codes=T.ArrayType(S), _history_seasons=I,
 )
 
 ELEMENT = _struct(

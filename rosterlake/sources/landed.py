@@ -16,19 +16,19 @@ from rosterlake.operators.joins import side_value
 from rosterlake.operators.ordered import first_row
 
 _PLAYER_FILE = r"[/=]player_(\d+)\.json(?:/[^/]*)?$"
+_PLAYER_DOC = r"^player_(\d+)\.json$"
 
 
 def player_histories(
-    spark: SparkSession, path: str, roster: DataFrame | None = None, season: str | None = None
+    spark: SparkSession, path: str, roster: DataFrame | None = None, season: str | None = None, lines: bool = False
 ) -> DataFrame:
-    """Match rows of every ``player_<id>.json`` (A1), be it a file or a folder of part files. The id
-    comes from that name; other files and players outside the roster are left out (A2)."""
+    """Match rows of every ``player_<id>.json`` (A1), be it a file or a folder of part files, or with ``lines`` a
+    line that has the name in ``doc``: many players then share a file, which Spark can split. The id
+    comes from that name; other documents and players outside the roster are left out (A2)."""
+    name = F.regexp_extract("doc", _PLAYER_DOC, 1) if lines else F.regexp_extract(F.col("_metadata.file_path"), _PLAYER_FILE, 1)
     documents = (
-        spark.read.schema(schemas.HISTORY_DOCUMENT).option("multiLine", True).json(path)
-        .select(
-            F.regexp_extract(F.col("_metadata.file_path"), _PLAYER_FILE, 1).try_cast("bigint").alias("player_id"),
-            "history",
-        )
+        spark.read.schema(schemas.HISTORY_DOCUMENT).option("multiLine", not lines).json(path)
+        .select(name.try_cast("bigint").alias("player_id"), "history")
         .filter(F.col("player_id").isNotNull())
     )
     if roster is not None:

@@ -30,6 +30,28 @@ def test_histories_by_file_name_and_roster(spark, tmp_path):
     assert rows[0]["influence"] == 12.5 and rows[0]["expected_goals"] is None
 
 
+def test_histories_as_lines_that_name_their_documents(spark, tmp_path):
+    docs = [{"doc": f"player_{k}.json", "history": [row(1, 5), row(2, 3, season_name="2025-26")]} for k in (1, 999, "invalid")]
+    docs += [{"doc": "player_1.json", "history": [row(3, 2)]}, {"history": [row(4, 1)]}]
+    write(tmp_path / "part-0.json", "\n".join(map(json.dumps, docs)))
+    roster = spark.createDataFrame([(1,), (2,)], "player_id long")
+    rows = landed.player_histories(spark, str(tmp_path), roster, "2026-27", lines=True).orderBy("fixture").collect()
+    assert [(r["player_id"], r["total_points"], r["season_name"]) for r in rows] == [(1, 5.0, "2026-27"), (1, 3.0, "2025-26"), (1, 2.0, "2026-27")]
+    assert rows[0]["influence"] == 12.5 and rows[0]["expected_goals"] is None
+
+
+def test_landed_histories_write_no_file_per_player(spark, tmp_path, monkeypatch):
+    from rosterlake.catalog import landings
+
+    lines = [(k, k % 100, 1, 3.0, 0.05, "2020-01-02") for k in range(400)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_shipdate string").withColumn(
+        "l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, 1.0) for k in range(100)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(landings, "scratch", lambda _, name: str(tmp_path / name))
+    assert landings.landed_histories(spark, str(tmp_path)).count() == 400
+    assert len(list((tmp_path / "histories").rglob("part-*"))) < 50
+
+
 def bootstrap(**rules):
     limits = {"GKP": (2, 1, 1), "DEF": (5, 3, 5), "MID": (5, 2, 5), "FWD": (3, 1, 3)}
     return {
