@@ -49,9 +49,10 @@ class Encoder:
         self.shorter = {n: next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.rank), None) for t, n in self.rank.items()}
         self.automaton = ahocorasick.Automaton()
         for token, number in self.rank.items():
-            self.automaton.add_word(token.decode("latin-1"), (number, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), (number, len(token) - 1))
         self.automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.size = {number: len(token) for number, token in self.token.items()}
+        self._fits: dict[int, bool] = {}  # by left << 32 | right
         self._known: dict[str, bytes] = {}
         self._cuts: dict[str, bytes] = {}
         self._right: dict[int, list[tuple[int, float]]] = {}
@@ -82,7 +83,7 @@ class Encoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes leaves these two tokens apart."""
-        known = self._fits.get((left, right))
+        known = self._fits.get(left << 32 | right)
         if known is None:
             a = self._right.get(left)
             if a is None:
@@ -90,7 +91,7 @@ class Encoder:
             b = self._left.get(right)
             if b is None:
                 b = self._left[right] = self._edge(right, 0)
-            known = self._fits[left, right] = not any(self._crosses(x, y) for x in a for y in b)
+            known = self._fits[left << 32 | right] = not any(self._crosses(x, y) for x in a for y in b)
             if len(self._fits) > 2 * REMEMBERED:
                 self._fits.clear()
         return known
@@ -101,28 +102,36 @@ class Encoder:
         return merged is not None and merged < x[1] and merged <= y[1]
 
     def encode_match(self, match: str) -> list[int]:
-        data = match.encode("utf-8").decode("latin-1")
-        longest: list[tuple[int, int] | None] = [None] * len(data)
-        for end, found in self.automaton.iter(data):
-            longest[end - found[1] + 1] = found  # ends come in order, so the last one stored is the longest
+        data = match.encode("utf-8")
+        whole = self.rank.get(data)
+        if whole is not None:
+            return [whole]
+        longest = [0] * len(data)
+        for end, (number, before) in self.automaton.iter(data.decode("latin-1")):
+            longest[end - before] = number  # ends come in order, so the last one stored is the longest
         out: list[int] = []
-        token = self.token
-        at, dead, size = 0, set(), len(data)
-        number = longest[0][0]
+        size, shorter, known, fits = self.size, self.shorter, self._fits, self.fits
+        at, dead, until = 0, set(), len(data)
+        number, left = longest[0], None
         while True:
-            end = at + len(token[number])
-            if end not in dead and (not out or self.fits(out[-1], number)):
+            end = at + size[number]
+            if left is None:
+                good = True
+            else:
+                good = known.get(left << 32 | number)
+                if good is None:
+                    good = fits(left, number)
+            if good and end not in dead:
                 out.append(number)
-                at = end
-                if at == size:
+                if end == until:
                     return out
-                number = longest[at][0]
+                at, left, number = end, number, longest[end]
                 continue
-            while (shorter := self.shorter[number]) is None:
+            while (less := shorter[number]) is None:
                 dead.add(at)
                 number = out.pop()
-                at -= len(token[number])
-            number = shorter
+                at -= size[number]
+            number, left = less, out[-1] if out else None
 
     def _matches(self, text: str) -> bytes:
         known, found = self._known, []
@@ -177,8 +186,9 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern, cut)
+        pa.default_memory_pool().release_unused()  # a worker that ran another operator before keeps its buffers otherwise
         for batch in batches:
-            for part in slices(batch, column, 4 << 20):
+            for part in slices(batch, column, 1 << 20):
                 ids = [coder.encode(text) if text else b"" for text in part[column].to_pylist()]
                 new = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decode:

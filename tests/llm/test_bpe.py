@@ -55,3 +55,9 @@ def test_nulls_empty_repeats_and_clashing_columns(spark, library):
     assert [r.n_tokens for r in got] == [len(library.encode_ordinary(t)) for t in ("é", "", "", "Hello  world\n", "Hello  world\n")]
     assert [bytes(r.decoded).decode() for r in got] == ["é", "", "", "Hello  world\n", "Hello  world\n"]
     assert bpe.encode(docs.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_a_match_that_is_a_token_is_not_searched(monkeypatch, coder, library):
+    monkeypatch.setattr(coder, "automaton", None)
+    for match in (" the", "a", "é"):
+        assert [coder.encode_match(match)] == [library.encode_ordinary(match)]
