@@ -72,13 +72,21 @@ def _hot(df: DataFrame, keys: Sequence[str], hot: bool | None) -> tuple[bool, in
 def is_hot(df: DataFrame, keys: Sequence[str], distinct: str | None = None) -> bool:
     """Whether a group is over the limit. For several ordered operators on the same groups,
     ask once and pass the answer on. With ``distinct``, groups are counted after removing
-    duplicates of that column; an estimate is enough, as both plans give the same rows."""
+    duplicates of that column; an estimate is enough, as both plans give the same rows. A sketch of a
+    group is far larger than its count, so only groups with more rows than the limit get one."""
     limit = setting(df.sparkSession, MAX_GROUP_ROWS)
     if df.count() <= limit:
         return False
     if distinct is None:
         return group_sizes(df, keys)[1] > limit
-    estimate = df.groupBy(*keys).agg(F.approx_count_distinct(distinct).alias("n")).agg(F.max("n")).first()[0]
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    large = pin(large.select(*[F.col(k).alias(f"_l_{k}") for k in keys]))  # fewer than rows / limit
+    if large.isEmpty():
+        return False
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_l_{k}"))
+    estimate = df.join(large, same, "left_semi").groupBy(*keys).agg(F.approx_count_distinct(distinct).alias("n")).agg(F.max("n")).first()[0]
     return (estimate or 0) * 1.2 > limit
 
 

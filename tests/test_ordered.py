@@ -119,3 +119,18 @@ def test_bounded_scan_is_the_sequential_fold(spark):
             if r.gameweek + 1 == 700:
                 free = min(5, max(free, 4))
             assert got[r.gameweek] == (before, free)
+
+
+def test_distinct_sizes_are_estimated_for_large_groups_alone(spark, hot, monkeypatch):
+    rows = [(t, f, p) for t in range(5) for f in range(2) for p in range(1)] + [(None, f, p) for f in range(2) for p in range(4)]
+    df = spark.createDataFrame(rows, "team int, fixture int, player int")
+    counted = []
+
+    def estimated(column, real=F.approx_count_distinct):
+        counted.append(column)
+        return real(column)
+
+    monkeypatch.setattr(F, "approx_count_distinct", estimated)
+    assert not o.is_hot(df.filter("team is not null"), ["team"], "fixture") and not counted
+    assert not o.is_hot(df, ["team"], "fixture") and counted  # eight rows, but two matches
+    assert o.is_hot(df, ["team"], "player")  # four players
