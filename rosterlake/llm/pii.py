@@ -3,13 +3,13 @@
 Generators of high recall propose spans that may overlap: written-out addresses, numbers that could be phones, cards or
 network addresses. A candidate is confirmed when the strict pattern of its own kind finds the same span, and ruled out when
 it fails a check or is plainly something else (a version, page, date, ISBN, list of numbers). The rest, plausible and found
-by no strict pattern, has no label. Boosted trees learn confirmed against ruled out on a bounded sample with a share for each
-kind and label, from grouping and context: what only the strict pattern asks for (@, +, check digits, octets) is hidden from
-them. A kind's threshold is set on held-out candidates, weighted back to the whole table, so that at least ``PRECISION`` of
-those above it are confirmed. Plausible candidates above it that no base span touches are added.
+by no strict pattern, has no label. Boosted trees learn confirmed against ruled out on three quarters of all such candidates,
+weighted by kind and label, from grouping and context: what only the strict pattern asks for (@, +, check digits, octets) is
+hidden from them. A kind's threshold is set on the other quarter, held out of the fit, so that at least ``PRECISION`` of those
+above it are confirmed. Plausible candidates above it that no base span touches are added.
 
 Spans are counted in code points, end exclusive. A null text is an empty one. Repeated rows are judged each on their own.
-Where the sample holds no confirmed candidate, or no other, nothing can be learned and nothing is added. A kind whose threshold
+Where there is no confirmed candidate to learn from, or no other, nothing can be learned and nothing is added. A kind whose threshold
 fewer than ``LEAST_SHOWN`` held-out candidates support gets none, and nothing of it is added: what the trees add depends on how
 much the table shows them, so the same text can gain a span in a large table and none in a small one. Base spans do not.
 Base patterns are matched, and candidates held against base spans, in time proportional to the text (but for a logarithm),
@@ -33,7 +33,7 @@ from rosterlake.llm.words import slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "email_like", "ip_like", "card_like", "phone_like")
-#: Candidates that the trees learn from, at most (expected number, by a hash of place and text), the same for each kind and label.
+#: What all learned candidates weigh at most, the same for each kind and label; however little they weigh, none is left out.
 SAMPLE_ROWS = 50_000
 TREES, DEPTH = 10, 4
 #: Of held-out candidates above a kind's threshold, the share that must be confirmed; and how many there must be.
@@ -229,33 +229,32 @@ def select(found: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame | None
     counts = {(r.kind, r.confirmed): r.n for r in found.filter(labelled).groupBy("kind", "confirmed").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len({c for _, c in counts}) < 2:
         return None
-    scale = 1 << 30
-    draw = F.pmod(F.xxhash64("row", "start", "end", "kind"), F.lit(scale))
-    # the share of each kind and label: rare ones are taken whole, frequent ones don't fill the sample
-    shares = {f"{kind} {str(c).lower()}": min(1.0, sample_rows / (2 * len(GENERATORS)) / n) for (kind, c), n in counts.items()}
-    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.concat_ws(" ", "kind", F.col("confirmed").cast("string")))
-    ready = found.withColumns({"vector": array_to_vector("features"), "label": F.col("confirmed").cast("double"), "_draw": draw})
-    # a quarter of the sample is kept out of the fit and sets the thresholds
-    drawn = ready.filter(labelled).withColumn("_share", share).filter(F.col("_draw") < F.col("_share") * scale)
-    sample = written(drawn.select("vector", "label", "kind", (1 / F.col("_share")).alias("weight"), (F.col("_draw") % 4 == 0).alias("held")), "candidates")
-    if sample.filter("not held").select("label").distinct().count() < 2:
+    # all of them are learned from; those of a frequent kind and label weigh less, so that rare ones count beside them
+    weights = {f"{kind} {str(c).lower()}": min(1.0, sample_rows / (2 * len(GENERATORS)) / n) for (kind, c), n in counts.items()}
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.concat_ws(" ", "kind", F.col("confirmed").cast("string")))
+    ready = found.withColumns({"vector": array_to_vector("features"), "label": F.col("confirmed").cast("double")})
+    # a quarter is kept out of the fit and sets the thresholds
+    held = F.pmod(F.xxhash64("row", "start", "end", "kind"), F.lit(4)) == 0
+    known = ready.filter(labelled)
+    learned = known.filter(~held).select("vector", "label", weight.alias("weight"))
+    if learned.select("label").distinct().count() < 2:
         return None
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3)
-    model = trees.fit(sample.filter("not held"))
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3)
+    model = trees.fit(learned)
     score = F.round(vector_to_array("probability")[1], 3)
-    shown = model.transform(sample.filter("held")).select("kind", score.alias("score"), "label", "weight").groupBy("kind", "score").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("stands_for"), F.sum(F.col("weight") * F.col("label")).alias("good")
+    shown = model.transform(known.filter(held)).select("kind", score.alias("score"), "label").groupBy("kind", "score").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")
     )
     limits: dict[str, float] = {}
     by_kind: dict[str, list] = {}
     for r in shown.collect():  # at most a thousand scores a kind
         by_kind.setdefault(r.kind, []).append(r)
     for kind, rows in by_kind.items():
-        n_above = all_above = good_above = 0.0
+        n_above = good_above = 0.0
         falling = sorted(rows, key=lambda r: -r.score)
         for r, below in zip(falling, [*(x.score for x in falling[1:]), 0.0]):
-            n_above, all_above, good_above = n_above + r.n, all_above + r.stands_for, good_above + r.good
-            if n_above >= LEAST_SHOWN and good_above >= PRECISION * all_above and r.score >= 0.5:
+            n_above, good_above = n_above + r.n, good_above + r.good
+            if n_above >= LEAST_SHOWN and good_above >= PRECISION * n_above and r.score >= 0.5:
                 limits[kind] = max(0.5, (r.score + below) / 2)  # no held-out one lies between
     if not limits:
         return None
