@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from rosterlake.llm.runtime import extended, ship
 from rosterlake.llm.words import slices
 
-#: Distinct matches, and distinct cuts, whose ids a worker remembers; beyond it the memory is emptied and filled again.
-REMEMBERED = 150_000
+#: Distinct matches, and distinct cuts, whose ids a worker remembers; beyond it those not met for longest are forgotten.
+REMEMBERED = 300_000
 
 
 #: No match of the usual byte-level patterns reaches over a single space between two characters that aren't white space:
@@ -31,6 +32,28 @@ REMEMBERED = 150_000
 CUT = r"(?<=\S) (?=\S)"
 
 
+class Memory:
+    """Ids by text, in two halves: what is met again moves to the newer one, and when that is full the older one is dropped."""
+
+    def __init__(self):
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        ids = self.newer.get(key)
+        if ids is None:
+            ids = self.older.get(key)
+            if ids is not None:
+                self.put(key, ids)
+        return ids
+
+    def put(self, key: str, ids: bytes) -> None:
+        if len(key) <= 64:
+            if len(self.newer) >= REMEMBERED // 2:
+                self.older, self.newer = self.newer, {}
+            self.newer[key] = ids
+
+
 class Encoder:
     """Ranks from a file of ``base64-token rank`` lines."""
 
@@ -53,8 +76,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.size = {number: len(token) for number, token in self.token.items()}
         self._fits: dict[int, bool] = {}  # by left << 32 | right
-        self._known: dict[str, bytes] = {}
-        self._cuts: dict[str, bytes] = {}
+        self._known, self._cuts = Memory(), Memory()
         self._right: dict[int, list[tuple[int, float]]] = {}
         self._left: dict[int, list[tuple[int, float]]] = {}
 
@@ -92,7 +114,7 @@ class Encoder:
             if b is None:
                 b = self._left[right] = self._edge(right, 0)
             known = self._fits[left << 32 | right] = not any(self._crosses(x, y) for x in a for y in b)
-            if len(self._fits) > 2 * REMEMBERED:
+            if len(self._fits) > REMEMBERED:
                 self._fits.clear()
         return known
 
@@ -134,41 +156,93 @@ class Encoder:
             number, left = less, out[-1] if out else None
 
     def _matches(self, text: str) -> bytes:
-        known, found = self._known, []
-        for match in self.pattern.findall(text):
+        return self._joined(self.pattern.findall(text))
+
+    def _joined(self, matches: list[str]) -> bytes:
+        known = self._known
+        if len(matches) == 1:  # its cut is remembered, so it need not be
+            return known.get(matches[0]) or self._packed(matches[0])
+        found = []
+        for match in matches:
             ids = known.get(match)
             if ids is None:
-                ids = np.asarray(self.encode_match(match), dtype="<u4").tobytes()
-                _remember(known, match, ids)
+                ids = self._packed(match)
+                known.put(match, ids)
             found.append(ids)
         return b"".join(found)
 
+    def _packed(self, match: str) -> bytes:
+        ids = self.encode_match(match)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of cuts, each with the space before it, by one search: a match that begins with a space begins a cut."""
+        cuts: list[list[str]] = []
+        for match in self.pattern.findall(" " + " ".join(words)):
+            if match[0] == " ":
+                cuts.append([match])
+            else:
+                cuts[-1].append(match)
+        out = {}
+        for word, matches in zip(words, cuts, strict=True):
+            out[word] = ids = self._joined(matches)
+            self._cuts.put(word, ids)
+        return out
+
+    def _words(self, text: str) -> bytes:
+        """The same as cutting at ``CUT``, by a plain split: words with white space at an edge, or without characters, stay
+        with the neighbour beyond it."""
+        words = text.split(" ")
+        found = list(map(self._cuts.newer.get, words))
+        found[0] = None
+        new, edged, glued = [], [], set()  # places of unknown words, of edged ones, and of words that stay with the one before
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                if i and (ids := self._cuts.get(word)) is not None:
+                    found[i] = ids
+                    continue
+                first = not word or word[0].isspace()
+                last = not word or word[-1].isspace()
+                if first:
+                    glued.add(i)
+                if last:
+                    glued.add(i + 1)
+                if i:
+                    (edged if first or last else new).append(i)
+        if new:
+            known = self._new(list(dict.fromkeys(words[i] for i in new)))
+            for i in new:
+                found[i] = known[words[i]]
+        glued -= {0, len(words)}
+        for i in sorted(glued):
+            if i - 1 in glued:
+                continue
+            end = i + 1
+            while end in glued:
+                end += 1
+            run = " ".join(words[i - 1 : end])
+            found[i - 1 : end] = [self._matches(" " + run if i > 1 else run)] + [b""] * (end - i)
+        if found[0] is None:
+            found[0] = self._matches(words[0])
+        for i in edged:
+            if found[i] is None:
+                found[i] = self._matches(" " + words[i])
+        return b"".join(found)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.cut is None:
             return self._matches(text)
+        if self.cut.pattern == CUT:
+            return self._words(text)
         first, *rest = self.cut.split(text)
-        cuts = self._cuts
-        found = [self._matches(first)]
-        for part in rest:
-            ids = cuts.get(part)
-            if ids is None:
-                ids = self._matches(" " + part)
-                _remember(cuts, part, ids)
-            found.append(ids)
-        return b"".join(found)
+        return b"".join([self._matches(first), *(self._matches(" " + part) for part in rest)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _remember(known: dict[str, bytes], key: str, ids: bytes) -> None:
-    if len(key) <= 64:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[key] = ids
-
-
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str, cut: str | None) -> Encoder:
     return Encoder(path, pattern, cut)

@@ -61,3 +61,16 @@ def test_a_match_that_is_a_token_is_not_searched(monkeypatch, coder, library):
     monkeypatch.setattr(coder, "automaton", None)
     for match in (" the", "a", "é"):
         assert [coder.encode_match(match)] == [library.encode_ordinary(match)]
+
+
+def test_words_met_again_are_not_encoded_again(monkeypatch, library):
+    """Words in steady use stay known while rare ones pass through a small memory."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    coder, met = bpe.Encoder(PATH, public_tokenizers.PATTERN), []
+    searched = coder.encode_match
+    monkeypatch.setattr(coder, "encode_match", lambda match: met.append(match) or searched(match))
+    for i in range(100):
+        text = f"x frequentword{' ' * (i % 3)} rare{'abcdefghij'[i % 10]}q{'klmnopqrst'[i // 10]}z,\n\nothers \n "
+        assert ids(coder.encode(text)) == library.encode_ordinary(text)
+        assert ids(coder.encode(f"a frequentword {'zq' * (i % 7 + 1)}{i}")) == library.encode_ordinary(f"a frequentword {'zq' * (i % 7 + 1)}{i}")
+    assert met.count(" frequentword") <= 2
