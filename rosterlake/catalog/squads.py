@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rosterlake.catalog.base import (
     FORMATION_ROWS, LINEUP, PARTS, ROUNDS, SQUADS, orders_panel, part_rounds, part_scores, query, r6, rounded, squads, table,
 )
 from rosterlake.catalog.summaries import chip_column
+from rosterlake.constants import SQUAD_SIZE
 from rosterlake.functions.numbers import flag
 from rosterlake.functions.players import captain_score
 from rosterlake.operators import ledger, squad as sq
@@ -15,6 +18,7 @@ from rosterlake.operators.joins import pair_by_rank
 from rosterlake.operators.ordered import numbered, top_rows
 from rosterlake.operators.programme import best_squads
 from rosterlake.plans.analysis import analysis_context
+from rosterlake.session import stored
 
 SQUAD = ["squad_id"]
 
@@ -503,13 +507,18 @@ def price_sweep_selection(spark, sf):
 # --- transition form: each complete squad against the best of every position and price band -----------------------
 
 IN_BAND = 10
+SQUADS_A_TASK = 500
 
 
 def newcomers(spark, sf, owned):
-    """For each squad the ten best parts of every position and whole million of price."""
+    """For each squad the ten best parts of every position and whole million of price. The few best are a table of known size,
+    so every task of the squads reads them and no position's squads gather in one."""
     banded = part_scores(spark, sf).withColumn("_band", F.floor("now_cost_millions"))
-    best = top_rows(banded, ["element_type", "_band"], ["-expected_points", "player_id"], IN_BAND).drop("_band")
-    return owned.select("problem_id", "element_type").distinct().join(best, "element_type")
+    best = stored(top_rows(banded, ["element_type", "_band"], ["-expected_points", "player_id"], IN_BAND).drop("_band"), "best-parts")
+    tasks = math.ceil(table(spark, sf, "part").count() / (SQUAD_SIZE * SQUADS_A_TASK))  # a count from the file footers
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)
+    wanted = owned.select("problem_id", "element_type").repartition(tasks, "problem_id").distinct()
+    return wanted.join(best, "element_type")
 
 
 @query("swap_sweep", f"""with {SQUADS},
