@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.constants import CORRELATION_THRESHOLD, MIN_VARIANCE
 from rosterlake.operators.panel import forward_folds, recent_rows
+from rosterlake.session import stored
 
 
 def target_columns(minutes: str) -> dict[str, Column]:
@@ -212,13 +213,20 @@ def fit_candidate(
     return model_pipeline(candidate, kind, features, label, params, weight).fit(train)
 
 
+def with_fold(df: DataFrame, period: Sequence[str], folds: int) -> DataFrame:
+    """Every row with the fold of its period, 0 without one. The periods are stored: a table of known size, and a small one, does
+    not make Spark shuffle the rows in each of the many passes that training takes over them."""
+    periods = stored(forward_folds(df, period, folds), "folds")
+    return df.join(periods, list(period), "left").withColumn("fold", F.coalesce("fold", F.lit(0)))
+
+
 def fold_predictions(
     df: DataFrame, candidate: Candidate, kind: str, features: Sequence[str], label: str, period: Sequence[str],
     params: dict | None = None, weight: str | None = None, folds: int = 3,
 ) -> DataFrame:
     """Every row of the test folds with the prediction of the model fitted on all earlier folds, and its ``fold``: what the
     metrics of the search are made of. A fold whose past has one class only, or no row, has no predictions."""
-    placed = df.join(forward_folds(df, period, folds), list(period), "left").withColumn("fold", F.coalesce("fold", F.lit(0)))
+    placed = with_fold(df, period, folds)
     classes = {r.fold: r.classes for r in placed.groupBy("fold").agg(F.countDistinct(label).alias("classes")).collect()}  # one row a fold
     out = None
     for fold in range(1, folds + 1):
@@ -331,9 +339,7 @@ def search(
     if selection_rows is not None and kind != "classifier":
         raise ValueError("only the search of a classifier may be bounded to recent rows")
     sample = df if selection_rows is None else recent_rows(df, order or period, selection_rows)
-    with_folds = sample.join(forward_folds(sample, period, folds), list(period), "left").withColumn(
-        "fold", F.coalesce("fold", F.lit(0))
-    ).persist()
+    with_folds = with_fold(sample, period, folds).persist()
     try:
         sizes = {
             r["fold"]: (r["n"], r["classes"])

@@ -53,3 +53,15 @@ def test_swaps_are_searched_for_once(spark):
     assert first.price_level == second.price_level and (first.out_id, first.in_id) != (second.out_id, second.in_id)
     assert first.net_gain == second.net_gain == pytest.approx(first.delta + second.delta - 4)
     assert first.in_price + second.in_price - first.sale_value - second.sale_value <= 1.5
+
+
+def test_folds_do_not_shuffle_the_rows(spark):
+    rows = spark.range(200_000).select("id", (F.col("id") % 9).alias("period"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        placed = ml.with_fold(rows, ["period"], 2)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {(r.period, r.fold) for r in placed.select("period", "fold").distinct().collect()} == {(p, 0 if p < 3 else p // 3) for p in range(9)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
