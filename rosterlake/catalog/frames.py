@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.catalog.base import PARTS, query
@@ -60,9 +60,20 @@ def _checksums(frame: str, columns: list[str]) -> str:
     return f"select name, round(total, 6) as total from (unpivot (select count(*)::double as n_rows, {sums} from {frame}) on columns(*) into name name value total)"
 
 
+def _rounded_sum(c: str) -> Column:
+    """The sum of a column's values rounded at 6 places. Millionths are whole numbers, so they are counted as such: only a value
+    that is large, or that may lie half-way between two of them, goes through a decimal."""
+    value = F.col(c).cast("double")
+    millionths = value * 1e6
+    plain = (F.abs(millionths) < 4e9) & (F.abs(millionths - F.floor(millionths) - 0.5) > 1e-3)
+    whole = F.sum(F.when(plain, F.floor(millionths + 0.5))).cast("decimal(20,0)") * F.lit(1e-6).cast("decimal(7,6)")
+    other = F.sum(F.when(~plain, F.round(value, 6).cast("decimal(20,6)")))
+    return F.coalesce(whole + other, whole, other).cast("double")
+
+
 def checksums(frame: DataFrame, columns: list[str]) -> DataFrame:
     """(name, total): the rows, and the sum of every column with its values rounded at 6 places."""
-    sums = [F.sum(F.round(F.col(c).cast("double"), 6).cast("decimal(20,6)")).cast("double").alias(c) for c in columns]
+    sums = [_rounded_sum(c).alias(c) for c in columns]
     totals = frame.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), *sums)
     return totals.unpivot([], ["n_rows", *columns], "name", "total").withColumn("total", F.round("total", 6))
 

@@ -65,3 +65,13 @@ def test_folds_do_not_shuffle_the_rows(spark):
         assert {(r.period, r.fold) for r in placed.select("period", "fold").distinct().collect()} == {(p, 0 if p < 3 else p // 3) for p in range(9)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_checksums_equal_the_sums_of_decimals(spark):
+    values = [0.0, 0.5e-6, 1.5e-6, -2.5e-6, 0.1234565, -0.1234575, 1 / 3, -2 / 3, 4_000.0000005, -4_000.5, 123_456_789.1234565, None, 1e-9, 90.0, 2.675]
+    df = spark.createDataFrame([(v, None, k) for k, v in enumerate(values)], "a double, b double, c int")
+    want = df.agg(*[F.sum(F.round(F.col(c).cast("double"), 6).cast("decimal(20,6)")).cast("double").alias(c) for c in "abc"]).first()
+    got = {r.name: r.total for r in frames.checksums(df, ["a", "b", "c"]).collect()}
+    assert got == {"n_rows": 15.0, "a": round(want.a, 6), "b": None, "c": 105.0}
+    plan = frames.checksums(df, ["a"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "4.0E9" in plan  # the decimal is left to values of 4,000 and more, and to halves
