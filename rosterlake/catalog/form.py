@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rosterlake.catalog.base import ENTITY, ORDERS, TIME, day, orders_panel, query, r6, rounded, table
@@ -101,9 +103,19 @@ match_rows as (
 )"""
 
 
+LINES_A_TASK = 500_000
+
+
+def dealt(spark, sf, df, key):
+    """By ``key`` into tasks that hold about as many lines at any size of the tables, however many tasks a shuffle has by default."""
+    tasks = math.ceil(table(spark, sf, "lineitem").count() / LINES_A_TASK)  # a count from the file footers
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks), key)
+
+
 def match_sides(spark, sf):
-    lines = table(spark, sf, "lineitem").join(
-        table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    lines = dealt(spark, sf, table(spark, sf, "lineitem"), "l_orderkey").join(
+        dealt(spark, sf, orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")
     ).groupBy(
         F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("team"),
         F.year("o_orderdate").alias("season_name"), "o_orderdate",
@@ -144,7 +156,8 @@ def team_form_dedup(spark, sf):
     # every match is there once per line of the order, as it would be once per player
     rows = match_rows(spark, sf)
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fixture"), "l_linenumber")
-    out = team_form(rows.join(lines, "fixture"), ["o_orderdate", "fixture"])
+    repeated = dealt(spark, sf, rows, "fixture").join(dealt(spark, sf, lines, "fixture"), "fixture")
+    out = team_form(repeated, ["o_orderdate", "fixture"])
     cols = ["team_goals_for_ma5", "team_goals_against_ma5", "team_match_points_ma5"]
     return rounded(out, *cols).select("season_name", "fixture", "team", *cols)
 

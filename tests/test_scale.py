@@ -67,6 +67,13 @@ def test_folds_do_not_shuffle_the_rows(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_matches_are_dealt_by_the_number_of_lines(spark, tables, monkeypatch):
+    before = {tuple(r) for r in form.team_form_dedup(spark, tables).collect()}
+    monkeypatch.setattr(form, "LINES_A_TASK", 100)
+    assert form.match_sides(spark, tables).rdd.getNumPartitions() == 40
+    assert {tuple(r) for r in form.team_form_dedup(spark, tables).collect()} == before and before
+
+
 def test_checksums_equal_the_sums_of_decimals(spark):
     values = [0.0, 0.5e-6, 1.5e-6, -2.5e-6, 0.1234565, -0.1234575, 1 / 3, -2 / 3, 4_000.0000005, -4_000.5, 123_456_789.1234565, None, 1e-9, 90.0, 2.675]
     df = spark.createDataFrame([(v, None, k) for k, v in enumerate(values)], "a double, b double, c int")
