@@ -138,5 +138,6 @@ def frame_assembly(spark, sf):
     """One row per player with the features of the next round; the rows and a sum of each column."""
     hist, elements, teams, fx = domain_tables(spark, sf)
     hist, elements = stored(spark, hist), stored_rows(spark, elements, "elements")
-    prepared = features.laid_out(features.prepare_history(hist, elements))
+    pieces = features.player_pieces(hist)
+    prepared = features.laid_out(features.prepare_history(hist, elements, pieces=pieces), pieces)
     return checksums(features.target_frame(prepared, elements, teams, fx, 7, 6), _TARGETED)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.constants import BASE_STATS, ROLLING_WINDOW, TEAM_STATS
@@ -14,18 +15,21 @@ from rosterlake.functions.seasons import season_start_year
 from rosterlake.operators.joins import fill_from, team_views
 from rosterlake.operators.ordered import first_row, is_hot, last_row, lookback, top_rows
 from rosterlake.operators.panel import form, prior_count, tail_mean
-from rosterlake.session import stored
+from rosterlake.session import stored, stored_by, with_setting
 
 HISTORY_ORDER = ["season_sort", "round", "kickoff_sort", "fixture"]
 MATCH_KEY = ["player_id", "fixture", "round", "season_name"]
 PLAYER_SEASON = ["player_id", "season_name"]
 
+# Rows in one piece of a panel laid out by player: at most about PIECE_ROWS, and no fewer than LEAST_ROWS for the sake of more tasks.
+PIECE_ROWS, LEAST_ROWS = 500_000, 50_000
 
-def add_sort_keys(hist: DataFrame) -> DataFrame:
+
+def add_sort_keys(hist: DataFrame, seasons: DataFrame | None = None) -> DataFrame:
     """Chronological keys: season year (an unknown season comes after the last one) and the
-    parsed kickoff."""
+    parsed kickoff. ``seasons`` are rows with the same seasons that are cheaper to read."""
     year = season_start_year("season_name")
-    unknown = hist.agg(F.max(year) + 1).scalar()
+    unknown = (hist if seasons is None else seasons).agg(F.max(year) + 1).scalar()
     kickoff = (
         F.try_to_timestamp(F.col("kickoff_time").cast("string"))
         if "kickoff_time" in hist.columns else F.lit(None).cast("timestamp")
@@ -125,14 +129,25 @@ def add_team_context(
     return hist.withColumn("_rival", rival).join(pairs, match, "left").drop("_rival")
 
 
+def player_pieces(hist: DataFrame) -> int | None:
+    """Into how many pieces by player a panel is to be laid out: their number follows the rows. None where one player has more
+    rows than a task should get."""
+    if is_hot(hist.filter(F.col("player_id").isNotNull()), ["player_id"]):
+        return None
+    rows, shuffles = hist.count(), int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(shuffles, math.ceil(rows / LEAST_ROWS)), math.ceil(rows / PIECE_ROWS))
+
+
 def prepare_history(
-    hist: DataFrame, elements: DataFrame, fixtures: DataFrame | None = None
+    hist: DataFrame, elements: DataFrame, fixtures: DataFrame | None = None, pieces: int | None = None
 ) -> DataFrame:
     """Types, sort keys, gaps filled from the roster, derived measures, position flags.
 
-    The club of a row is the row's own, else the fixture's side (V11), else the roster's.
+    The club of a row is the row's own, else the fixture's side (V11), else the roster's. With ``pieces`` the rows are dealt by
+    player before they meet the roster, so that they move once, and before the measures widen them.
     """
-    typed = hist.withColumns(
+    known = hist.filter(F.col("player_id").isNotNull() & F.col("season_name").isNotNull())
+    typed = known.withColumns(
         number_columns(BASE_STATS, hist)
     )
     if "team" not in typed.columns:
@@ -145,31 +160,30 @@ def prepare_history(
             "team",
             F.coalesce("team", F.when(F.col("was_home"), F.col("_h")).when(~F.col("was_home"), F.col("_a"))),
         ).drop("_h", "_a")
+    if pieces:
+        typed = typed.repartition(pieces, "player_id")
     roster = elements.select("player_id", F.col("team_id").alias("team"), "element_type")
     filled = fill_from(typed, roster, "player_id", ["team", "element_type"])
     difficulty = [c for c in ("fixture_difficulty", "difficulty") if c in filled.columns]
     return add_sort_keys(
-        filled.filter(F.col("player_id").isNotNull() & F.col("season_name").isNotNull()).withColumns(
+        filled.withColumns(
             {
                 **match_measures(filled.columns),
                 **position_flags("element_type"),
                 "fixture_difficulty": F.coalesce(*[to_number(c) for c in difficulty], F.lit(3.0)),
             }
-        )
+        ),
+        known,
     )
 
 
-def laid_out(prepared: DataFrame) -> DataFrame:
+def laid_out(prepared: DataFrame, pieces: int | None = None) -> DataFrame:
     """The prepared panel as a table in shared storage. Form, team context, counts and prices each read the few columns that
-    they need from it, and none prepares the history again. The projection is too long for one method that the JVM would compile,
+    they need from it, and none prepares the history again. A panel prepared in ``pieces`` is stored in them, so that form, counts
+    and prices by player shuffle nothing. The projection is too long for one method that the JVM would compile,
     so Spark is asked to split it while the table is written."""
-    spark, limit = prepared.sparkSession, "spark.sql.codegen.hugeMethodLimit"
-    before = spark.conf.get(limit)
-    spark.conf.set(limit, "8000")
-    try:
-        return stored(prepared, "panel")
-    finally:
-        spark.conf.set(limit, before)
+    with with_setting(prepared.sparkSession, "spark.sql.codegen.hugeMethodLimit", "8000"):
+        return stored_by(prepared, "panel", "player_id", pieces) if pieces else stored(prepared, "panel")
 
 
 def stat_names(prepared: DataFrame) -> list[str]:
@@ -262,19 +276,15 @@ def player_form(
     rows = top_rows(
         known.withColumn("_current", current), ["player_id"], newest_first, max(windows), "_back"
     )
-    # at most max(windows) rows per player are left here
-    newest = rows.filter(F.col("_back") == 1).select(
-        "player_id", F.col("season_name").alias("_season"), "was_home", "fixture_difficulty",
-        *[F.col(s).alias(f"{s}_lag1") for s in stats],
-    )
-    means = (
-        rows.select("player_id", "season_name", "_back", *stats)
-        .join(newest.select("player_id", "_season"), "player_id")
-        .filter(F.col("season_name") == F.col("_season"))
-        .groupBy("player_id")
-        .agg(*[F.avg(F.when(F.col("_back") <= w, F.col(s))).alias(f"{s}_ma{w}") for w in windows for s in stats])
+    # at most max(windows) rows per player are left here, the newest of all seasons; they are read once
+    newest = F.col("_back") == 1
+    of_player = rows.withColumn("_season", F.max(F.when(newest, F.col("season_name"))).over(Window.partitionBy("player_id")))
+    same = F.col("season_name") == F.col("_season")
+    return of_player.filter(F.col("player_id").isNotNull()).groupBy("player_id").agg(
+        *[F.max(F.when(newest, F.col(c))).alias(c) for c in ("was_home", "fixture_difficulty")],
+        *[F.max(F.when(newest, F.col(s))).alias(f"{s}_lag1") for s in stats],
+        *[F.avg(F.when(same & (F.col("_back") <= w), F.col(s))).alias(f"{s}_ma{w}") for w in windows for s in stats],
     )
-    return newest.drop("_season").join(means, "player_id")
 
 
 def entry_prices(prepared: DataFrame, next_round: int, season: str | None = None) -> DataFrame:
@@ -309,9 +319,9 @@ def target_frame(
     )
     joined = (
         roster.withColumns(position_flags("element_type"))
+        .join(target, "team_id", "left")  # by team while the rows are few columns wide
         .join(form_now.withColumn("was_home", F.col("was_home").cast("double")), "player_id", "left")
         .join(counts, "player_id", "left")
-        .join(target, "team_id", "left")
         .withColumns({c: F.coalesce(f"_t_{c}", c) for c in sided})
         .drop(*[f"_t_{c}" for c in sided])
     )

@@ -147,3 +147,40 @@ def test_season_helpers(spark):
         seasons.previous_season(F.lit("2000-01")).alias("c"), seasons.season_start_year(F.lit("n/a")).alias("d"),
     ).first()
     assert tuple(row) == ("2025-26", "2026-27", "1999-00", None)
+
+
+def panel_rows():
+    return [match(p, r, p * r % 7, season=s, fixture=100 * p + r) for p in (1, 2, 3) for s in ("2024-25", "2025-26") for r in range(1, 4 + p)]
+
+
+def test_a_panel_in_pieces_is_not_shuffled_again(spark, elements):
+    hist = spark.createDataFrame(panel_rows(), HIST)
+    assert features.player_pieces(hist) == 1
+    p = features.laid_out(features.prepare_history(hist, elements, pieces=3), 3)
+    for frame in (features.player_form(p, 3, "2025-26"), features.entry_prices(p, 2, "2025-26"), features.as_of(p, 3, "2025-26").groupBy("player_id").count()):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    plain = features.laid_out(features.prepare_history(hist, elements))
+    assert sorted(map(str, p.collect())) == sorted(map(str, plain.collect()))
+    assert "panel" not in " ".join(t.name for t in spark.catalog.listTables())
+
+
+def test_a_panel_in_pieces_gives_the_same_target_frame(spark, elements, teams):
+    hist, fx = spark.createDataFrame(panel_rows(), HIST), fixtures(spark, [(5, 5, 1, 2, 2, 4)])
+    frames = [
+        features.target_frame(features.laid_out(features.prepare_history(hist, elements, pieces=n), n), elements, teams, fx, 5, 4).orderBy("player_id").collect()
+        for n in (None, 3)
+    ]
+    assert frames[0] == frames[1] and [r["history_match_count"] for r in frames[0]] == [8, 9]
+
+
+def test_form_of_a_player_is_read_once(spark, elements):
+    p = features.prepare_history(spark.createDataFrame(panel_rows(), HIST), elements)
+    out = features.player_form(p, 4, "2025-26")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number() windowspecdefinition") == 1
+    row = out.filter("player_id = 3").first()  # rounds 1 to 4 are known; those of 2024-25 do not count
+    assert row["total_points_lag1"] == 5.0 and row["total_points_ma5"] == (3 + 6 + 2 + 5) / 4
+
+
+def test_a_player_with_too_many_rows_is_not_one_piece(spark, elements, teams, hot):
+    hist = spark.createDataFrame(panel_rows(), HIST)
+    assert features.player_pieces(hist) is None

@@ -281,3 +281,12 @@ def test_strict_load_and_identity_of_tagged_rows(spark, tmp_path):
         store.load_predictions(spark, f"{tmp_path}-plain", "2025-26")
     with pytest.raises(ValueError, match="roster"):
         store.tag_rows(p.withColumn("team_id", F.lit(9)), "2025-26", 5, p)
+
+
+def test_history_is_written_where_its_rows_are(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("player_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("season_name"))
+    history.write_history(rows, str(tmp_path))
+    files = [f for f in tmp_path.glob("season_name=*/*.parquet")]
+    assert len(files) == 12  # one for each of the four tasks and three seasons: none was dealt anew
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert sorted(r[0] for r in history.read_history(spark, str(tmp_path)).select("player_id").collect()) == list(range(400))
