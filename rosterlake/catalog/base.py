@@ -138,10 +138,10 @@ part_rounds as (
 )"""
 
 
-def squads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def squads(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> DataFrame:
     """Parts dealt into squads of 2/5/5/3 in id order inside each position."""
     quota = F.element_at(F.array(*[F.lit(q) for q in SQUAD_QUOTA.values()]), F.col("element_type"))
-    return numbered(part_scores(spark, sf_dir), ["element_type"], ["player_id"], "_no").withColumn(
+    return numbered(part_scores(spark, sf_dir) if scores is None else scores, ["element_type"], ["player_id"], "_no").withColumn(
         "squad_id", F.floor((F.col("_no") - 1) / quota)
     ).drop("_no")
 

@@ -15,8 +15,9 @@ from rosterlake.functions.numbers import flag
 from rosterlake.functions.players import captain_score
 from rosterlake.operators import ledger, squad as sq
 from rosterlake.operators.joins import pair_by_rank
-from rosterlake.operators.ordered import numbered, top_rows
+from rosterlake.operators.ordered import numbered
 from rosterlake.operators.programme import best_squads
+from rosterlake.operators.swaps import useful
 from rosterlake.plans.analysis import analysis_context
 from rosterlake.session import stored
 
@@ -504,17 +505,20 @@ def price_sweep_selection(spark, sf):
     return rounded(out, "squad_points", "squad_cost", "objective", "bound_points", "gap")
 
 
-# --- transition form: each complete squad against the best of every position and price band -----------------------
+# --- transition form: each complete squad against all parts ----------------------------------------------------------
 
-IN_BAND = 10
+SWAPS = 2
 SQUADS_A_TASK = 500
+_SCORED = ["player_id", "team_id", "element_type", "now_cost_millions", "expected_points"]
 
 
-def newcomers(spark, sf, owned):
-    """For each squad the ten best parts of every position and whole million of price. The few best are a table of known size,
-    so every task of the squads reads them and no position's squads gather in one."""
-    banded = part_scores(spark, sf).withColumn("_band", F.floor("now_cost_millions"))
-    best = stored(top_rows(banded, ["element_type", "_band"], ["-expected_points", "player_id"], IN_BAND).drop("_band"), "best-parts")
+def newcomers(spark, sf, owned=None, scores=None):
+    """The parts that a squad can come to swap for at some price of money, whatever it owns: one pool for all squads, or with
+    ``owned`` the same for each of them, in as many tasks as the squads need."""
+    scores = part_scores(spark, sf) if scores is None else scores
+    best = stored(useful(scores, [], PRICES, SWAPS).select(*_SCORED).distinct(), "best-parts")
+    if owned is None:
+        return best
     tasks = math.ceil(table(spark, sf, "part").count() / (SQUAD_SIZE * SQUADS_A_TASK))  # a count from the file footers
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)
     wanted = owned.select("problem_id", "element_type").repartition(tasks, "problem_id").distinct()
@@ -523,14 +527,13 @@ def newcomers(spark, sf, owned):
 
 @query("swap_sweep", f"""with {SQUADS},
 own as (select squad_id as problem_id, *, now_cost_millions - 0.1 as sale_value from owned),
-best as (select * from part_scores qualify row_number() over (partition by element_type, floor(now_cost_millions) order by expected_points desc, player_id) <= {IN_BAND}),
 lam(price_level) as (select unnest({PRICES}::double[])),
 club as (select problem_id, team_id, count(*) as n from own group by 1, 2),
 pairs as (
   select o.problem_id, price_level, o.player_id as out_id, o.team_id as out_club, i.player_id as in_id, i.team_id as in_club,
          coalesce(c.n, 0) as n, o.sale_value, i.now_cost_millions as in_price, i.expected_points - o.expected_points as delta,
          (i.expected_points - price_level * i.now_cost_millions) - (o.expected_points - price_level * o.sale_value) as v
-  from own o join best i using (element_type) cross join lam left join club c on c.problem_id = o.problem_id and c.team_id = i.team_id
+  from own o join part_scores i using (element_type) cross join lam left join club c on c.problem_id = o.problem_id and c.team_id = i.team_id
   where v > 0 and not exists (select 1 from own x where x.problem_id = o.problem_id and x.player_id = i.player_id)
 ),
 first as (select * from pairs where n - (out_club = in_club)::int < 3 qualify row_number() over (partition by problem_id, price_level order by v desc, out_id, in_id) = 1),
@@ -550,12 +553,13 @@ done as (select problem_id, price_level, swap_no, out_id, in_id, delta, net from
 select problem_id, price_level, swap_no, out_id, in_id, round(delta, 6) as delta, round(net, 6) as net_gain, case when swap_no is null then 'none found' else 'selected' end as status
 from (select distinct problem_id from own) left join done using (problem_id)""")
 def swap_sweep(spark, sf):
-    """Each complete squad may make two swaps."""
-    owned = sq.complete_squads(squads(spark, sf), SQUAD).withColumns(
+    """Each complete squad may make two swaps, with any part."""
+    scores = stored(part_scores(spark, sf).select(*_SCORED), "part-scores")  # one pass over the lines, for squads and newcomers
+    owned = sq.complete_squads(squads(spark, sf, scores), SQUAD).withColumns(
         {"problem_id": F.col("squad_id"), "sale_value": F.col("now_cost_millions") - 0.1}
     )
     banks = owned.select("problem_id").distinct().withColumn("bank", F.lit(1.5))
-    out = sq.sweep_swaps(owned, newcomers(spark, sf, owned), banks, PRICES, 2, 1)
+    out = sq.sweep_swaps(owned, newcomers(spark, sf, scores=scores), banks, PRICES, SWAPS, 1)
     return rounded(out.drop("sale_value", "in_price"), "delta", "net_gain")
 
 

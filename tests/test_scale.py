@@ -82,3 +82,63 @@ def test_checksums_equal_the_sums_of_decimals(spark):
     assert got == {"n_rows": 15.0, "a": round(want.a, 6), "b": None, "c": 105.0}
     plan = frames.checksums(df, ["a"])._jdf.queryExecution().optimizedPlan().toString()
     assert "4.0E9" in plan  # the decimal is left to values of 4,000 and more, and to halves
+
+
+def swaps_by_hand(owned, pool, bank, prices, max_swaps, free):
+    """All pairs of one squad, as the SQL lists them: (price, [(out, in)]) or nothing."""
+    best = None
+    clubs = [r[3] for r in owned]
+    for price in prices:
+        pairs = sorted(
+            (-((i[5] - price * i[4]) - (o[5] - price * o[6])), o[1], i[1], o[3], i[3], i[5] - o[5], i[4] - o[6])
+            for o in owned for i in pool if o[2] == i[2] and i[1] not in {r[1] for r in owned}
+        )
+        taken = []
+        for _ in range(max_swaps):
+            for p in pairs:
+                count = clubs.count(p[4]) + sum(t[4] == p[4] for t in taken) - sum(t[3] == p[4] for t in taken) - (p[3] == p[4])
+                if p[0] < 0 and count < 3 and not any(t[1] == p[1] or t[2] == p[2] for t in taken):
+                    taken.append(p)
+                    break
+        for k in range(1, len(taken) + 1):
+            net = round(sum(t[5] for t in taken[:k]) - 4 * max(0, k - free), 9)
+            if sum(t[6] for t in taken[:k]) <= bank + 1e-6 and net > 0 and (best is None or (-net, k, price) < best[0]):
+                best = (-net, k, price), [(t[1], t[2]) for t in taken[:k]]
+    return best and (best[0][2], best[1])
+
+
+@pytest.mark.parametrize("clubs, max_swaps", [(4, 2), (6, 3), (30, 2)])
+def test_swaps_reach_everyone_in_a_shared_pool(spark, clubs, max_swaps):
+    quota, prices, n = {1: 2, 2: 5, 3: 5, 4: 3}, [0.0, 0.3, 0.8], 12
+    position = [p for p, q in quota.items() for _ in range(q * n)]
+    pool = [(0, k, p, k * 7 % 11 % clubs, 4.0 + k * 13 % 37 / 10, k * 29 % 23 / 2) for k, p in enumerate(position)]
+    squads_ = {s: [(s, *r[1:], r[4] - 0.1) for p, q in quota.items() for r in [x for x in pool if x[2] == p][s * q : (s + 1) * q]] for s in range(n)}
+    owned = spark.createDataFrame([r for rows in squads_.values() for r in rows], OWNED)
+    schema = OWNED.removesuffix(", sale_value double")
+    shared = spark.createDataFrame(pool, schema).drop("problem_id")
+    banks = spark.createDataFrame([(s, 1.5) for s in squads_], "problem_id int, bank double")
+    each = shared.crossJoin(banks.select("problem_id"))
+    want = {s: swaps_by_hand(rows, pool, 1.5, prices, max_swaps, 1) for s, rows in squads_.items()}
+    assert any(want.values())
+    for candidates in (shared, each):
+        got = {}
+        for r in sorted(sq.sweep_swaps(owned, candidates, banks, prices, max_swaps, 1).collect(), key=lambda r: (r.problem_id, r.swap_no or 0)):
+            got[r.problem_id] = (r.price_level, [*(got.get(r.problem_id) or (0, []))[1], (r.out_id, r.in_id)]) if r.swap_no else None
+        assert got == want
+
+
+def test_swaps_take_a_part_behind_the_best_of_its_price(spark, tmp_path):
+    """Every part costs the same, and the twelve best of each position are of a club that fills the first squad."""
+    parts, lines = [], []
+    for position in (1, 2, 3, 4):
+        for k in range(40):
+            pid = position * 100 + k
+            club, points = (1 if k == 0 else 10 + pid, 1.0) if k < 5 else (1, 8.0) if k < 17 else (pid, 5.0 if k == 30 else 0.5)
+            parts.append((pid, f"part {pid}", f"Brand#{club}", position - 1, 100.0))
+            lines.append((pid, 1, points * 10_000, "N", 1.0))
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_extendedprice double, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = squads.swap_sweep(spark, str(tmp_path))
+    assert "lineitem" not in out._jdf.queryExecution().executedPlan().toString()  # squads and newcomers share one pass over the lines
+    first = sorted((r.swap_no, r.out_id, r.in_id, r.status) for r in out.filter("problem_id = 0").collect())
+    assert first == [(1, 100, 130, "selected"), (2, 200, 205, "selected")]  # the first swap makes room for one of the club's best
