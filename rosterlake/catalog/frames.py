@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake import session
 from rosterlake.catalog.base import PARTS, query
 from rosterlake.catalog.relations import _FIX
 from rosterlake.catalog.scoring import _FILLED, domain_tables, stored, stored_rows
@@ -107,8 +108,10 @@ def feature_build(spark, sf):
     """The whole training frame: lags, rolling means, team and opponent context, targets; the rows and a sum of each column."""
     hist, elements, _, _ = domain_tables(spark, sf)
     hist, elements = stored(spark, hist), stored_rows(spark, elements, "elements")
-    prepared = features.laid_out(features.prepare_history(hist, elements))
-    return checksums(features.training_frame(prepared, 12, windows=(_MA,)), _TRAINED)
+    pieces = features.player_pieces(hist, features.SORTED_ROWS)
+    prepared = features.laid_out(features.prepare_history(hist, elements, pieces=pieces), pieces)
+    with session.fewer_keys(spark):
+        return session.stored(checksums(features.training_frame(prepared, 12, windows=(_MA,), pieces=pieces), _TRAINED), "sums")
 
 
 _TARGET = f"""with {_PANEL.strip()},{_known(6)},

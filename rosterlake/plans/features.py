@@ -23,6 +23,8 @@ PLAYER_SEASON = ["player_id", "season_name"]
 
 # Rows in one piece of a panel laid out by player: at most about PIECE_ROWS, and no fewer than LEAST_ROWS for the sake of more tasks.
 PIECE_ROWS, LEAST_ROWS = 500_000, 50_000
+# The same where whole rows are sorted, twice in one task.
+SORTED_ROWS = 200_000
 
 
 def add_sort_keys(hist: DataFrame, seasons: DataFrame | None = None) -> DataFrame:
@@ -79,14 +81,12 @@ def match_result(hist: DataFrame) -> DataFrame:
 def team_matches(hist: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row per (season, match, team): the panel repeats a match once per player, and the
     windows must not. The first row in ``order`` is the least one, so each map task sends one
-    row per match and nothing is sorted."""
+    row per match, each value once, and nothing is sorted between tasks."""
     match = ["season_name", "fixture", "team"]
-    needed = [c for c in dict.fromkeys(["was_home", "team_h_score", "team_a_score", *order]) if c not in match]
-    place = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in [*order, "was_home"]])
-    first = hist.filter(F.col("team").isNotNull() & F.col("fixture").isNotNull()).groupBy(*match).agg(
-        F.min_by(F.struct(*needed), place).alias("_first")
-    )
-    return match_result(first.select(*match, "_first.*"))
+    needed = [c for c in dict.fromkeys([*order, "was_home", "team_h_score", "team_a_score"]) if c not in match]
+    place = F.struct(*[x for c in needed for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))])
+    first = hist.filter(F.col("team").isNotNull() & F.col("fixture").isNotNull()).groupBy(*match).agg(F.min(place).alias("_first"))
+    return match_result(first.select(*match, *[F.col(f"_first.{c}") for c in needed]))
 
 
 def team_form(
@@ -101,25 +101,27 @@ def team_form(
 
 def add_team_context(
     hist: DataFrame, order: Sequence[str] = HISTORY_ORDER, windows: Sequence[int] = (ROLLING_WINDOW,),
-    hot: bool | None = None,
+    hot: bool | None = None, pieces: int | None = None,
 ) -> DataFrame:
     """Own and opposing team form on every row.
 
     Both forms are joined to the few distinct (match, team, opponent) pairs; the panel itself
-    is joined, and shuffled, once.
+    is joined, and shuffled, once. A panel laid out by player in ``pieces`` stays where it is: who played
+    which match goes to the forms of its teams and comes back with them by player.
     """
     if hot is None:
         hot = is_hot(hist, ["season_name", "team"], "fixture")
     rolled = team_form(hist, order, windows, hot)
     names = [f"{s}_ma{w}" for w in windows for s in TEAM_STATS]
+    if pieces:
+        return _context_by_player(hist, rolled, names, pieces)
     own = rolled.select("season_name", "fixture", "team", *names)
     opposing = rolled.select(
         "season_name", "fixture", F.col("team").alias("opponent_team"),
         *[F.col(n).alias(f"opp_{n}") for n in names],
     )
     match = ["season_name", "fixture", "team", "_rival"]
-    # one plain key even where the opponent is unknown, so that the own form is still found
-    rival = F.coalesce(F.col("opponent_team").cast("long"), F.lit(-(2**63)))
+    rival = _rival()
     pairs = (
         hist.select("season_name", "fixture", "team", "opponent_team").distinct()
         .join(own, ["season_name", "fixture", "team"], "left")
@@ -129,13 +131,53 @@ def add_team_context(
     return hist.withColumn("_rival", rival).join(pairs, match, "left").drop("_rival")
 
 
-def player_pieces(hist: DataFrame) -> int | None:
+def _rival() -> Column:
+    """One plain key even where the opponent is unknown, so that the own form is still found."""
+    return F.coalesce(F.col("opponent_team").cast("long"), F.lit(-(2**63)))
+
+
+def _context_by_player(hist: DataFrame, rolled: DataFrame, names: Sequence[str], pieces: int) -> DataFrame:
+    """Team form for a panel in ``pieces`` by player. Both forms are met where the match is, and what comes back is dealt as the
+    panel is; under ``session.fewer_keys`` no join deals anything again."""
+    match = ["season_name", "fixture"]
+    key = ["player_id", *match, "team", "_rival"]
+    played = hist.filter(F.col("team").isNotNull() & F.col("fixture").isNotNull()).select("player_id", *match, "team", "opponent_team")
+    forms = rolled.select(*match, "team", *names).repartition(pieces, *match)
+
+    def side(team: str, prefix: str) -> DataFrame:
+        # both sides rename every column, so that Spark sees the same shuffle twice and runs it once
+        return forms.select(*match, F.col("team").alias(team), *[F.col(n).alias(f"{prefix}{n}") for n in names])
+
+    context = (
+        played.repartition(pieces, *match).distinct().withColumn("_own", F.col("team"))
+        .join(side("_own", "_own_"), [*match, "_own"], "left").join(side("opponent_team", "opp_"), [*match, "opponent_team"], "left")
+        .select(*key[:-1], _rival().alias("_rival"), *[F.col(f"_own_{n}").alias(n) for n in names], *[f"opp_{n}" for n in names])
+    )
+    return hist.withColumn("_rival", _rival()).join(context.repartition(pieces, "player_id"), key, "left").drop("_rival")
+
+
+def player_pieces(hist: DataFrame, piece_rows: int = PIECE_ROWS) -> int | None:
     """Into how many pieces by player a panel is to be laid out: their number follows the rows. None where one player has more
     rows than a task should get."""
     if is_hot(hist.filter(F.col("player_id").isNotNull()), ["player_id"]):
         return None
     rows, shuffles = hist.count(), int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(shuffles, math.ceil(rows / LEAST_ROWS)), math.ceil(rows / PIECE_ROWS))
+    return max(1, min(shuffles, math.ceil(rows / LEAST_ROWS)), math.ceil(rows / piece_rows))
+
+
+def dealt_by_player(typed: DataFrame, numbers: DataFrame, stats: Sequence[str], pieces: int) -> DataFrame:
+    """The rows dealt into pieces by player. Statistics that hold nothing but whole numbers of one byte travel as such: as doubles
+    they are most of what a row weighs. One pass over ``numbers``, the rows before any join, tells which."""
+    value = {c: F.col(c).cast("double") for c in stats}
+    fits = {c: F.coalesce((v == F.floor(v)) & v.between(-128, 127), F.lit(True)) for c, v in value.items()}
+    found = numbers.agg(*[F.bool_and(f).alias(c) for c, f in fits.items()]).first() if stats else {}
+    small = [c for c in stats if found[c]]
+    if not small:
+        return typed.repartition(pieces, "player_id")
+    packed = typed.withColumn("_small", F.array(*[F.col(c).cast("tinyint") for c in small])).drop(*small).repartition(pieces, "player_id")
+    return packed.select(*[
+        F.col("_small")[small.index(c)].cast(typed.schema[c].dataType).alias(c) if c in small else F.col(c) for c in typed.columns
+    ])
 
 
 def prepare_history(
@@ -147,7 +189,7 @@ def prepare_history(
     player before they meet the roster, so that they move once, and before the measures widen them.
     """
     known = hist.filter(F.col("player_id").isNotNull() & F.col("season_name").isNotNull())
-    typed = known.withColumns(
+    typed = numbers = known.withColumns(
         number_columns(BASE_STATS, hist)
     )
     if "team" not in typed.columns:
@@ -161,7 +203,7 @@ def prepare_history(
             F.coalesce("team", F.when(F.col("was_home"), F.col("_h")).when(~F.col("was_home"), F.col("_a"))),
         ).drop("_h", "_a")
     if pieces:
-        typed = typed.repartition(pieces, "player_id")
+        typed = dealt_by_player(typed, numbers, [c for c in BASE_STATS if c in typed.columns], pieces)
     roster = elements.select("player_id", F.col("team_id").alias("team"), "element_type")
     filled = fill_from(typed, roster, "player_id", ["team", "element_type"])
     difficulty = [c for c in ("fixture_difficulty", "difficulty") if c in filled.columns]
@@ -204,14 +246,15 @@ def feature_names(prepared: DataFrame, windows: Sequence[int] = (ROLLING_WINDOW,
 
 def training_frame(
     prepared: DataFrame, last_final: int, season: str | None = None,
-    windows: Sequence[int] = (ROLLING_WINDOW,), hot: bool | None = None,
+    windows: Sequence[int] = (ROLLING_WINDOW,), hot: bool | None = None, pieces: int | None = None,
 ) -> DataFrame:
-    """Rows with enough history of completed rounds: features (gaps as 0), target and time keys."""
+    """Rows with enough history of completed rounds: features (gaps as 0), target and time keys. A panel laid out in ``pieces``
+    is not shuffled where the frame is used under ``session.fewer_keys``."""
     known = as_of(prepared, last_final, season)
     if hot is None:
         hot = is_hot(known, PLAYER_SEASON)
     # the team join comes first: after the windows its shuffle would carry every feature
-    placed = add_team_context(known, windows=windows)
+    placed = add_team_context(known, windows=windows, pieces=pieces)
     rolled = form(placed, PLAYER_SEASON, HISTORY_ORDER, stat_names(prepared), windows, hot=hot)
     full = prior_count(rolled, PLAYER_SEASON, HISTORY_ORDER, hot=hot).filter("enough_prev")
     names = feature_names(prepared, windows)

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rosterlake import session
 from rosterlake.catalog import form, frames, squads
 from rosterlake.operators import squad as sq
-from rosterlake.plans import ml
+from rosterlake.plans import features, ml
 
 OWNED = "problem_id int, player_id long, element_type int, team_id int, now_cost_millions double, expected_points double, sale_value double"
 
@@ -142,3 +143,32 @@ def test_swaps_take_a_part_behind_the_best_of_its_price(spark, tmp_path):
     assert "lineitem" not in out._jdf.queryExecution().executedPlan().toString()  # squads and newcomers share one pass over the lines
     first = sorted((r.swap_no, r.out_id, r.in_id, r.status) for r in out.filter("problem_id = 0").collect())
     assert first == [(1, 100, 130, "selected"), (2, 200, 205, "selected")]  # the first swap makes room for one of the club's best
+
+
+def test_a_panel_laid_out_by_player_is_not_shuffled_for_training(spark):
+    stats = "minutes double, total_points double, goals_scored double, saves double, expected_goals string, value double"
+    rows = []
+    for k in range(240):
+        player, round_, home = k % 12, k // 12 % 10 + 1, k % 2 == 0
+        fixture = None if k % 37 == 0 else round_ * 10 + k % 3
+        rows.append((
+            player, "2024-25" if k < 120 else "2025-26", round_, fixture, f"2025-08-{round_:02d}T15:00:00Z", home, None if k % 29 == 0 else k % 5, None if k % 23 == 0 else (k + 1) % 5,
+            k % 4, k % 3, float(k % 91), None if k % 7 == 0 else float(k % 13), float(-(k % 3)), 127.0 + k % 2, f"0.{k % 9}", k % 60 + 0.5,
+        ))
+    hist = spark.createDataFrame([*rows, *rows[5:9]], "player_id long, season_name string, round int, fixture int, kickoff_time string, was_home boolean, team int, opponent_team int, "
+                                 f"team_h_score int, team_a_score int, {stats}")
+    elements = spark.createDataFrame([(p, p % 5, p % 4 + 1) for p in range(12)], "player_id long, team_id int, element_type int")
+    frames = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for pieces in (None, 3):
+            prepared = features.laid_out(features.prepare_history(hist, elements, pieces=pieces), pieces)
+            with session.fewer_keys(spark):
+                frame = features.training_frame(prepared, 9, pieces=pieces)
+                plan = frame._jdf.queryExecution().executedPlan().toString()
+                dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(player_id" in x and "ENSURE_REQUIREMENTS" in x]
+                assert bool(dealt) == (pieces is None)
+                frames.append(sorted((tuple(r) for r in frame.collect()), key=repr))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert frames[0] == frames[1] and len(frames[0]) > 100
