@@ -1,11 +1,15 @@
 """Steps that must stay spread out, narrow and exact on large tables; the tables here are made by the tests."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rosterlake import session
 from rosterlake.catalog import form, frames, squads
-from rosterlake.operators import squad as sq
+from rosterlake.operators import mentions, squad as sq
 from rosterlake.plans import features, ml
 
 OWNED = "problem_id int, player_id long, element_type int, team_id int, now_cost_millions double, expected_points double, sale_value double"
@@ -172,3 +176,30 @@ def test_a_panel_laid_out_by_player_is_not_shuffled_for_training(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert frames[0] == frames[1] and len(frames[0]) > 100
+
+
+def test_grams_are_counted_in_little_memory(monkeypatch):
+    """How many texts hold a gram, in the same memory for a batch of any size; cuts anywhere count the same."""
+    rng = np.random.default_rng(5)
+    texts = ["".join("abc "[k] for k in rng.integers(0, 4, n)) for n in (0, 3, 40, 5, 0, 700, 12, 12, 1, 90)]
+    raw, offsets = mentions._flat(pa.array(texts))
+    everything = np.full(mentions.BITS // 8, 255, dtype=np.uint8)
+    want = {}
+    for t in texts:
+        for length in (2, 6):
+            for gram in {t[k : k + length] for k in range(len(t) - length + 1)}:
+                want[gram] = want.get(gram, 0) + 1
+    for stretch, counts in ((16, 8), (64, 1000), (1 << 18, 1 << 19)):
+        monkeypatch.setattr(mentions, "STRETCH", stretch)
+        monkeypatch.setattr(mentions, "COUNTS", counts)
+        gram, n = mentions._merged([*mentions._held(raw, offsets, [2, 6], everything)])
+        assert len(gram) == len(want) and sorted(n) == sorted(want.values()) and n.sum() == sum(want.values())
+    monkeypatch.undo()
+    words = rng.integers(97, 123, 1 << 23).astype(np.uint8)
+    ends = np.arange(0, len(words) + 1, 2048)
+    tracemalloc.start()
+    try:
+        assert sum(n.sum() for _, n in mentions._held(words, ends, [2], everything)) > 1 << 20
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
