@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rosterlake.catalog.base import PARTS, ROUNDS, orders_panel, part_rounds, part_scores, query, r6, rounded, table
 from rosterlake.constants import BASE_STATS, CORRELATION_THRESHOLD, MIN_VARIANCE
 from rosterlake.plans import features, ml, scoring, state
+from rosterlake.session import with_setting
 from rosterlake.sources.history import read_history, write_history
 from rosterlake.streaming.sinks import scratch
 
@@ -431,7 +432,9 @@ def domain_tables(spark, sf):
 def stored(spark, hist):
     """The panel as the table it is in production: several plans read it, none rebuilds it."""
     path = scratch(spark, "history")
-    write_history(hist, path)
+    # as many tasks as the lines need: their joins and their aggregation hold several times what was shuffled
+    with with_setting(spark, "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1000"), with_setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m"):
+        write_history(hist, path)
     return read_history(spark, path)
 
 
