@@ -31,12 +31,11 @@ NO_ID = -(2**63)
 def useful(pool: DataFrame, keys: Sequence[str], prices: Sequence[float], max_swaps: int) -> DataFrame:
     """The rows of a pool that a search for ``max_swaps`` swaps can reach, for each number of a price, without loss for any squad.
 
-    Before the last swap a squad has at most ``SQUAD_SIZE // MAX_PER_CLUB + max_swaps - 1`` full clubs. A club that owns more than
-    ``max_swaps + 2`` players has no place even for its own, so of a club at most that many and the ``max_swaps - 1`` taken before
-    are passed over to reach the next. Of a position at most all rows of the full clubs, the squad's own players and those taken
-    are passed over. Ids count once, by the row of the highest score.
+    Before the last swap a squad has at most ``SQUAD_SIZE // MAX_PER_CLUB + max_swaps - 1`` full clubs. Of a club at most the squad's
+    own players and those taken before are passed over to reach the next; of a position these and all rows of the full clubs. Ids
+    count once in a club, by the row of the highest score.
     """
-    per_club = 2 * max_swaps + 2
+    per_club = SQUAD_SIZE + max_swaps
     per_position = per_club * (SQUAD_SIZE // MAX_PER_CLUB + max_swaps - 1) + SQUAD_SIZE + max_swaps
     ep, cost = F.col("expected_points").cast("double"), F.col("now_cost_millions").cast("double")
     score = [ep - F.lit(float(p)) * cost for p in prices]
@@ -93,7 +92,7 @@ def _first_fitting(own: dict, pool: dict, at: dict, counts: np.ndarray, taken: l
     for places, real, hold in at.values():
         club, new = pool["club"][hold], pool["id"][hold]
         ids, clubs = np.take_along_axis(own["id"], places, 1), np.take_along_axis(own["club"], places, 1)
-        held, free = counts[:, club], ~(own["id"][:, :, None] == new).any(axis=1)
+        held, free = counts[:, club], ~own["has"][:, pool["no_of_id"][hold]]
         stays = real.copy()
         for t in taken:
             held = held + (t["in_club"][:, None] == club) - (t["out_club"][:, None] == club)
@@ -117,6 +116,11 @@ def _chosen(own: dict, pool: dict, bank: np.ndarray, prices: Sequence[float], ma
     size = len(bank)
     squads, width = np.arange(size), int(max(own["club"].max(initial=0), pool["club"].max(initial=0))) + 1
     counts = np.bincount((squads[:, None] * width + own["club"]).ravel(), minlength=size * width).reshape(size, width)
+    ids, pool["no_of_id"] = np.unique(pool["id"], return_inverse=True)
+    place = np.minimum(np.searchsorted(ids, own["id"]), len(ids) - 1)
+    squad, player = np.nonzero(ids[place] == own["id"])
+    own["has"] = np.zeros((size, len(ids)), dtype=bool)
+    own["has"][squad, place[squad, player]] = True
     best_net, best_swaps, best_price = np.full(size, -np.inf), np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
     kept = {c: np.zeros((size, max_swaps), dtype=t) for c, t in (("out_id", np.int64), ("in_id", np.int64), ("delta", float), ("sale", float), ("cost", float))}
     net_gain = np.zeros(size)
